@@ -147,9 +147,12 @@ def fit_forest(feats: DataFrame, trees: int = 100, per_tree: int = 256, seed: in
     """Trees over a sample of at most ``trees * per_tree`` documents (of those with 20 words or more), taken by a
     hash of the id and the statistics so that reruns and other partitionings draw the same rows."""
     need = trees * per_tree
+    eligible = feats.where("n_words >= 20")
+    # a share that leaves somewhat more than is needed, so that what reaches the driver is bounded whatever the number of tasks
+    share = min(1.0, 1.2 * need / max(eligible.count(), 1))
     rows = (
-        feats.where("n_words >= 20")
-        .select(*FEATURES, F.xxhash64("doc_id", "n_words", "word_chars", F.lit(seed)).alias("_draw"))
+        eligible.select(*FEATURES, F.xxhash64("doc_id", "n_words", "word_chars", F.lit(seed)).alias("_draw"))
+        .where(F.pmod("_draw", F.lit(1_000_000_007)) <= share * 1_000_000_007)
         .orderBy("_draw", *FEATURES)
         .limit(need)
         .toPandas()
