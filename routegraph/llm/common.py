@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +48,16 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def positions(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``position``, gapless from 0 in the given order: rows are numbered within range parts,
+    plus the rows of the parts before, so no task sees them all."""
+    parts = land(df.sort(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_inside", inside).join(offsets, "_part").withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_part", "_n", "_before", "_inside")
+
+
 def clean(spark: SparkSession) -> None:
     """Remove every table that this application has landed; results that still read them must be written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
