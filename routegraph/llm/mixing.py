@@ -5,7 +5,7 @@ reshared by weight. A source at ratio r of target to own words takes every docum
 one more time with probability r - floor(r): that draw is balanced. The flight phase moves the vector of
 probabilities through the null space of two constraints, the number of documents and the number of
 words, until at most two of them are left undecided. Chunks of bounded size fly apart; what they leave
-undecided flies on together, level by level; the landing decides the last two of a source.
+undecided flies on together, level by level; the landing decides the last dozen of a source.
 
 Defined results: a null text has size 0; rows without a source are a source of their own, last in order;
 repeated rows are drawn one by one; a corpus without words takes each document as its ratio (0) says; an
@@ -17,6 +17,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import Window as W
 from .common import WORD_JAVA, land, positions
 
 CHUNK_ROWS = 20_000
+#: Units that wait for the landing, besides the two that the flight leaves.
+HELD = 10
 EPSILON = 1e-9
 
 
@@ -81,20 +84,14 @@ def fly(p: list[float], x: list[float], draw: random.Random) -> list[float]:
 
 
 def land_last(p: list[float], x: list[float]) -> list[float]:
-    """The landing: of the few ways to decide the last units, the one whose words come nearest to the
-    balance, then whose documents do."""
+    """The landing: of all ways to decide the few open units, the one whose words and documents come
+    nearest to the balance."""
     open_ = [i for i, v in enumerate(p) if EPSILON < v < 1 - EPSILON]
-    best = None
-    for bits in range(1 << len(open_)):
-        choice = [(bits >> b) & 1 for b in range(len(open_))]
-        off = [
-            abs(sum((c - p[i]) * x[i] for c, i in zip(choice, open_, strict=True))),
-            abs(sum(c - p[i] for c, i in zip(choice, open_, strict=True))),
-        ]
-        if best is None or off < best[0]:
-            best = (off, choice)
-    out = [round(v) if i not in open_ else v for i, v in enumerate(p)]
-    for i, c in zip(open_, best[1], strict=True):
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = choices - np.array([p[i] for i in open_])
+    best = choices[np.argmin((off @ np.array([x[i] for i in open_])) ** 2 + 0.01 * off.sum(1) ** 2)] if open_ else []
+    out = [float(round(v)) for v in p]
+    for i, c in zip(open_, best, strict=True):
         out[i] = float(c)
     return out
 
@@ -102,12 +99,19 @@ def land_last(p: list[float], x: list[float]) -> list[float]:
 def _flight(level: int, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         source, chunk, last = key
-        # long documents fly first, so those left to the landing are short
-        rows = rows.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["tie", "size"], kind="stable")
         x = (rows["size"] / max(rows["size"].mean(), 1e-12)).tolist()
         draw = random.Random(zlib.crc32(f"{seed}/{level}/{source}/{chunk}".encode()))
-        p = fly(rows["p"].tolist(), x, draw)
-        return rows.assign(p=land_last(p, x) if last else p)
+        p = rows["p"].tolist()
+        if not last:
+            return rows.assign(p=fly(p, x, draw))
+        # a few units of all sizes wait for the landing, so that it can meet the balance closely
+        open_ = sorted((i for i, v in enumerate(p) if EPSILON < v < 1 - EPSILON), key=lambda i: x[i])
+        wait = {open_[int(q * (len(open_) - 1))] for q in np.linspace(0, 1, HELD)} if open_ else set()
+        fly_ = [i for i in range(len(p)) if i not in wait]
+        for i, v in zip(fly_, fly([p[i] for i in fly_], [x[i] for i in fly_], draw), strict=True):
+            p[i] = v
+        return rows.assign(p=land_last(p, x))
 
     return run
 
