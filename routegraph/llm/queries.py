@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store
+from . import chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store, url_filter
 from .common import land, table
 
 
@@ -30,6 +30,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     fixed = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op6_token_store": op6_token_store,
+    "op7_url_filter": op7_url_filter,
     "op8_chat_format": op8_chat_format,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
