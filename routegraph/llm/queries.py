@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store, url_filter
+from . import brown_lm, chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store, url_filter
 from .common import land, table
 
 
@@ -24,6 +24,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
+    "op5_brown_lm": op5_brown_lm,
     "op6_token_store": op6_token_store,
     "op7_url_filter": op7_url_filter,
     "op8_chat_format": op8_chat_format,
