@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WORD_JAVA, land, positions
+from .common import land, n_words, positions
 
 CHUNK_ROWS = 20_000
 #: Units that wait for the landing, besides the two that the flight leaves.
@@ -33,8 +33,7 @@ EPSILON = 1e-9
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_JAVA)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", n_words("text").alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -152,8 +151,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     """The rows of ``docs``, in all its columns, each as often as the mix takes it (from 0 times to ``cap``)."""
     key = lambda: F.struct("doc_id", "source", "size")
     taken = decisions(docs, weights, cap).groupBy(key().alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_JAVA)), F.lit(0)).cast("long")
-    packed = docs.select(F.struct(F.col("doc_id"), F.col("source"), size.alias("size")).alias("_key"), F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_text"))
+    packed = docs.select(F.struct(F.col("doc_id"), F.col("source"), n_words("text").alias("size")).alias("_key"), F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_text"))
     # repeated rows share a key: the k-th of them takes the k-th number of copies
     nth = F.row_number().over(W.partitionBy("_key").orderBy("_text"))
     chosen = packed.join(taken, "_key").withColumn("_n", F.element_at("_copies", nth))
