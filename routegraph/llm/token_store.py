@@ -22,10 +22,11 @@ store. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,63 +39,92 @@ from pyspark.sql import Window as W
 from .common import shared_folder
 
 #: Chunks end where the rolling hash has MASK_BITS zero bits, after MIN ids at least and MAX at most.
-ROLL, MASK_BITS, MIN_IDS, MAX_IDS = 16, 8, 64, 2048
-#: Pieces of text whose ids a task remembers; beyond that it forgets and starts again, which changes no result.
-REMEMBERED = 400_000
+ROLL, MASK_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 4096
+#: Words whose ids a process remembers, twice: when they are so many, they become the earlier ones, and the ones before are
+#: forgotten. That changes no result.
+REMEMBERED = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Two white-space characters in a row: there the pre-tokenizer looks beyond a word, so such texts are encoded whole.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: Pairs of white space, at which the pre-tokenizer looks beyond a word.
+PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level pre-tokenizer never joins a word with the space-led word after it, so a text in which no two
-    white-space characters meet is the concatenation of its words' encodings. Words are encoded by the library in
-    batches and remembered. Texts with other white space, or with a special token's string, are encoded whole.
+    A byte-level pre-tokenizer never joins a word with the space or newline that follows it, so a text in which words
+    are parted by single spaces and newlines is the concatenation of its words' encodings, each with what stands before
+    it. Words are encoded by the library, many at a time, and remembered. Texts with other white space, or with the
+    string of a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self._whole("\n")
+        # byte-level vocabularies write a space as this letter; only a word's first token has one
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.marks = {m: self._whole(m) for m in ".,!?;:"}
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _plain(self, text: str) -> list[str] | None:
+        """Words, each with its newline if one stands before it; a tab marks the first. None if the text is not plain."""
+        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in PAIRS) or any(x in text for x in self.special):
+            return None
+        cut = text.replace("\n", " \n").split(" ")
+        if len(text.split()) != len(cut):  # white space of another kind
+            return None
+        cut[0] = "\t" + cut[0]
+        return cut
+
+    def _learn(self, words: list[str]) -> None:
+        known, earlier = self.known, self.earlier
+        new, composed = set(), []
+        for w in words:
+            if w in earlier:
+                known[w] = earlier[w]
+            elif w[-1] in self.marks and w[-2:-1].isalnum():  # a mark after a letter or digit is a piece of its own
+                composed.append(w)
+                if w[:-1] not in known:
+                    new.add(w[:-1])
+            else:
+                new.add(w)
+        led = [w for w in new if w[0] in "\t\n"]
+        for w, e in zip(led, self.tokenizer.encode_batch_fast([w.lstrip("\t") for w in led], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.dtype).tobytes()
+        spaced = [w for w in new if w[0] not in "\t\n"]
+        for at in range(0, len(spaced), 2000):
+            some = spaced[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer does not keep words apart")
+            packed, ends = ids.tobytes(), [*(starts[1:] * ids.itemsize).tolist(), len(ids) * ids.itemsize]
+            begin = 0
+            for w, end in zip(some, ends, strict=True):
+                known[w] = packed[begin:end]
+                begin = end
+        for w in composed:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text or ODD_SPACE.search(text) or any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            lines = (" " + line if i else line for i, line in enumerate(text.split("\n")))
-            # a first word has no space before it: it is told from the others by a leading newline
-            words: list[str] = []
-            for i, line in enumerate(lines):
-                if i:
-                    line = line[1:]
-                    words.append("\n")
-                first, *rest = line.split(" ")
-                if first:
-                    words.append("\n" + first)
-                words += rest
-            cut.append(words)
+        cut = [self._plain(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known["\n"] = self.newline
-        new = list({w for words in cut if words for w in words if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\n" else " " + w for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+            self.known, self.earlier = {}, self.known
+        self._learn(list(set(chain.from_iterable(c for c in cut if c)).difference(self.known)))
         known = self.known
-        return [(self._whole(t) if t else b"") if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
+        return [(self._whole(t) if t else b"") if c is None else b"".join([known[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+
+
+#: A worker process keeps its encoder, and the words it knows, for its next task.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
@@ -139,7 +169,7 @@ ENCODED = "doc_id long, n_tokens long, addresses array<binary>, root binary, add
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Recipes (with a null address) and chunks (with one); a chunk that this task has just sent is not sent again."""
-        encoder = Encoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         sent: set[bytes] = set()
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
