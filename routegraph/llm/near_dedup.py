@@ -3,10 +3,11 @@
 1. ``sketch`` reads every whole text once: a key of its word sequence, the size of its shingle set,
    40 band values of 5 minima each, and one byte of each of the 200 minima.
 2. Texts with the same word sequence form a class; only its smallest id goes on, so copies are never paired.
-3. Classes that share a band value are candidates. They are compared with the smallest id of their
-   bucket, then, where that left them in different components, with a centre drawn by hash, and
-   last, pair by pair in bounded blocks, whatever two components still share a bucket. So no bucket
-   is capped and none is expanded into all its pairs.
+3. Classes that share a band value are candidates. They are compared with the most central document of
+   their bucket, then, where that left them in different components, with a centre drawn by hash, and
+   last, in bounded blocks, whatever two components still share a bucket. There, pairs are ruled out by what
+   their sets can share at most, from profiles of bin counts. So no bucket is capped and none is
+   expanded into all its pairs.
 4. A candidate pair is a link only if its full shingle sets say so.
 5. Large-star and small-star rounds give the components.
 
@@ -72,6 +73,24 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[list[list[str]],
     return words, sets
 
 
+def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, values: int = 1 << 14) -> np.ndarray:
+    """Minima of each hash function over each set; about ``values`` values at a time stay in the processor's cache."""
+    out = np.empty((len(a), len(sets)), np.uint64)
+    ends = np.cumsum([len(s) for s in sets])
+    start = 0
+    while start < len(sets):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + values, "right")))
+        x = np.concatenate(sets[start:end])
+        at = np.concatenate([[0], ends[start : end - 1] - (ends[start - 1] if start else 0)])
+        h = np.empty_like(x)
+        for j in range(len(a)):
+            np.multiply(x, a[j], out=h)
+            np.add(h, b[j], out=h)
+            out[j, start:end] = np.minimum.reduceat(h, at)
+        start = end
+    return out
+
+
 def _sketcher(width: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hash_family(BANDS * ROWS)
@@ -85,14 +104,7 @@ def _sketcher(width: int):
                 bands = np.zeros((len(sets), BANDS), np.int64)
                 low = np.zeros((len(sets), BANDS * ROWS), np.uint8)
                 if len(full):
-                    x = np.concatenate([sets[i] for i in full])
-                    at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    minima = np.empty((BANDS * ROWS, len(full)), np.uint64)
-                    h = np.empty_like(x)
-                    for j in range(BANDS * ROWS):
-                        np.multiply(x, a[j], out=h)
-                        np.add(h, b[j], out=h)
-                        minima[j] = np.minimum.reduceat(h, at)
+                    minima = _minima([sets[i] for i in full], a, b)
                     grouped = _mix(minima.reshape(BANDS, ROWS, len(full)))
                     value = _mix((grouped * power[None, :, None]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * ODD)
                     bands[full] = value.T.astype(np.int64)
@@ -130,31 +142,103 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough. Texts are read again for
     the candidates alone, so the sets of the corpus are never stored."""
     wanted = land(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    small = wanted.count() <= BROADCAST_IDS
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = source.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_setter(width), "doc_id long, shingles array<long>")
+    sets = _chosen(docs, wanted).mapInArrow(_setter(width), "doc_id long, shingles array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def _close_pairs(key, rows):
-    """Within one bounded block: pairs of different components with enough equal bytes."""
-    import pandas as pd
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2 to 4 times as many bins, 4 bits a bin. The sum of the smaller
+    counts of two profiles bounds what their sets share from above, and nearly meets it."""
+    bins = 1 << max(5, (2 * len(shingles) - 1).bit_length())
+    counts = np.minimum(np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 15).astype(np.uint8)
+    return (counts[::2] | (counts[1::2] << 4)).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    half = np.frombuffer(packed, np.uint8)
+    return np.stack([half & 15, half >> 4], 1).ravel()
+
+
+def most_shared(profiles: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair (x[i], y[i]) of profiles, the most shingles that the two can share."""
+    bins = np.array([2 * len(p) for p in profiles])
+    out = np.zeros(len(x), np.int64)
+    level = np.minimum(bins[x], bins[y])
+    for m in np.unique(level):
+        mine = np.flatnonzero(level == m)
+        need, at = np.unique(np.concatenate([x[mine], y[mine]]), return_inverse=True)
+        table = np.stack([_unpacked(profiles[d]).reshape(-1, m).sum(0, dtype=np.uint8) for d in need])
+        one, other = at[: len(mine)], at[len(mine) :]
+        step = max(1, (1 << 24) // int(m))
+        for i in range(0, len(mine), step):
+            out[mine[i : i + step]] = np.minimum(table[one[i : i + step]], table[other[i : i + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _compare(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Within one bounded block: pairs of different components that can still be links. With c the most that
+    two sets can share, their similarity is c / (x + y - c) at most."""
+    inner = block.column("inner").to_numpy()
+    doc, comp, size = (block.column(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
+    one, other = np.flatnonzero(inner), np.flatnonzero(~inner)
+    a, b = size[one][:, None], size[other][None, :]
+    x, y = np.nonzero((100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (comp[one][:, None] != comp[other][None, :]))
+    x, y = one[x], other[y]
+    if len(x):
+        sig = np.frombuffer(b"".join(block.column("bytes").to_pylist()), np.uint8).reshape(block.num_rows, -1)
+        close = np.concatenate([(sig[x[at : at + 20_000]] == sig[y[at : at + 20_000]]).sum(1) >= MIN_EQUAL_BYTES for at in range(0, len(x), 20_000)])
+        x, y = x[close], y[close]
+    if len(x):
+        most = most_shared(block.column("profile").to_pylist(), x, y)
+        may = 100 * most >= percent * (size[x] + size[y] - most)
+        x, y = x[may], y[may]
+    return doc[x], doc[y]
+
+
+def _block_comparer(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; a block is held until the next begins."""
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def flush():
+            a, b = _compare(pa.Table.from_batches(held), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    left, right = rows[rows.inner], rows[~rows.inner]
-    out_a, out_b = [], []
-    if len(left) and len(right):
-        sig = np.frombuffer(b"".join(right.bytes), np.uint8).reshape(len(right), -1)
-        comp, size, ids = right.component.to_numpy(), right.n_shingles.to_numpy(), right.doc_id.to_numpy()
-        for r in left.itertuples(index=False):
-            may = (comp != r.component) & (100 * np.minimum(size, r.n_shingles) >= 80 * np.maximum(size, r.n_shingles) * r.ratio)
-            may = np.flatnonzero(may)
-            may = may[(sig[may] == np.frombuffer(r.bytes, np.uint8)).sum(1) >= MIN_EQUAL_BYTES]
-            out_a += [min(r.doc_id, x) for x in ids[may]]
-            out_b += [max(r.doc_id, x) for x in ids[may]]
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in ("band", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(keys[start]) != key:
+                    yield flush()
+                    held = []
+                key = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield flush()
+
+    return run
+
+
+def _profiler(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 400):
+                part = batch.slice(start, 400)
+                _, found = shingle_sets(part.column("text").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([profile(x) for x in found], pa.binary())], ["doc_id", "profile"])
+
+    return run
+
+
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents of ``ids`` (a landed table): by a broadcast of their ids up to BROADCAST_IDS of them."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -164,8 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # one row for each class and id: the row of the class's smallest id
     first = sketches.join(classes, (sketches.sequence == classes.sequence) & (sketches.doc_id == classes.class_id), "left_semi")
     buckets = first.select("doc_id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = land(buckets.join(shared, "band").select("band", "doc_id", "centre", "n"), "bucket-members")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = land(buckets.join(shared, "band").select("band", "doc_id", "n"), "bucket-members")
 
     def linked(found: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         links = verified(land(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs"), docs, width, percent)
@@ -176,8 +260,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         here = comps.select(F.col("node").alias(column), F.col("component").alias(name))
         return rows.join(here, column, "left").withColumn(name, F.coalesce(name, column))
 
-    # with the smallest id of each bucket
-    links, comps = linked(members.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), None)
+    # with the most central document of each bucket: the one that shares the most places with others
+    central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
+    centres = members.join(central, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("centre"))
+    links, comps = linked(members.join(centres, "band").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), None)
 
     # with a centre drawn by hash, where components still differ
     drawn = members.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("band", "doc_id")).alias("drawn"))
@@ -189,15 +275,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     counts = here.groupBy("band", "component").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("band").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("n_all"), (F.sum("k") - F.max("k")).alias("n_inner")).where("n_inner > 0")
     mixed = mixed.withColumns({"inner_blocks": F.ceil(F.col("n_inner") / BLOCK).cast("int"), "all_blocks": F.ceil(F.col("n_all") / WIDE_BLOCK).cast("int")})
-    rows = here.drop("n", "centre").join(mixed, "band").join(first.select("doc_id", "bytes", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    keep = ["band", "doc_id", "component", "bytes", "n_shingles"]
-    inner = rows.where("component <> main").select(
-        *keep, F.lit(True).alias("inner"), F.pmod(F.hash("doc_id"), "inner_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j")
-    )
-    outer = rows.select(*keep, F.lit(False).alias("inner"), F.explode(F.sequence(F.lit(0), F.col("inner_blocks") - 1)).alias("i"), F.pmod(F.hash("doc_id", F.lit(1)), "all_blocks").alias("j"))
-    blocks = inner.unionByName(outer).withColumn("ratio", F.lit(percent / 80.0))
-    close = blocks.groupBy("band", "i", "j").applyInPandas(_close_pairs, "a long, b long")
-    links, comps = linked(close, links)
+    open_ = land(here.select("band", "doc_id", "component").join(mixed, "band"), "open-buckets")
+    ids = land(open_.select("doc_id").distinct(), "open-ids")
+    profiles = _chosen(docs, ids).mapInArrow(_profiler(width), "doc_id long, profile binary")
+    facts = land(first.select("doc_id", "bytes", "n_shingles").join(profiles, "doc_id").dropDuplicates(["doc_id"]), "open-facts")
+    rows = open_.join(facts, "doc_id")
+    pick = lambda inner, i, j: (F.col("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), "doc_id", "component", "n_shingles", "bytes", "profile", F.lit(inner).alias("inner"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = rows.where("component <> main").withColumn("j", every("all_blocks")).select(*pick(True, F.pmod(F.hash("doc_id"), "inner_blocks"), F.col("j")))
+    outer = rows.withColumn("i", every("inner_blocks")).select(*pick(False, F.col("i"), F.pmod(F.hash("doc_id", F.lit(1)), "all_blocks")))
+    blocks = inner.unionByName(outer).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    links, comps = linked(blocks.mapInArrow(_block_comparer(percent), "a long, b long"), links)
 
     named = sketches.select("doc_id", "n_shingles", "sequence").join(classes, "sequence", "left")
     return named.join(comps, named.class_id == comps.node, "left").select(
@@ -206,3 +294,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "class_id", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, in all its columns, without the rows whose document is not the first of its group. Rows without an
+    id, and repeated rows of a kept one, stay."""
+    gone = land(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
