@@ -25,6 +25,7 @@ import hashlib
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -65,14 +66,21 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # byte-level vocabularies write a space as this letter; only a word's first token has one
-        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        # a word of letters alone is one piece to the pre-tokenizer, which writes each of its bytes as a letter; such words
+        # go to the library's model at once
+        self.pieces = self.tokenizer.model.tokenize if self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" else None
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.marks = {m: self._whole(m) for m in ".,!?;:"}
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _plain(self, text: str) -> list[str] | None:
         """Words, each with its newline if one stands before it; a tab marks the first. None if the text is not plain."""
@@ -96,21 +104,13 @@ class Encoder:
                     new.add(w[:-1])
             else:
                 new.add(w)
-        led = [w for w in new if w[0] in "\t\n"]
-        for w, e in zip(led, self.tokenizer.encode_batch_fast([w.lstrip("\t") for w in led], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
-        spaced = [w for w in new if w[0] not in "\t\n"]
-        for at in range(0, len(spaced), 2000):
-            some = spaced[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(some):
-                raise ValueError("the tokenizer does not keep words apart")
-            packed, ends = ids.tobytes(), [*(starts[1:] * ids.itemsize).tolist(), len(ids) * ids.itemsize]
-            begin = 0
-            for w, end in zip(some, ends, strict=True):
-                known[w] = packed[begin:end]
-                begin = end
+        plain = [w for w in new if w.isalpha()] if self.pieces else []
+        for w in plain:
+            piece = "\u0120" + (w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))
+            known[w] = self.packed([t.id for t in self.pieces(piece)])
+        rest = list(new.difference(plain))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.lstrip("\t") if w[0] in "\t\n" else " " + w for w in rest], add_special_tokens=False), strict=True):
+            known[w] = self.packed(e.ids)
         for w in composed:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
 
