@@ -107,7 +107,7 @@ def _encoder(sent, discount: float):
                 doc = np.repeat(np.arange(len(words)), lengths)
                 often = is_frequent[token]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    sums = [np.bincount(doc[often], v[token[often]], len(words)) for v in (np.log10(n + 1.0), np.log10(n - discount))]
+                    sums = [np.bincount(doc[often], v[token[often]], len(words)).astype(float) for v in (np.log10(n + 1.0), np.log10(n - discount))]
                 pairs, times = np.unique(doc[~often] * max(len(ids), 1) + token[~often], return_counts=True)
                 rare_doc, rare = np.divmod(pairs, max(len(ids), 1))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_doc, minlength=len(words)))]), pa.int32())
