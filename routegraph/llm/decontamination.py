@@ -20,20 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ascii_lower
 from .fm_index import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text in a block, which bounds what is collected and broadcast at a time.
 BLOCK_BYTES = 16 << 20
 
-SPANS = "array<struct<start:long,end:long>>"
-
 
 def item_words(text: str | None) -> list[str]:
     return WORD.findall(ascii_lower(text)) if text else []
@@ -53,35 +52,46 @@ def query_block(items: list[tuple[str, str | None]], window: int = WINDOW) -> di
     return {"words": list(words), "windows": rows, "lengths": (rows >= 0).sum(1), "items": [sorted(x) for x in windows.values()]}
 
 
-def search(documents: list[list[str]], block: dict) -> list[tuple[np.ndarray, set[str]]]:
-    """For each document of a shard: a flag for each word, whether it lies in an occurrence, and the items."""
-    hits = [(np.zeros(len(d), bool), set()) for d in documents]
-    vocabulary: dict[str, int] = {}
-    full = [i for i, d in enumerate(documents) if d]
-    if not full or not len(block["windows"]):
-        return hits
-    numbered = [np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in documents[i]), np.int64, len(documents[i])) for i in full]
-    index = FMIndex(numbered, len(vocabulary))
-    to_shard = np.array([vocabulary.get(x, -1) for x in block["words"]] + [-2], np.int64)  # -2 in a window picks the last
-    low, high = index.ranges(to_shard[np.where(block["windows"] < 0, len(to_shard) - 1, block["windows"])])
-    found = np.flatnonzero(high > low)
-    if not len(found):
+class Shard:
+    """Documents under way: words become numbers as they come, so each distinct word is held once."""
+
+    def __init__(self):
+        self.vocabulary: dict[str, int] = {}
+        self.documents: list[np.ndarray] = []
+        self.n_words = 0
+
+    def add(self, text: str | None) -> None:
+        w, number = item_words(text), self.vocabulary
+        self.documents.append(np.fromiter([number.setdefault(x, len(number)) for x in w], np.int32, len(w)))
+        self.n_words += len(w)
+
+    def search(self, block: dict) -> list[tuple[np.ndarray, set[str]]]:
+        """For each document: a flag for each word, whether it lies in an occurrence, and the items found."""
+        hits = [(np.zeros(len(d), bool), set()) for d in self.documents]
+        full = [i for i, d in enumerate(self.documents) if len(d)]
+        if not full or not len(block["windows"]):
+            return hits
+        index = FMIndex([self.documents[i] for i in full], len(self.vocabulary))
+        to_shard = np.array([self.vocabulary.get(x, -1) for x in block["words"]] + [-2], np.int64)  # -2 in a window picks the last
+        low, high = index.ranges(to_shard[np.where(block["windows"] < 0, len(to_shard) - 1, block["windows"])])
+        found = np.flatnonzero(high > low)
+        if not len(found):
+            return hits
+        count = (high - low)[found]
+        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        window = np.repeat(found, count)
+        position = index.locate(rows)
+        edge = np.zeros(index.n + 1, np.int64)
+        np.add.at(edge, position, 1)
+        np.add.at(edge, position + block["lengths"][window], -1)
+        flagged = np.cumsum(edge) > 0
+        doc = np.searchsorted(index.starts, position, "right") - 1
+        for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+            hits[full[d]][1].update(block["items"][w])
+        for d in np.unique(doc):
+            start = index.starts[d]
+            hits[full[d]][0][:] = flagged[start : start + len(hits[full[d]][0])]
         return hits
-    count = (high - low)[found]
-    rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    window = np.repeat(found, count)
-    position = index.locate(rows)
-    edge = np.zeros(index.n + 1, np.int64)
-    np.add.at(edge, position, 1)
-    np.add.at(edge, position + block["lengths"][window], -1)
-    flagged = np.cumsum(edge) > 0
-    doc = np.searchsorted(index.starts, position, "right") - 1
-    for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-        hits[full[d]][1].update(block["items"][w])
-    for d in np.unique(doc):
-        start = index.starts[d]
-        hits[full[d]][0][:] = flagged[start : start + len(numbered[d])]
-    return hits
 
 
 def _spans(flags: np.ndarray) -> list[dict]:
@@ -89,49 +99,45 @@ def _spans(flags: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _searcher(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
-
-        def flush():
-            docs = [w for _, _, w in waiting]
-            results = search(docs, sent.value)
-            spans, items = [], []
-            for (batch, row, w), (flags, found) in zip(waiting, results, strict=True):
-                for s in batch.column("spans")[row].as_py() or []:
-                    flags[s["start"] : s["end"]] = True
-                spans.append(_spans(flags))
-                items.append(sorted({*found, *(batch.column("items")[row].as_py() or [])}))
-            at = 0
-            for batch, rows in parts:
-                n = len(rows)
-                kept = batch.take(pa.array(rows, pa.int64()))
-                columns = {k: kept.column(k) for k in names}
-                columns["n_words"] = pa.array([len(w) for w in docs[at : at + n]], pa.int64())
-                columns["spans"] = pa.array(spans[at : at + n], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                columns["items"] = pa.array(items[at : at + n], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-                at += n
-
-        waiting, parts, total = [], [], 0
-        for batch in batches:
-            names = names or batch.schema.names
-            rows: list[int] = []
-            parts.append((batch, rows))
-            texts = batch.column("text")
-            for row in range(batch.num_rows):
-                w = item_words(texts[row].as_py())
-                waiting.append((batch, row, w))
-                rows.append(row)
-                total += len(w)
-                if total >= SHARD_WORDS:
-                    yield from flush()
-                    waiting, parts, total = [], [(batch, rows := [])], 0
-            parts = [(b, r) for b, r in parts if r]
-        if waiting:
-            yield from flush()
-
-    return run
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
+FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+
+def passages(spark: SparkSession, block: dict, text: str | Column, earlier: str | Column) -> Column:
+    """struct<n_words, spans, items> of a text column: what ``block`` finds, and what ``earlier`` blocks did. Only
+    texts go to Python, and results come back when their shard is full."""
+    sent = spark.sparkContext.broadcast(block)
+
+    @F.arrow_udf(FOUND)
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        shard, before = Shard(), []
+
+        def results() -> pa.Array:
+            out = []
+            for d, (flags, items), old in zip(shard.documents, shard.search(sent.value), before, strict=True):
+                if old is not None:
+                    for s in old["spans"]:
+                        flags[s["start"] : s["end"]] = True
+                    items = items.union(old["items"])
+                out.append({"n_words": len(d), "spans": _spans(flags), "items": sorted(items)})
+            return pa.array(out, FOUND_ARROW)
+
+        for texts, olds in batches:
+            for text, old in zip(texts, olds, strict=True):
+                shard.add(text.as_py())
+                before.append(old.as_py())
+                if shard.n_words >= SHARD_WORDS:
+                    yield results()
+                    shard, before = Shard(), []
+        yield results()
+
+    return find(text, earlier)
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[dict]:
@@ -144,20 +150,19 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[
         yield query_block([(r["item"], r["phrase"]) for r in part.collect()])
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``doc_id``, (``text``,) ``n_words``, ``spans`` of word positions to remove and the sorted ids of ``items`` found."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with ``found``: n_words, the ``spans`` of word positions to remove, and the sorted ids of ``items``."""
+    spark = docs.sparkSession
+    found = F.lit(None).cast(FOUND)
     for block in blocks_of(benchmark):
-        out = out.mapInArrow(_searcher(sc.broadcast(block)), out.schema)
-    return out if keep_text else out.drop("text")
+        found = passages(spark, block, "text", found)
+    return docs.withColumn("found", found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, in all its columns, without the rows in which any passage occurs."""
-    packed = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    clean = find_passages(packed, benchmark).where(F.size("spans") == 0)
-    return clean.select("doc_id.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return find_passages(packed, benchmark).where(F.size("found.spans") == 0).select("row.*")
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -173,7 +178,7 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = find_passages(docs, benchmark)
+    found = find_passages(docs.select("doc_id", "text"), benchmark).select("doc_id", "found.*")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",

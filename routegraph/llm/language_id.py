@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold
 
@@ -103,8 +104,18 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return {"languages": languages, "column": column, "marks": mark.T.copy(), "coefficients": (root @ solved[:-1]).astype(np.float32), "bias": solved[-1].astype(np.float32)}
 
 
-def _classifier(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+
+def verdict(spark: SparkSession, model: dict | None, text: str = "text") -> Column:
+    """struct<lang_pred, score> of a text column. Only texts go to Python; the model's size is bounded by the sample, so it
+    is broadcast."""
+    if model is None:
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(VERDICT)
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         column = model["column"]
         known: dict[str, list[int]] = {}
@@ -116,49 +127,50 @@ def _classifier(sent):
                 known[word] = got
             return got
 
+        def scored(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+            x = np.zeros((len(texts), len(column)), np.float32)
+            found = np.zeros(len(texts), bool)
+            for r, text in enumerate(texts):
+                words = letter_words(text)
+                if words:
+                    grams = set().union(*[known.get(w) or coded(w) for w in words])
+                    at = np.fromiter(grams, np.int64, len(grams))
+                    x[r, at[at >= 0]] = 1 / np.sqrt(len(grams))
+                    found[r] = True
+            decision = (x @ model["marks"]) @ model["coefficients"] + model["bias"]
+            best = decision.argmax(1)
+            score = np.clip((decision[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1)
+            return [model["languages"][b] if f else UNDETERMINED for b, f in zip(best, found, strict=True)], np.where(found, score, 0.0)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            names: list[str] = []
+            scores = [np.zeros(0)]
+            for start in range(0, len(batch), 256):
                 if len(known) > REMEMBERED:
                     known.clear()
-                x = np.zeros((part.num_rows, len(column)), np.float32)
-                found = np.zeros(part.num_rows, bool)
-                for r, text in enumerate(part.column("text").to_pylist()):
-                    words = letter_words(text)
-                    if words:
-                        grams = set().union(*[known.get(w) or coded(w) for w in words])
-                        at = np.fromiter(grams, np.int64, len(grams))
-                        x[r, at[at >= 0]] = 1 / np.sqrt(len(grams))
-                        found[r] = True
-                decision = (x @ model["marks"]) @ model["coefficients"] + model["bias"]
-                best = decision.argmax(1)
-                score = np.clip((decision[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1)
-                names = [model["languages"][b] if f else UNDETERMINED for b, f in zip(best, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(np.where(found, score, 0.0))], [part.schema.names[0], "lang_pred", "score"])
-
-    return run
-
-
-def predict(docs: DataFrame, model: dict | None, key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score) of every row; ``key`` is passed through. The model's size is bounded by the sample, so it is broadcast."""
-    rows = docs.select(key, "text")
-    if model is None:
-        return rows.select(key, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    kind = rows.schema[key].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_classifier(sent), f"`{key}` {kind}, lang_pred string, score double")
+                told, score = scored(batch.slice(start, 256).to_pylist())
+                names += told
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+
+    return classify(text)
+
+
+def predict(docs: DataFrame, model: dict | None) -> DataFrame:
+    """``docs`` with ``verdict``, a struct of lang_pred and score."""
+    return docs.withColumn("verdict", verdict(docs.sparkSession, model))
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows whose fold is not 0."""
     remainder = fold("doc_id", folds)
     model = fit(training_sample(docs.where(remainder != 0)))
-    keyed = docs.select(F.struct(F.col("doc_id"), F.coalesce(remainder == 0, F.lit(False)).alias("held_out")).alias("key"), "text")
-    return predict(keyed, model, "key").select("key.doc_id", "key.held_out", "lang_pred", "score")
+    rows = docs.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "text")
+    return predict(rows, model).select("doc_id", "held_out", "verdict.lang_pred", "verdict.score")
 
 
 def accepted(docs: DataFrame, folds: int = 5, least: float = 0.25) -> DataFrame:
     """The rows of ``docs``, in all their columns, whose language was told: some decision function claims them (score of ``least`` or more)."""
     model = fit(training_sample(docs.where(fold("doc_id", folds) != 0)))
-    packed = docs.select(F.struct(*docs.columns).alias("key"), "text")
-    return predict(packed, model, "key").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("key.*")
+    told = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return told.where((F.col("verdict.lang_pred") != UNDETERMINED) & (F.col("verdict.score") >= least)).select("row.*")
