@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, land
 
-STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_lines long"
+STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-FEATURES = ("symbol_share", "duplicate_line_share", "repeat_share", "capital_share", "mean_word_length")
+#: Repetition is judged by the base rules, and would hide other oddities here: a repeated line alone sets a document apart.
+FEATURES = ("symbol_share", "mean_word_length")
 
 
 def _repeat_words(words: list[list[str]], window: int = WINDOW) -> np.ndarray:
@@ -64,10 +65,10 @@ def _repeat_words(words: list[list[str]], window: int = WINDOW) -> np.ndarray:
     return np.bincount(doc, np.cumsum(edge)[:total] > 0, len(words)).astype(np.int64)
 
 
-def _duplicate_lines(text: str) -> tuple[int, int]:
-    """Lines with a word that equal an earlier line, and all lines with a word."""
+def _duplicate_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(lines) - len(set(lines)), len(lines)
+    return len(lines) - len(set(lines))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,19 +76,16 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batch):
             texts = [x or "" for x in part.column("text").to_pylist()]
             words = [WORD.findall(x) for x in texts]
-            lines = [_duplicate_lines(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sum(map(len, w)) for w in words], pa.int64()),
                     pa.array([sum(map(x.count, SYMBOLS)) for x in texts], pa.int64()),
-                    pa.array([d for d, _ in lines], pa.int64()),
+                    pa.array(list(map(_duplicate_lines, texts)), pa.int64()),
                     pa.array(_repeat_words(words), pa.int64()),
-                    pa.array([sum(map(str.isupper, w)) for w in words], pa.int64()),
-                    pa.array([n for _, n in lines], pa.int64()),
                 ],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines"],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
             )
 
 
@@ -102,17 +100,9 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features(stats: DataFrame) -> DataFrame:
-    """The shares that the forest splits on, in [0, 1] but for the mean word length."""
+    """What the forest splits on: symbols against the characters of words, and the mean word length in units of 50 at most."""
     some = F.greatest("n_words", F.lit(1))
-    return stats.withColumns(
-        {
-            "symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
-            "duplicate_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-            "repeat_share": F.col("n_repeat_words") / some,
-            "capital_share": F.col("n_capitals") / some,
-            "mean_word_length": F.least(F.col("word_chars") / some, F.lit(50.0)) / 50.0,
-        }
-    )
+    return stats.withColumns({"symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), "mean_word_length": F.least(F.col("word_chars") / some, F.lit(50.0)) / 50.0})
 
 
 def _average_path(n: float) -> float:
