@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Documents are long: batches of Spark's default 10,000 rows would take tens of MB on both sides of each
+    Python worker. A smaller setting of the session is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"

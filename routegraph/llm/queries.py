@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import brown_lm, chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store, url_filter
-from .common import land, table
+from .common import land, small_batches, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +56,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +77,7 @@ QUERIES = {
     "op9_kd_sharding": op9_kd_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
+QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE,
