@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routegraph.llm import decontamination, kd_sharding, language_id, mixing, near_dedup
-from routegraph.llm.common import land, table
+from routegraph.llm.common import land, small_batches, table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which some learned language is told; texts without letters, and those no language claims, go."""
+    small_batches(spark)
     return language_id.accepted(docs.select(DOCUMENTS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id."""
+    small_batches(spark)
     return near_dedup.without_near_duplicates(docs.select(DOCUMENTS), width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten words of a benchmark item occurs."""
+    small_batches(spark)
     return decontamination.decontaminate(docs.select(DOCUMENTS), table(spark, sf_dir, "benchmark"))
 
 
