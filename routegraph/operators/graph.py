@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +37,36 @@ def known_edges(corpus: Corpus) -> DataFrame:
     return kept.join(nodes.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_semi")
 
 
+def _nodes_of(rows: pd.DataFrame, nodes: set[str]) -> pd.DataFrame:
+    """Rows for ``nodes`` of the survey of ``rows``, typed even if there are none."""
+    keys = rows["survey_key"].iloc[[0] * len(nodes)].reset_index(drop=True)
+    return pd.DataFrame({"survey_key": keys, "node": pd.Series(sorted(nodes), dtype=object)})
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one survey that its steps lead to from its starts (rows without a target)."""
+    after: dict[str, list[str]] = {}
+    for source, target in rows.loc[rows["target"].notna(), ["source", "target"]].itertuples(index=False):
+        after.setdefault(source, []).append(target)
+    todo = list(rows.loc[rows["target"].isna(), "source"])
+    seen = set(todo)
+    while todo:
+        new = set(after.get(todo.pop(), ())) - seen
+        seen |= new
+        todo += new
+    return _nodes_of(rows, seen)
+
+
+def _key_type(df: DataFrame) -> str:
+    return df.schema["survey_key"].dataType.simpleString()
+
+
 def closure(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """(survey_key, node) of all nodes that ``steps`` (survey_key, source, target) lead to from ``starts`` (survey_key, node),
-    starts included. Each round joins only what the last one found."""
-    steps = land(steps.select("survey_key", F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "steps")
-    reached = frontier = land(starts.select("survey_key", "node").distinct(), "frontier")
-    while not frontier.isEmpty():
-        found = frontier.join(steps, ["survey_key", "node"]).select("survey_key", F.col("next").alias("node")).distinct()
-        frontier = land(found.join(reached, ["survey_key", "node"], "left_anti"), "frontier")
-        reached = reached.unionByName(frontier)
-    return reached
+    starts included. Surveys are walked side by side, each in one task, as each is one document: one shuffle however
+    deep they are, where a join for each hop would take hundreds of jobs on a long questionnaire."""
+    rows = steps.select("survey_key", "source", "target").unionByName(starts.select("survey_key", F.col("node").alias("source"), F.lit(None).cast("string").alias("target"))).distinct()
+    return rows.groupBy("survey_key").applyInPandas(_walked, f"survey_key {_key_type(steps)}, node string")
 
 
 def reachable(corpus: Corpus) -> DataFrame:
@@ -59,18 +82,51 @@ def reaching_terminals(corpus: Corpus) -> DataFrame:
     return closure(ends, known_edges(corpus).select("survey_key", F.col("target").alias("source"), F.col("source").alias("target")))
 
 
+def _on_cycles(rows: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one survey that lie on a cycle: those in a strongly connected part of several nodes, or with a loop."""
+    after: dict[str, list[str]] = {}
+    for source, target in rows[["source", "target"]].itertuples(index=False):
+        after.setdefault(source, []).append(target)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    closed: set[str] = set()
+    found = {n for n, t in after.items() if n in t}
+    for root in after:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        open_.append(root)
+        stack = [(root, iter(after[root]))]
+        while stack:
+            node, targets = stack[-1]
+            target = next(targets, None)
+            if target is not None:
+                if target not in index:
+                    index[target] = low[target] = len(index)
+                    open_.append(target)
+                    stack.append((target, iter(after.get(target, ()))))
+                elif target not in closed:
+                    low[node] = min(low[node], index[target])
+                continue
+            stack.pop()
+            if stack:
+                low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+            if low[node] == index[node]:
+                part = open_[open_.index(node) :]
+                del open_[-len(part) :]
+                closed.update(part)
+                if len(part) > 1:
+                    found.update(part)
+    return _nodes_of(rows, found)
+
+
 def cyclic_nodes(corpus: Corpus) -> DataFrame:
     """(survey_key, node) that a walk leads back to, without passing a terminal."""
     open_ = corpus.nodes().where("not is_terminal").select("survey_key", "node")
     steps = known_edges(corpus).join(open_.withColumnRenamed("node", "source"), ["survey_key", "source"], "left_semi")
-    steps = land(steps.join(open_.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_semi").select("survey_key", "source", "target").distinct(), "steps")
-    pairs = frontier = steps
-    more = steps.select("survey_key", F.col("source").alias("target"), F.col("target").alias("next"))
-    while not frontier.isEmpty():
-        found = frontier.join(more, ["survey_key", "target"]).select("survey_key", "source", F.col("next").alias("target")).distinct()
-        frontier = land(found.join(pairs, ["survey_key", "source", "target"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(frontier)
-    return pairs.where("source = target").select("survey_key", F.col("source").alias("node"))
+    steps = steps.join(open_.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_semi").select("survey_key", "source", "target").distinct()
+    return steps.groupBy("survey_key").applyInPandas(_on_cycles, f"survey_key {_key_type(steps)}, node string")
 
 
 def _depth_first_cycles(rows: pd.DataFrame) -> pd.DataFrame:
@@ -138,26 +194,50 @@ def nearest_predecessors(order: DataFrame, reached: DataFrame) -> DataFrame:
     return seen.groupBy("survey_key", "qid").agg(F.min_by(F.struct("predecessor"), "ord").alias("p")).select("survey_key", "qid", F.col("p.predecessor"))
 
 
+def _paths_of(entry: str, ends: set[str], after: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[list[str], list[str]]]:
+    """Walks in depth-first order; the stack holds what is left to try at each node of the current path."""
+    path, ids = [entry], []
+    todo: list[Iterator[tuple[str, str]]] = []
+    leaf = entry in ends or not after.get(entry)
+    if leaf:
+        yield [entry], []
+        return
+    todo.append(iter(after[entry]))
+    while todo:
+        step = next(todo[-1], None)
+        if step is None:
+            todo.pop()
+            path.pop()
+            ids and ids.pop()
+            continue
+        target, edge_id = step
+        if target in path or target in ends or not after.get(target):
+            yield [*path, target], [*ids, edge_id]
+        else:
+            path.append(target)
+            ids.append(edge_id)
+            todo.append(iter(after[target]))
+
+
+def _enumerate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["survey_key", "path_ix", "path", "edge_ids"]
+    for rows in batches:
+        for r in rows.itertuples(index=False):
+            after: dict[str, list[tuple[str, str]]] = {}
+            for e in r.steps:
+                after.setdefault(e["source"], []).append((e["target"], e["edge_id"]))
+            found = ((r.survey_key, i, p, e) for i, (p, e) in enumerate(_paths_of(r.entry_node, set(r.ends), after)))
+            while batch := list(islice(found, 2000)):
+                yield pd.DataFrame(batch, columns=columns)
+
+
 def simple_paths(corpus: Corpus) -> DataFrame:
     """(survey_key, path_ix, path, edge_ids): all walks from the entry to a terminal, to a node without edges, or to a
-    node met before (which closes the path), in depth-first order. Their number can be exponential in a survey's size."""
-    ends = corpus.nodes().where("is_terminal").select("survey_key", F.col("node").alias("last"), F.lit(True).alias("terminal"))
-    steps = land(outgoing_ranks(corpus.edges).select("survey_key", F.col("source").alias("last"), "target", F.coalesce("edge_id", F.lit("")).alias("edge_id"), "rank"), "steps")
-    sources = steps.select("survey_key", "last").distinct().withColumn("open", F.lit(True))
-    array = lambda kind: F.array().cast(f"array<{kind}>")
-    front = corpus.surveys.where("entry_node is not null").select("survey_key", F.array("entry_node").alias("path"), array("string").alias("edge_ids"), array("int").alias("ranks"), F.lit(False).alias("closed"))
-    leaves = None
-    while True:
-        at = front.withColumn("last", F.element_at("path", -1)).join(ends, ["survey_key", "last"], "left").join(sources, ["survey_key", "last"], "left")
-        at = land(at.withColumn("leaf", F.col("closed") | F.coalesce("terminal", F.lit(False)) | ~F.coalesce("open", F.lit(False))), "paths")
-        done = at.where("leaf").select("survey_key", "path", "edge_ids", "ranks")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        left = at.where("not leaf")
-        if left.isEmpty():
-            break
-        front = left.join(steps, ["survey_key", "last"]).select(
-            "survey_key", F.array_append("path", F.col("target")).alias("path"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"),
-            F.array_append("ranks", F.col("rank")).alias("ranks"), F.array_contains("path", F.col("target")).alias("closed"),
-        )
-    order = W.partitionBy("survey_key").orderBy("ranks")
-    return leaves.select("survey_key", (F.row_number().over(order) - 1).alias("path_ix"), "path", "edge_ids")
+    node met before (which closes the path), in depth-first order. Their number can be exponential in a survey's size; they are
+    given out in batches, never held."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "source", "target", F.coalesce("edge_id", F.lit("")).alias("edge_id"))))
+    steps = outgoing_ranks(corpus.edges).where("target is not null").groupBy("survey_key").agg(listed.alias("steps"))
+    ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("ends"))
+    rows = corpus.surveys.where("entry_node is not null").select("survey_key", "entry_node").join(steps, "survey_key", "left").join(ends, "survey_key", "left")
+    rows = rows.withColumns({"steps": F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), "ends": F.coalesce("ends", F.array().cast("array<string>"))})
+    return rows.mapInPandas(_enumerate, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")
