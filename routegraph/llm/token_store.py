@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -47,6 +48,9 @@ REMEMBERED = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Pairs of white space, at which the pre-tokenizer looks beyond a word.
 PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: White space that is neither a space nor a newline.
+ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -72,6 +76,7 @@ class Encoder:
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.newline = self._whole("\n")
         self.marks = {m: self._whole(m) for m in ".,!?;:"}
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
@@ -86,39 +91,46 @@ class Encoder:
         """Words, each with its newline if one stands before it; a tab marks the first. None if the text is not plain."""
         if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in PAIRS) or any(x in text for x in self.special):
             return None
-        cut = text.replace("\n", " \n").split(" ")
-        if len(text.split()) != len(cut):  # white space of another kind
+        if any(x in text for x in ASCII_SPACES) or not (text.isascii() or not OTHER_SPACES.search(text)):
             return None
+        cut = text.replace("\n", " \n").split(" ")
         cut[0] = "\t" + cut[0]
         return cut
 
-    def _learn(self, words: list[str]) -> None:
-        known, earlier = self.known, self.earlier
+    def _letters(self, word: str, before: str = "") -> bytes:
+        """Ids of a piece of letters after ``before``: the library's model takes each byte as a letter."""
+        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return self.packed([t.id for t in self.pieces(before + shown)])
+
+    def _learn(self, words: set[str]) -> None:
+        known, marks = self.known, self.marks
+        known.update((w, self.earlier[w]) for w in self.earlier.keys() & words)
         new, composed = set(), []
-        for w in words:
-            if w in earlier:
-                known[w] = earlier[w]
-            elif w[-1] in self.marks and w[-2:-1].isalnum():  # a mark after a letter or digit is a piece of its own
+        for w in words.difference(known):
+            if w[-1] in marks and w[-2:-1].isalnum():  # a mark after a letter or digit is a piece of its own
                 composed.append(w)
-                if w[:-1] not in known:
-                    new.add(w[:-1])
+                w = w[:-1]
+            new.add(w)
+        rest = []
+        for w in new.difference(known):
+            if self.pieces is None:
+                rest.append(w)
+            elif w.isalpha():
+                known[w] = self._letters(w, "\u0120")
+            elif w[0] in "\t\n" and w[1:].isalpha():
+                known[w] = (self.newline if w[0] == "\n" else b"") + self._letters(w[1:])
             else:
-                new.add(w)
-        plain = [w for w in new if w.isalpha()] if self.pieces else []
-        for w in plain:
-            piece = "\u0120" + (w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))
-            known[w] = self.packed([t.id for t in self.pieces(piece)])
-        rest = list(new.difference(plain))
+                rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.lstrip("\t") if w[0] in "\t\n" else " " + w for w in rest], add_special_tokens=False), strict=True):
             known[w] = self.packed(e.ids)
         for w in composed:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+            known[w] = known[w[:-1]] + marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._plain(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.earlier = {}, self.known
-        self._learn(list(set(chain.from_iterable(c for c in cut if c)).difference(self.known)))
+        self._learn(set(chain.from_iterable(c for c in cut if c)).difference(self.known))
         known = self.known
         return [(self._whole(t) if t else b"") if c is None else b"".join([known[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
 
@@ -127,31 +139,29 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where chunks end, by a polynomial rolling hash of the last ROLL ids: equal stretches of ids are cut
-    alike wherever they stand."""
-    n = len(ids)
-    ends: list[int] = []
-    if n > MIN_IDS:
-        h = np.zeros(n, np.uint64)
-        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER)
-        x ^= x >> np.uint64(29)
-        factor = np.uint64(1)
-        for j in range(min(ROLL, n)):
-            h[j:] += x[: n - j] * factor
-            factor = np.uint64((int(factor) * 0xD6E8FEB86659FD93) & (2**64 - 1))
-        last = 0
-        for e in (np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1).tolist():
-            while e - last > MAX_IDS:
-                last += MAX_IDS
-                ends.append(last)
-            if e - last >= MIN_IDS:
-                ends.append(e)
-                last = e
-        while n - last > MAX_IDS:
+def boundaries(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ROLL ids says that a chunk may end: the hash is a running sum of scrambled ids,
+    less what has left the window, scrambled again. Equal stretches of ids are cut alike wherever they stand."""
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER)
+    x ^= x >> np.uint64(29)
+    total = np.cumsum(x, dtype=np.uint64)
+    total[ROLL:] -= total[:-ROLL].copy()
+    h = total * np.uint64(0xD6E8FEB86659FD93)
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def chunk_ends(n: int, may: list[int]) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids: at the places in ``may`` that leave chunks of MIN_IDS or more, and
+    wherever a chunk would outgrow MAX_IDS."""
+    ends, last = [], 0
+    for e in [*may, n]:
+        while e - last > MAX_IDS:
             last += MAX_IDS
             ends.append(last)
-    if not ends or ends[-1] < n:
+        if e - last >= MIN_IDS:
+            ends.append(e)
+            last = e
+    if last < n:
         ends.append(n)
     return ends
 
@@ -171,23 +181,29 @@ def _encoder(path: str, end_id: int):
         """Recipes (with a null address) and chunks (with one); a chunk that this task has just sent is not sent again."""
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         sent: set[bytes] = set()
+        width = encoder.dtype.itemsize
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[tuple] = []
-                for doc_id, packed in zip(part.column("doc_id").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids = np.frombuffer(packed + end, encoder.dtype)
+                streams = [packed + end for packed in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+                # all documents are hashed in one sweep: no chunk ends within MIN_IDS > ROLL ids of a document's start
+                stops = np.cumsum([len(x) // width for x in streams])
+                may = boundaries(np.frombuffer(b"".join(streams), encoder.dtype))
+                cuts = np.searchsorted(may, stops)
+                for k, (doc_id, stream) in enumerate(zip(part.column("doc_id").to_pylist(), streams, strict=True)):
+                    n = len(stream) // width
                     addresses, last = [], 0
-                    for e in chunk_ends(ids):
-                        payload = ids[last:e].tobytes()
+                    for e in chunk_ends(n, (may[cuts[k - 1] if k else 0 : cuts[k]] - (stops[k] - n)).tolist()):
+                        payload = stream[last * width : e * width]
                         address = hashlib.sha256(payload).digest()
                         addresses.append(address)
                         if address not in sent:
                             sent.add(address)
                             rows.append((None, None, None, None, address, e - last, payload))
                         last = e
-                    rows.append((doc_id, len(ids), addresses, merkle_root(addresses), None, None, None))
+                    rows.append((doc_id, n, addresses, merkle_root(addresses), None, None, None))
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -197,15 +213,16 @@ def _encoder(path: str, end_id: int):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by address; recipes and the first row of each address pass."""
-    last = None
+    """Recipes, and the first row of each address. The task holds the addresses of its part, some hundredths of its bytes."""
+    seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for i, a in enumerate(batch.column("address").to_pylist()):
-            if a is None or a != last:
+            if a is None or a not in seen:
                 keep.append(i)
-            last = a if a is not None else last
-        yield batch.take(pa.array(keep, pa.int64()))
+                if a is not None:
+                    seen.add(a)
+        yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -217,7 +234,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     """Write the store of ``docs`` under ``path``, a folder that all executors share."""
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(tokenizer_path, end_id), ENCODED)
     # one exchange deals chunks by address and recipes by document; equal chunks meet in one task
-    dealt = encoded.repartition(F.coalesce(F.xxhash64("address"), F.xxhash64("doc_id", "n_tokens"))).sortWithinPartitions("address")
+    dealt = encoded.repartition(F.coalesce(F.xxhash64("address"), F.xxhash64("doc_id", "n_tokens")))
     dealt.mapInArrow(_first_of_each, ENCODED).withColumn("kind", F.when(F.col("address").isNull(), "recipe").otherwise("chunk")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
     spark = docs.sparkSession
     parts = spark.read.schema(ENCODED + ", kind string").parquet(f"{path}/parts").where("kind = 'recipe'")
