@@ -28,7 +28,7 @@ from .common import fold
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 250
-LANDMARKS = 192
+LANDMARKS = 128
 RIDGE = 1e-2
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose grams a task remembers; longer words are not remembered.
