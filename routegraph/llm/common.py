@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Documents are long: batches of Spark's default 10,000 rows would take tens of MB on both sides of each
     Python worker. A smaller setting of the session is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -171,7 +171,7 @@ def most_shared(profiles: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarr
         need, at = np.unique(np.concatenate([x[mine], y[mine]]), return_inverse=True)
         table = np.stack([_unpacked(profiles[d]).reshape(-1, m).sum(0, dtype=np.uint8) for d in need])
         one, other = at[: len(mine)], at[len(mine) :]
-        step = max(1, (1 << 24) // int(m))
+        step = max(1, (1 << 22) // int(m))
         for i in range(0, len(mine), step):
             out[mine[i : i + step]] = np.minimum(table[one[i : i + step]], table[other[i : i + step]]).sum(1, dtype=np.int64)
     return out
