@@ -11,6 +11,10 @@ hash of the text; LANDMARKS of them are landmarks. Everything is predicted from
 Defined results: a null text, and a text without a letter, is ``und`` with score 0; with nothing to learn from, every
 text is ``und``; a row without an id is never learned from and is not held out; repeated rows get equal predictions; an
 empty table gives an empty result. Only doc_id, text and lang are read.
+
+The decision values of a text sum to 2 - K over K languages, so the best one says which language is likeliest, not
+that the text is in any: ``accepted`` also asks how many of a text's grams the landmarks know, and holds that share
+against the labelled rows of the language.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, land
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 250
@@ -33,6 +37,9 @@ RIDGE = 1e-2
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose grams a task remembers; longer words are not remembered.
 REMEMBERED, LONG_WORD = 60_000, 24
+#: What a text must know of its grams: NEAR_LOW of the share that all but LOW of the labelled texts of its language know,
+#: but HALF of their median at least, so that junk among them cannot switch the test off; SIGMAS of chance are allowed.
+LOW, NEAR_LOW, HALF, SIGMAS = 0.01, 0.8, 0.5, 3
 
 
 def word_grams(word: str) -> set[int]:
@@ -104,14 +111,14 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return {"languages": languages, "column": column, "marks": mark.T.copy(), "coefficients": (root @ solved[:-1]).astype(np.float32), "bias": solved[-1].astype(np.float32)}
 
 
-VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType()), T.StructField("known", T.LongType())])
 
 
 def verdict(spark: SparkSession, model: dict | None, text: str = "text") -> Column:
-    """struct<lang_pred, score> of a text column. Only texts go to Python; the model's size is bounded by the sample, so it
-    is broadcast."""
+    """struct<lang_pred, score, grams, known> of a text column: with the number of its distinct grams, and of those that
+    some landmark has. Only texts go to Python; the model's size is bounded by the sample, so it is broadcast."""
     if model is None:
-        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("grams"), F.lit(0).cast("long").alias("known"))
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(VERDICT)
@@ -127,37 +134,42 @@ def verdict(spark: SparkSession, model: dict | None, text: str = "text") -> Colu
                 known[word] = got
             return got
 
-        def scored(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        def scored(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
             x = np.zeros((len(texts), len(column)), np.float32)
             found = np.zeros(len(texts), bool)
+            counts = np.zeros((2, len(texts)), np.int64)
             for r, text in enumerate(texts):
                 words = letter_words(text)
                 if words:
                     grams = set().union(*[known.get(w) or coded(w) for w in words])
                     at = np.fromiter(grams, np.int64, len(grams))
-                    x[r, at[at >= 0]] = 1 / np.sqrt(len(grams))
+                    hit = at[at >= 0]
+                    x[r, hit] = 1 / np.sqrt(len(grams))
                     found[r] = True
+                    counts[:, r] = len(grams), len(hit)
             decision = (x @ model["marks"]) @ model["coefficients"] + model["bias"]
             best = decision.argmax(1)
             score = np.clip((decision[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1)
-            return [model["languages"][b] if f else UNDETERMINED for b, f in zip(best, found, strict=True)], np.where(found, score, 0.0)
+            return [model["languages"][b] if f else UNDETERMINED for b, f in zip(best, found, strict=True)], np.where(found, score, 0.0), counts
 
         for batch in batches:
             names: list[str] = []
-            scores = [np.zeros(0)]
+            scores, counts = [np.zeros(0)], [np.zeros((2, 0), np.int64)]
             for start in range(0, len(batch), 256):
                 if len(known) > REMEMBERED:
                     known.clear()
-                told, score = scored(batch.slice(start, 256).to_pylist())
+                told, score, count = scored(batch.slice(start, 256).to_pylist())
                 names += told
                 scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+                counts.append(count)
+            grams, hits = np.concatenate(counts, 1)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(grams), pa.array(hits)], VERDICT.names)
 
     return classify(text)
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` with ``verdict``, a struct of lang_pred and score."""
+    """``docs`` with ``verdict``, a struct of lang_pred, score, grams and known."""
     return docs.withColumn("verdict", verdict(docs.sparkSession, model))
 
 
@@ -169,8 +181,26 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     return predict(rows, model).select("doc_id", "held_out", "verdict.lang_pred", "verdict.score")
 
 
+def least_known(rows: DataFrame) -> dict[str, float]:
+    """For each language, the share of its grams that a long text must know, from all of ``rows`` (lang, text_hash, grams,
+    known); copies of a text count once."""
+    texts = rows.groupBy("lang", "text_hash").agg(F.first(F.col("known") / F.col("grams")).alias("share"))
+    of = texts.groupBy("lang").agg(F.percentile_approx("share", [LOW, 0.5], 10_000).alias("q")).collect()
+    return {r["lang"]: max(NEAR_LOW * r["q"][0], HALF * r["q"][1]) for r in of}
+
+
 def accepted(docs: DataFrame, folds: int = 5, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, in all their columns, whose language was told: some decision function claims them (score of ``least`` or more)."""
-    model = fit(training_sample(docs.where(fold("doc_id", folds) != 0)))
-    told = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return told.where((F.col("verdict.lang_pred") != UNDETERMINED) & (F.col("verdict.score") >= least)).select("row.*")
+    """The rows of ``docs``, in all their columns, whose language was told: some decision function claims them (score of
+    ``least`` or more), and they know as many of their grams as labelled rows of that language do (``least_known``), or miss
+    that by no more than chance."""
+    held_in = fold("doc_id", folds) != 0
+    model = fit(training_sample(docs.where(held_in)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(held_in & F.col("lang").isNotNull(), F.lit(False)).alias("labelled"), F.xxhash64("text").alias("text_hash"), "text")
+    told = land(predict(rows, model).drop("text"), "told").where(F.col("verdict.lang_pred") != UNDETERMINED)
+    limits = least_known(told.where("labelled").select("row.lang", "text_hash", "verdict.grams", "verdict.known"))
+    if not limits:
+        return told.where("false").select("row.*")
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("verdict.lang_pred"))
+    grams, unknown = F.col("verdict.grams"), F.col("verdict.grams") - F.col("verdict.known")
+    chance = SIGMAS * F.sqrt(grams * limit * (1 - limit))
+    return told.where((F.col("verdict.score") >= least) & (unknown <= grams * (1 - limit) + chance)).select("row.*")

@@ -1,3 +1,4 @@
+import random
 from zlib import crc32
 
 import numpy as np
@@ -60,3 +61,21 @@ def test_accepted_keeps_columns_and_drops_undetermined(frame, corpus):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert not ids & {900, 901, 902} and set(range(180)) <= ids
+
+
+def junk(n, seed, letters):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("names", [["aa"], ["aa", "cc"], ["aa", "cc", "дд"]])
+def test_accepted_drops_texts_in_no_learned_language(frame, prose, names):
+    clean = [(i * 3 + k, prose(60 if i else 2, i * 3 + k, SYLLABLES[name]), name, "s") for i in range(60) for k, name in enumerate(names)]
+    foreign = [(1000 + i, junk(40, i, letters), None, "s") for i, letters in enumerate(["αβγδεζηθ", "กขคงจฉชซ", "qwxzjkvpf", "bcdefghijklmnopqrstuvwxyz"])]
+    # junk that bears a label, even copied, does not switch the test off
+    labelled = [(2000 + i, junk(40, 50 + i % 3, "αβγδεζηθ"), "aa", "s") for i in range(5)]
+    told = lang.identify(frame([*clean, *foreign])).where("doc_id >= 1000").collect()
+    assert all(r["lang_pred"] != "und" and r["score"] >= 0.25 for r in told)  # the score alone lets all of them through
+    assert {r["doc_id"] for r in lang.accepted(frame([*clean, *foreign])).collect()} == {r[0] for r in clean}
+    kept = {r["doc_id"] for r in lang.accepted(frame([*clean, *foreign, *labelled])).collect()}
+    assert {r[0] for r in clean} <= kept and 1001 not in kept and 1002 not in kept
