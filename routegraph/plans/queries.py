@@ -251,11 +251,27 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return coverage.coverage_summary(c, "edge", tests, none).select("survey_key", "node_percent", "edge_percent")
 
 
+def _tests(tests: DataFrame) -> DataFrame:
+    return tests.select("survey_key", "id", "responses", F.array_join("expected_path", ">").alias("path"), F.array_join("covered_edges", ">").alias("edge_ids"))
+
+
 @query(None)
 def coverage_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Tests of the fixed survey, with answers made up for each and checked by simulation."""
-    tests, _, _ = coverage.coverage(customer_corpus(spark), "edge")
-    return tests.select("survey_key", "id", "responses", F.array_join("expected_path", ">").alias("path"), F.array_join("covered_edges", ">").alias("edge_ids"))
+    """Tests of the edges of every order's survey, with answers made up for each and checked by simulation."""
+    return _tests(coverage.coverage(order_corpus(spark, d), "edge")[0])
+
+
+@query(None)
+def coverage_tests_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The same for nodes."""
+    return _tests(coverage.coverage(order_corpus(spark, d), "node")[0])
+
+
+@query(None)
+def coverage_verified_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the verified tests cover of every order's survey; ``coverage_summary`` counts all structural paths."""
+    summary = coverage.coverage(order_corpus(spark, d), "edge")[2]
+    return summary.select("survey_key", "node_percent", "edge_percent", "n_unverified", "complete")
 
 
 # ---- repairs ---------------------------------------------------------------------------------------------------

@@ -155,3 +155,34 @@ def test_streams(spark, tmp_path):
     events = spark.sql("SELECT 'a' AS respondent, timestamp'2026-01-01 00:00:00' AS ts, 'Q1' AS question, '1' AS answer UNION ALL SELECT 'a', timestamp'2026-01-01 00:05:00', 'Q1', '2' UNION ALL SELECT 'a', timestamp'2026-01-01 00:06:00', 'Q2', '\"x\"' UNION ALL SELECT 'a', timestamp'2026-01-01 05:00:00', 'Q1', '3'")
     got = sorted(r["answers"] for r in gathered_answers(events).collect())
     assert [json.loads(x) for x in got] == [{"Q1": 2, "Q2": "x"}, {"Q1": 3}]
+
+
+def test_coverage_queries_verify_every_order(spark, tmp_path):
+    from routegraph.plans.derived import order_corpus
+    from routegraph.plans.queries import QUERIES
+
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string, l_returnflag string"
+    # order 1: E001 needs Q1 = 1, E002 always holds, E003 comes after E002 and can never be taken; order 2: one edge
+    lines = [(1, 1, 4, 7, 1.0), (1, 1, 1, 1, 2.0), (1, 1, 5, 1, 3.0), (1, 2, 1, 1, 1.0), (1, 3, 1, 1, 1.0), (2, 1, 1, 1, 1.0)]
+    rows = [(*x, float(i), 0.0, 0.0, "d", "A" if i == 0 else "R") for i, x in enumerate(lines)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c, d = order_corpus(spark, str(tmp_path)), str(tmp_path)
+    edges, entry = {}, {r["survey_key"]: r["entry_node"] for r in c.surveys.collect()}
+    for e in c.edges.orderBy("survey_key", "ord").collect():
+        edges.setdefault(e["survey_key"], []).append({"id": e["edge_id"], "source": e["source"], "target": e["target"], "condition": json.loads(e["condition"]) if e["condition"] else None, "priority": e["priority"]})
+    found = {}
+    for k in edges:  # brute force over the answers that the conditions can tell apart
+        body = {"survey": {"dag": {"entry_node": entry[k], "edges": edges[k]}, "terminal_nodes": ["END"]}}
+        asked = sorted({e["condition"][1] for e in edges[k] if e["condition"]})
+        found[k] = {tuple(by_hand(body, {q: v for q in asked})[1]) for v in (0, 1, 2, 3)}
+    tests = QUERIES["coverage_tests"](spark, d).collect()
+    assert {r["survey_key"] for r in tests} == {1, 2}
+    for r in tests:
+        body = {"survey": {"dag": {"entry_node": entry[r["survey_key"]], "edges": edges[r["survey_key"]]}, "terminal_nodes": ["END"]}}
+        path, taken, reason = by_hand(body, json.loads(r["responses"]))
+        assert (">".join(path), ">".join(taken), reason) == (r["path"], r["edge_ids"], "terminal")
+    for r in QUERIES["coverage_verified_summary"](spark, d).collect():
+        k = r["survey_key"]
+        assert r["edge_percent"] == round(len({e for t in found[k] for e in t}) / len(edges[k]) * 100)
+        assert r["complete"] == (k == 2) and (r["n_unverified"] > 0) == (k == 1)
+    assert {r["survey_key"] for r in QUERIES["coverage_tests_nodes"](spark, d).collect()} == {1, 2}
