@@ -37,36 +37,60 @@ def known_edges(corpus: Corpus) -> DataFrame:
     return kept.join(nodes.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_semi")
 
 
-def _nodes_of(rows: pd.DataFrame, nodes: set[str]) -> pd.DataFrame:
-    """Rows for ``nodes`` of the survey of ``rows``, typed even if there are none."""
-    keys = rows["survey_key"].iloc[[0] * len(nodes)].reset_index(drop=True)
-    return pd.DataFrame({"survey_key": keys, "node": pd.Series(sorted(nodes), dtype=object)})
-
-
-def _walked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one survey that its steps lead to from its starts (rows without a target)."""
-    after: dict[str, list[str]] = {}
-    for source, target in rows.loc[rows["target"].notna(), ["source", "target"]].itertuples(index=False):
-        after.setdefault(source, []).append(target)
-    todo = list(rows.loc[rows["target"].isna(), "source"])
-    seen = set(todo)
-    while todo:
-        new = set(after.get(todo.pop(), ())) - seen
-        seen |= new
-        todo += new
-    return _nodes_of(rows, seen)
+#: Surveys of up to so many rows (starts and steps) are folded as one row each; larger ones are walked by joins, a job for each hop.
+PACKED = 4096
 
 
 def _key_type(df: DataFrame) -> str:
     return df.schema["survey_key"].dataType.simpleString()
 
 
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` of surveys that fit in one row, and landed rows of larger ones, if there are any."""
+    rows = land(rows, "steps")
+    large = land(rows.groupBy("survey_key").agg(F.count("*").alias("n")).where(F.col("n") > PACKED).select("survey_key"), "large-surveys")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "survey_key", "left_anti"), land(rows.join(large, "survey_key", "left_semi"), "large-steps")
+
+
+def _folded(starts: Column, steps: Column) -> Column:
+    """Nodes that ``steps`` (array of source and target) lead to from ``starts``: hop by hop, each hop one more array of new nodes."""
+
+    def hop(levels: Column, _: Column) -> Column:
+        last = F.element_at(levels, -1)
+        met = F.transform(F.filter(steps, lambda s: F.array_contains(last, s["source"])), lambda s: s["target"])
+        return F.when(F.size(last) == 0, levels).otherwise(F.array_append(levels, F.array_except(met, F.flatten(levels))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(steps)), F.array(starts), hop, F.flatten)
+
+
+def _joined(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(survey_key, node) of all nodes met, by a join of the newest nodes with the steps for each hop. ``steps`` is a landed table."""
+    seen = front = land(starts.select("survey_key", "node").distinct(), "front")
+    hops = 0
+    while not front.isEmpty():
+        met = front.withColumnRenamed("node", "source").join(steps, ["survey_key", "source"]).select("survey_key", F.col("target").alias("node")).distinct()
+        front = land(met.join(seen, ["survey_key", "node"], "left_anti"), "front")
+        hops += 1
+        seen = seen.unionByName(front)
+        if hops % 10 == 0:
+            seen = land(seen, "seen")
+    return seen
+
+
 def closure(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """(survey_key, node) of all nodes that ``steps`` (survey_key, source, target) lead to from ``starts`` (survey_key, node),
-    starts included. Surveys are walked side by side, each in one task, as each is one document: one shuffle however
-    deep they are, where a join for each hop would take hundreds of jobs on a long questionnaire."""
+    starts included. Surveys of bounded size are one row each, folded without Python or further shuffles, however
+    deep they are; the rest are walked by joins, so that no survey has to fit in a task."""
     rows = steps.select("survey_key", "source", "target").unionByName(starts.select("survey_key", F.col("node").alias("source"), F.lit(None).cast("string").alias("target"))).distinct()
-    return rows.groupBy("survey_key").applyInPandas(_walked, f"survey_key {_key_type(steps)}, node string")
+    small, large = _by_size(rows)
+    begins = F.col("target").isNull()
+    packed = small.groupBy("survey_key").agg(F.collect_list(F.when(begins, F.col("source"))).alias("starts"), F.collect_list(F.when(~begins, F.struct("source", "target"))).alias("steps"))
+    met = packed.select("survey_key", F.explode(_folded(F.col("starts"), F.col("steps"))).alias("node"))
+    if large is None:
+        return met
+    return met.unionByName(_joined(large.where(begins).select("survey_key", F.col("source").alias("node")), large.where(~begins)))
 
 
 def reachable(corpus: Corpus) -> DataFrame:
@@ -82,11 +106,8 @@ def reaching_terminals(corpus: Corpus) -> DataFrame:
     return closure(ends, known_edges(corpus).select("survey_key", F.col("target").alias("source"), F.col("source").alias("target")))
 
 
-def _on_cycles(rows: pd.DataFrame) -> pd.DataFrame:
+def _on_cycles(after: dict[str, list[str]]) -> set[str]:
     """Nodes of one survey that lie on a cycle: those in a strongly connected part of several nodes, or with a loop."""
-    after: dict[str, list[str]] = {}
-    for source, target in rows[["source", "target"]].itertuples(index=False):
-        after.setdefault(source, []).append(target)
     index: dict[str, int] = {}
     low: dict[str, int] = {}
     open_: list[str] = []
@@ -113,12 +134,66 @@ def _on_cycles(rows: pd.DataFrame) -> pd.DataFrame:
             if stack:
                 low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
             if low[node] == index[node]:
-                part = open_[open_.index(node) :]
-                del open_[-len(part) :]
+                part = []
+                while not part or part[-1] != node:
+                    part.append(open_.pop())
                 closed.update(part)
                 if len(part) > 1:
                     found.update(part)
-    return _nodes_of(rows, found)
+    return found
+
+
+def _after(sources: list[str], targets: list[str]) -> dict[str, list[str]]:
+    after: dict[str, list[str]] = {}
+    for source, target in zip(sources, targets, strict=True):
+        after.setdefault(source, []).append(target)
+    return after
+
+
+def _cyclic_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of ``batches`` is one survey."""
+    for rows in batches:
+        found = [(r.survey_key, n) for r in rows.itertuples(index=False) for n in sorted(_on_cycles(_after(r.sources, r.targets)))]
+        yield pd.DataFrame(found, columns=["survey_key", "node"])
+
+
+def _ends(steps: DataFrame, *columns: str) -> DataFrame:
+    return steps.select("survey_key", F.explode(F.array(*columns)).alias("node")).distinct()
+
+
+def _cyclic_by_joins(steps: DataFrame) -> DataFrame:
+    """Nodes on cycles of surveys of any size. Steps whose source nothing leads to, or whose target leads nowhere, go until
+    none is left to go. Then each node takes the largest name that reaches it; the nodes that lead back to the owner of their name,
+    through nodes of that name, are one strongly connected part with it. Found parts go, and it begins anew."""
+    found = [steps.where("source = target").select("survey_key", F.col("source").alias("node"))]
+    left = land(steps.where("source <> target").distinct(), "cyclic")
+    while not left.isEmpty():
+        while True:
+            before = left.count()
+            left = left.join(left.select("survey_key", F.col("source").alias("target")).distinct(), ["survey_key", "target"], "left_semi")
+            left = land(left.join(left.select("survey_key", F.col("target").alias("source")).distinct(), ["survey_key", "source"], "left_semi"), "cyclic")
+            if left.count() == before:
+                break
+        names = land(_ends(left, "source", "target").withColumn("name", F.col("node")), "names")
+        while True:
+            passed = left.join(names.withColumnRenamed("node", "source"), ["survey_key", "source"]).groupBy("survey_key", F.col("target").alias("node")).agg(F.max("name").alias("more"))
+            names = land(names.join(passed, ["survey_key", "node"], "left").select("survey_key", "node", F.greatest("name", "more").alias("name"), (F.col("more") > F.col("name")).alias("new")), "names")
+            if names.where("new").isEmpty():
+                names = names.drop("new")
+                break
+            names = names.drop("new")
+        of = lambda end: names.select("survey_key", F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
+        inside = left.join(of("source"), ["survey_key", "source"]).join(of("target"), ["survey_key", "target"]).where("source_name = target_name")
+        back = land(inside.select("survey_key", F.col("target").alias("source"), F.col("source").alias("target")), "back")
+        part = land(_joined(names.where("node = name").select("survey_key", "node"), back), "part")
+        sizes = part.join(names, ["survey_key", "node"]).groupBy("survey_key", "name").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(land(part.join(names, ["survey_key", "node"]).join(sizes, ["survey_key", "name"], "left_semi").select("survey_key", "node"), "found"))
+        left = left.join(part.withColumnRenamed("node", "source"), ["survey_key", "source"], "left_anti")
+        left = land(left.join(part.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_anti"), "cyclic")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
 
 
 def cyclic_nodes(corpus: Corpus) -> DataFrame:
@@ -126,18 +201,15 @@ def cyclic_nodes(corpus: Corpus) -> DataFrame:
     open_ = corpus.nodes().where("not is_terminal").select("survey_key", "node")
     steps = known_edges(corpus).join(open_.withColumnRenamed("node", "source"), ["survey_key", "source"], "left_semi")
     steps = steps.join(open_.withColumnRenamed("node", "target"), ["survey_key", "target"], "left_semi").select("survey_key", "source", "target").distinct()
-    return steps.groupBy("survey_key").applyInPandas(_on_cycles, f"survey_key {_key_type(steps)}, node string")
+    small, large = _by_size(steps)
+    packed = small.groupBy("survey_key").agg(F.collect_list(F.struct("source", "target")).alias("steps")).select("survey_key", F.col("steps.source").alias("sources"), F.col("steps.target").alias("targets"))
+    met = packed.mapInPandas(_cyclic_rows, f"survey_key {_key_type(steps)}, node string")
+    return met if large is None else met.unionByName(_cyclic_by_joins(large))
 
 
-def _depth_first_cycles(rows: pd.DataFrame) -> pd.DataFrame:
+def _depth_first_cycles(nodes: list[str], ends: set[str], after: dict[str, list[str]]) -> list[list[str]]:
     """Back edges of a depth-first search, each with the stretch of path that it closes. The search keeps a stack of
     open edge lists, so depth is bounded by memory only."""
-    key = rows["survey_key"].iloc[0]
-    ends = set(rows.loc[rows["is_terminal"] & rows["target"].isna(), "source"])
-    nodes = sorted(rows.loc[rows["target"].isna(), "source"])
-    after: dict[str, list[str]] = {}
-    for r in rows[rows["target"].notna()].sort_values("rank").itertuples():
-        after.setdefault(r.source, []).append(r.target)
     done, found = set(), []
     for root in nodes:
         if root in done or root in ends:
@@ -156,17 +228,29 @@ def _depth_first_cycles(rows: pd.DataFrame) -> pd.DataFrame:
                 at[node] = len(path)
                 path.append(node)
                 todo.append(iter(after.get(node, ())))
-    return pd.DataFrame({"survey_key": [key] * len(found), "cycle_ix": range(len(found)), "cycle": found})
+    return found
+
+
+def _cycle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        found = [
+            (r.survey_key, i, c)
+            for r in rows.itertuples(index=False)
+            for i, c in enumerate(_depth_first_cycles(sorted(r.nodes), set(r.ends), _after(r.sources, r.targets)))
+        ]
+        yield pd.DataFrame(found, columns=["survey_key", "cycle_ix", "cycle"])
 
 
 def cycles(corpus: Corpus) -> DataFrame:
     """(survey_key, cycle_ix, cycle): one row for each back edge, in the order of a depth-first search from the sorted
-    nodes. Only surveys that have a cyclic node are searched, one at a time each."""
+    nodes. That order makes the search of one survey a walk of one task; many surveys share one, and only surveys that
+    have a cyclic node are searched."""
     hit = land(cyclic_nodes(corpus).select("survey_key").distinct(), "cyclic")
-    nodes = corpus.nodes().select("survey_key", F.col("node").alias("source"), F.lit(None).cast("string").alias("target"), "is_terminal", F.lit(0).alias("rank"))
-    ranks = outgoing_ranks(known_edges(corpus)).select("survey_key", "source", "target", F.lit(False).alias("is_terminal"), "rank")
-    kind = corpus.surveys.schema["survey_key"].dataType.simpleString()
-    return nodes.unionByName(ranks).join(hit, "survey_key", "left_semi").groupBy("survey_key").applyInPandas(_depth_first_cycles, f"survey_key {kind}, cycle_ix int, cycle array<string>")
+    nodes = corpus.nodes().join(hit, "survey_key", "left_semi").groupBy("survey_key").agg(F.collect_list("node").alias("nodes"), F.collect_list(F.when(F.col("is_terminal"), F.col("node"))).alias("ends"))
+    ranked = outgoing_ranks(known_edges(corpus).join(hit, "survey_key", "left_semi"))
+    steps = ranked.groupBy("survey_key").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "target"))).alias("steps"))
+    rows = nodes.join(steps, "survey_key").select("survey_key", "nodes", "ends", F.col("steps.source").alias("sources"), F.col("steps.target").alias("targets"))
+    return rows.mapInPandas(_cycle_rows, f"survey_key {_key_type(rows)}, cycle_ix int, cycle array<string>")
 
 
 def block_order(corpus: Corpus) -> DataFrame:
@@ -224,8 +308,8 @@ def _enumerate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for r in rows.itertuples(index=False):
             after: dict[str, list[tuple[str, str]]] = {}
-            for e in r.steps:
-                after.setdefault(e["source"], []).append((e["target"], e["edge_id"]))
+            for source, target, edge_id in zip(r.sources, r.targets, r.ids, strict=True):
+                after.setdefault(source, []).append((target, edge_id))
             found = ((r.survey_key, i, p, e) for i, (p, e) in enumerate(_paths_of(r.entry_node, set(r.ends), after)))
             while batch := list(islice(found, 2000)):
                 yield pd.DataFrame(batch, columns=columns)
@@ -239,5 +323,7 @@ def simple_paths(corpus: Corpus) -> DataFrame:
     steps = outgoing_ranks(corpus.edges).where("target is not null").groupBy("survey_key").agg(listed.alias("steps"))
     ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("ends"))
     rows = corpus.surveys.where("entry_node is not null").select("survey_key", "entry_node").join(steps, "survey_key", "left").join(ends, "survey_key", "left")
-    rows = rows.withColumns({"steps": F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), "ends": F.coalesce("ends", F.array().cast("array<string>"))})
+    none = F.array().cast("array<string>")
+    listed = {"sources": F.col("steps.source"), "targets": F.col("steps.target"), "ids": F.col("steps.edge_id"), "ends": F.col("ends")}
+    rows = rows.select("survey_key", "entry_node", *[F.coalesce(c, none).alias(k) for k, c in listed.items()])
     return rows.mapInPandas(_enumerate, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")

@@ -30,7 +30,8 @@ def query(sql: str | None, *preludes: str):
 
 
 def _corpus(spark: SparkSession, d: str):
-    return order_corpus(spark, d).landed(land)
+    """The tables of all orders, as plans that each query prunes; operators that read a table again and again land it."""
+    return order_corpus(spark, d)
 
 
 # ---- checks ----------------------------------------------------------------------------------------------------
@@ -337,7 +338,7 @@ def heal_duplicate_priority(spark: SparkSession, d: str) -> DataFrame:
 
 def _patched(spark: SparkSession, d: str):
     """Priority moves of surveys with an even key approved, of others rejected."""
-    c = _corpus(spark, d)
+    c = _corpus(spark, d).landed(land)
     issues = validation.priority_issues(c)
     issues = issues.withColumn("issue_no", F.row_number().over(W.partitionBy("survey_key").orderBy("o1", "o2"))).withColumn("id", F.format_string("ISSUE_%04d", F.col("issue_no")))
     recommendations = land(healing.recommend(c, issues), "recommendations")
