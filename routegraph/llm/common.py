@@ -48,9 +48,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+#: Where tables go in local mode when spark.checkpoint.dir is unset, as in tests; a cluster must name a shared folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = LOCAL_FOLDER
     return f"{at.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
@@ -72,7 +80,12 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     return parts.withColumn("_inside", inside).join(offsets, "_part").withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_part", "_n", "_before", "_inside")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove every table that this application has landed; results that still read them must be written first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_folder(spark))

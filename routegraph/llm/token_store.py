@@ -3,14 +3,16 @@
 ``write_store`` encodes whole texts, appends the end id, cuts each id stream into chunks where a rolling
 hash of the last ids says so, and writes
 
-* ``chunks/``: every distinct chunk once: its SHA-256 address, number of ids and packed ids;
-* ``recipes/``: for each document, in ascending order of id, where it starts, its number of ids, the addresses of its
-  chunks and their Merkle root;
-* ``manifest/``: a Merkle root for each recipe file part, and one over all of them.
+* ``chunks/``: every distinct chunk once: its SHA-256 address, number of ids and packed ids. Tasks write chunks where they
+  make them; only addresses are shuffled, to choose the copy that stays;
+* ``recipes/``: for each document, in ascending order of id, its number in that order, where it starts, its number of ids, the
+  addresses of its chunks and the hash of their list;
+* ``manifest/``: the nodes of a Merkle tree of FAN branches over the recipes in that order. A leaf covers all of its recipe
+  (number, doc_id, start, n_tokens, hash), a node its children in order and what they hold; the last level is one root.
 
-``read_store`` reads the files back, checks every chunk against its address, every recipe against its
-root and the manifest against the recipes, and joins chunk facts to documents. CRC-32 values of chunks combine to the CRC-32 of the
-document, so chunk payloads never move. ``read_ids`` gives the ids themselves.
+``read_store`` reads the files back, checks every chunk against its address, every recipe against its hash, that each
+document starts where the one before ended, and the whole tree against the manifest, and joins chunk facts to documents. CRC-32
+values of chunks combine to the CRC-32 of the document, so chunk payloads never move. ``read_ids`` gives the ids themselves.
 
 Ids are packed as little-endian unsigned integers of the least width that holds the vocabulary (2 bytes here).
 
@@ -27,38 +29,67 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import shared_folder
+from .common import land, remove, shared_folder
 
 #: Chunks end where the rolling hash has MASK_BITS zero bits, after MIN ids at least and MAX at most.
 ROLL, MASK_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 4096
-#: Words whose ids a process remembers, twice: when they are so many, they become the earlier ones, and the ones before are
-#: forgotten. That changes no result.
-REMEMBERED = 350_000
+#: Children of a node of the manifest.
+FAN = 1024
+#: Places of repeated chunks are broadcast only up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_PLACES = 1_000_000
+#: Words whose ids a process remembers: those met once, and those met again. When either are too many, they are forgotten and
+#: learned anew, which changes no result.
+MET_ONCE, MET_AGAIN = 300_000, 700_000
+#: Chunks that a task remembers to have sent.
+SENT = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Pairs of white space, at which the pre-tokenizer looks beyond a word.
 PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: White space that is neither a space nor a newline.
 ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Marks that the pre-tokenizer takes as one piece when they end a word; an apostrophe is none of them, as it may begin a piece.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 OTHER_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class _Known(dict):
+    """Ids of words, learned as they are asked for. Most words of a large corpus are met once, so a word stays only when it is met
+    again before the words met once have become too many."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+        self.once: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.once.pop(word, None)
+        if ids is not None:
+            if len(self) > MET_AGAIN:
+                self.clear()
+            self[word] = ids
+            return ids
+        ids = self.learn(word)
+        if len(self.once) > MET_ONCE:
+            self.once.clear()
+        self.once[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level pre-tokenizer never joins a word with the space or newline that follows it, so a text in which words
     are parted by single spaces and newlines is the concatenation of its words' encodings, each with what stands before
-    it. Words are encoded by the library, many at a time, and remembered. Texts with other white space, or with the
+    it. Words are encoded by the library and remembered. Texts with other white space, or with the
     string of a special token, are encoded whole.
     """
 
@@ -69,6 +100,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a word of letters alone is one piece to the pre-tokenizer, which writes each of its bytes as a letter; such words
         # go to the library's model at once
@@ -77,12 +109,11 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.newline = self._whole("\n")
-        self.marks = {m: self._whole(m) for m in ".,!?;:"}
-        self.known: dict[str, bytes] = {}
-        self.earlier: dict[str, bytes] = {}
+        self.marks = _Known(self._whole)
+        self.known = _Known(self._learn)
 
     def packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -100,39 +131,25 @@ class Encoder:
     def _letters(self, word: str, before: str = "") -> bytes:
         """Ids of a piece of letters after ``before``: the library's model takes each byte as a letter."""
         shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return self.packed([t.id for t in self.pieces(before + shown)])
-
-    def _learn(self, words: set[str]) -> None:
-        known, marks = self.known, self.marks
-        known.update((w, self.earlier[w]) for w in self.earlier.keys() & words)
-        new, composed = set(), []
-        for w in words.difference(known):
-            if w[-1] in marks and w[-2:-1].isalnum():  # a mark after a letter or digit is a piece of its own
-                composed.append(w)
-                w = w[:-1]
-            new.add(w)
-        rest = []
-        for w in new.difference(known):
-            if self.pieces is None:
-                rest.append(w)
-            elif w.isalpha():
-                known[w] = self._letters(w, "\u0120")
-            elif w[0] in "\t\n" and w[1:].isalpha():
-                known[w] = (self.newline if w[0] == "\n" else b"") + self._letters(w[1:])
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.lstrip("\t") if w[0] in "\t\n" else " " + w for w in rest], add_special_tokens=False), strict=True):
-            known[w] = self.packed(e.ids)
-        for w in composed:
-            known[w] = known[w[:-1]] + marks[w[-1]]
+        return array(self.code, [t.id for t in self.pieces(before + shown)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        if word.isalpha() and self.pieces:
+            return self._letters(word, "\u0120")
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-1:].isalnum():  # marks after a letter or digit are a piece of their own
+            return self.known[stem] + self.marks[word[len(stem) :]]
+        if word[0] in "\t\n":
+            rest = word[1:]
+            if rest.isalpha() and self.pieces:
+                return (self.newline if word[0] == "\n" else b"") + self._letters(rest)
+            return self._whole(rest if word[0] == "\t" else word)
+        return self._whole(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        ids = self.known.__getitem__
         cut = [self._plain(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.earlier = {}, self.known
-        self._learn(set(chain.from_iterable(c for c in cut if c)).difference(self.known))
-        known = self.known
-        return [(self._whole(t) if t else b"") if c is None else b"".join([known[w] for w in c]) for t, c in zip(texts, cut, strict=True)]
+        return [(self._whole(t) if t else b"") if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 #: A worker process keeps its encoder, and the words it knows, for its next task.
@@ -166,14 +183,16 @@ def chunk_ends(n: int, may: list[int]) -> list[int]:
     return ends
 
 
-def merkle_root(leaves: list[bytes]) -> bytes:
-    level = leaves or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"".join(level[i : i + 2])).digest() for i in range(0, len(level), 2)]
-    return level[0]
+def list_hash(addresses: list[bytes]) -> str:
+    """The hash of a document's chunk list; ``_list_hash`` is the same as a column."""
+    return hashlib.sha256("".join(a.hex().upper() for a in addresses).encode()).hexdigest()
+
 
+def _list_hash(addresses: str) -> Column:
+    return F.sha2(F.array_join(F.transform(addresses, F.hex), ""), 256)
 
-ENCODED = "doc_id long, n_tokens long, addresses array<binary>, root binary, address binary, n_ids int, payload binary"
+
+ENCODED = "doc_id long, n_tokens long, addresses array<binary>, root string, address binary, n_ids int, payload binary"
 
 
 def _encoder(path: str, end_id: int):
@@ -203,59 +222,73 @@ def _encoder(path: str, end_id: int):
                             sent.add(address)
                             rows.append((None, None, None, None, address, e - last, payload))
                         last = e
-                    rows.append((doc_id, n, addresses, merkle_root(addresses), None, None, None))
-                if len(sent) > REMEMBERED:
+                    rows.append((doc_id, n, addresses, list_hash(addresses), None, None, None))
+                if len(sent) > SENT:
                     sent.clear()
-                types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string(), pa.binary(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
 
     return run
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Recipes, and the first row of each address. The task holds the addresses of its part, some hundredths of its bytes."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for i, a in enumerate(batch.column("address").to_pylist()):
-            if a is None or a not in seen:
-                keep.append(i)
-                if a is not None:
-                    seen.add(a)
-        yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+def _unique_chunks(made: DataFrame) -> DataFrame:
+    """One of the chunks of each address: the one in the first place. Addresses are counted before they are shuffled, and a
+    task has made each of its chunks about once, so no address has more rows than there are tasks."""
+    places = made.where("address is not null").select("address", "place")
+    repeated = places.groupBy("address").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = land(places.join(repeated, "address").where("place > first").select("place"), "repeated-chunks")
+    chunks = made.where("address is not null").select("address", "n_ids", "payload", "place")
+    return chunks.join(F.broadcast(gone) if gone.count() <= BROADCAST_PLACES else gone, "place", "left_anti").drop("place")
 
 
-@F.pandas_udf(T.BinaryType())
-def _root(addresses: pd.Series) -> pd.Series:
-    return addresses.map(lambda a: merkle_root([bytes(x) for x in a]))
+CHUNKS = "address binary, n_ids int, payload binary"
+RECIPES = "number long, doc_id long, start long, n_tokens long, addresses array<binary>, root string"
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Write the store of ``docs`` under ``path``, a folder that all executors share."""
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(tokenizer_path, end_id), ENCODED)
-    # one exchange deals chunks by address and recipes by document; equal chunks meet in one task
-    dealt = encoded.repartition(F.coalesce(F.xxhash64("address"), F.xxhash64("doc_id", "n_tokens")))
-    dealt.mapInArrow(_first_of_each, ENCODED).withColumn("kind", F.when(F.col("address").isNull(), "recipe").otherwise("chunk")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
     spark = docs.sparkSession
-    parts = spark.read.schema(ENCODED + ", kind string").parquet(f"{path}/parts").where("kind = 'recipe'")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(tokenizer_path, end_id), ENCODED)
+    # places are drawn once, when the table is written, and then are stored values
+    encoded.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/made")
+    made = spark.read.schema(ENCODED + ", place long").parquet(f"{path}/made")
+    _unique_chunks(made).write.option("compression", "zstd").parquet(f"{path}/chunks")
     # ascending documents: range parts, with what comes before each part added
-    ordered = parts.select("doc_id", "n_tokens", "addresses", "root").sort(F.asc_nulls_first("doc_id"), "n_tokens", "addresses").withColumn("part", F.spark_partition_id())
-    ordered.write.option("compression", "zstd").parquet(f"{path}/ordered")
-    ordered = spark.read.schema("doc_id long, n_tokens long, addresses array<binary>, root binary, part int").parquet(f"{path}/ordered")
-    sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    offsets = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "addresses").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    recipes = ordered.withColumn("inside", inside).join(offsets, "part").select("part", "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "addresses", "root")
+    order = (F.asc_nulls_first("doc_id"), "n_tokens", "root")
+    parts = made.where("address is null").select("doc_id", "n_tokens", "addresses", "root").sort(*order).withColumn("part", F.spark_partition_id())
+    ordered = land(parts, "ordered-recipes")
+    sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("tokens", "rows")])
+    inside = W.partitionBy("part").orderBy(*order)
+    recipes = ordered.withColumns({"upto": F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)), "nth": F.row_number().over(inside)}).join(offsets, "part")
+    start = F.col("tokens_before") + F.col("upto") - F.col("n_tokens")
+    recipes = recipes.select((F.col("rows_before") + F.col("nth") - 1).alias("number"), "doc_id", start.alias("start"), "n_tokens", "addresses", "root")
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    written = spark.read.schema(recipes.schema).parquet(f"{path}/recipes")
-    _roots(written).write.parquet(f"{path}/manifest")
+    tree(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    remove(spark, f"{path}/made")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """A digest for each part over the sums of its recipes' roots: independent of the order in which rows are read."""
-    word = lambda i: F.conv(F.hex(F.substring("root", 1 + 4 * i, 4)), 16, 10).cast("long")
-    sums = recipes.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), *[F.sum(word(i)).alias(f"s{i}") for i in range(8)])
-    return sums.select("part", "n", "tokens", F.sha2(F.concat_ws(",", "n", "tokens", *[f"s{i}" for i in range(8)]).cast("binary"), 256).alias("root"))
+NODES = "level int, node long, start long, tokens long, documents long, gapless boolean, hash string"
+
+
+def tree(recipes: DataFrame) -> DataFrame:
+    """All nodes of the Merkle tree over ``recipes``, level 1 to the root: a node holds FAN children at most, so no task sees
+    more of a level than that at once. ``gapless`` says whether each child begins where the one before it ended."""
+    leaf = F.sha2(F.concat_ws(",", "number", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", "root"), 256)
+    level, k, every = recipes.select(F.col("number").alias("node"), "start", F.col("n_tokens").alias("tokens"), F.lit(1).cast("long").alias("documents"), F.lit(True).alias("gapless"), leaf.alias("hash")), 0, None
+    while True:
+        k += 1
+        children = F.array_sort(F.collect_list(F.struct("node", "start", "tokens", "hash", "gapless")))
+        up = level.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(children.alias("c"), F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
+        # each child begins where the sum of those before it says
+        run = F.aggregate("c", F.struct(F.col("c")[0]["start"].alias("at"), F.lit(True).alias("ok")), lambda s, x: F.struct((s["at"] + x["tokens"]).alias("at"), (s["ok"] & x["gapless"] & (s["at"] == x["start"])).alias("ok")))
+        hashed = F.sha2(F.concat_ws(",", F.col("node").cast("string"), F.col("tokens").cast("string"), F.col("documents").cast("string"), F.array_join(F.transform("c", lambda x: x["hash"]), ",")), 256)
+        level = land(up.select("node", F.col("c")[0]["start"].alias("start"), "tokens", "documents", run["ok"].alias("gapless"), hashed.alias("hash")), "manifest")
+        nodes = level.select(F.lit(k).alias("level"), "node", "start", "tokens", "documents", "gapless", "hash")
+        every = nodes if every is None else every.unionByName(nodes)
+        if level.count() <= 1:
+            return every
 
 
 CHECKED = "address binary, n int, crc long"
@@ -272,68 +305,74 @@ def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(address, pa.binary()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
 
 
-_ZEROS: list[list[int]] = []
-
-
-def _times(matrix: list[int], vector: int) -> int:
-    out = i = 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[i]
-        vector >>= 1
-        i += 1
-    return out
-
-
-def crc32_after(crc: int, more: int, n_bytes: int) -> int:
-    """CRC-32 of a text followed by ``n_bytes`` bytes whose CRC-32 is ``more``: advance ``crc`` over zero
-    bytes by squared matrices over GF(2), as the CRC is linear."""
-    if not _ZEROS:
-        step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-        for k in range(48):
-            if k >= 3:
-                _ZEROS.append(step)  # 2 ** (k - 3) zero bytes
-            step = [_times(step, x) for x in step]
-    k = 0
-    while n_bytes:
-        if n_bytes & 1:
-            crc = _times(_ZEROS[k], crc)
-        n_bytes >>= 1
-        k += 1
-    return crc ^ more
+#: For 2 ** k zero bytes, k = 0, 1, ..: what they make of each byte of a CRC-32, as four tables of 256.
+_ZEROS: list[np.ndarray] = []
+
+
+def _zeros(k: int) -> np.ndarray:
+    while len(_ZEROS) <= k:
+        if _ZEROS:
+            last = _ZEROS[-1]
+            _ZEROS.append(np.stack([_over(last, row) for row in last]))
+        else:
+            step = np.array([zlib.crc32(b"\0", b) for b in range(256)], np.uint32) ^ np.uint32(zlib.crc32(b"\0", 0))
+            # one zero byte moves the upper bytes down and replaces the lowest by its table entry
+            byte = np.arange(256, dtype=np.uint32)
+            _ZEROS.append(np.stack([step, byte, byte << np.uint32(8), byte << np.uint32(16)]))
+    return _ZEROS[k]
 
 
-@F.pandas_udf(T.LongType())
-def _joined_crc(pieces: pd.Series) -> pd.Series:
-    def one(rows):
-        crc = 0
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            crc = crc32_after(crc, r["crc"], 4 * r["n"])
-        return crc
+def _over(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return tables[0][crc & 255] ^ tables[1][crc >> 8 & 255] ^ tables[2][crc >> 16 & 255] ^ tables[3][crc >> 24]
+
+
+def crc32_after(crc: np.ndarray, more: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """CRC-32 values of texts followed by ``n_bytes`` bytes whose CRC-32 values are ``more``: ``crc`` advances over zero
+    bytes, in powers of two, as the CRC is linear."""
+    crc, n_bytes, k = np.asarray(crc, np.uint32).copy(), np.asarray(n_bytes, np.int64), 0
+    while (n_bytes >> k).any():
+        at = np.flatnonzero(n_bytes >> k & 1)
+        crc[at] = _over(_zeros(k), crc[at])
+        k += 1
+    return crc ^ np.asarray(more, np.uint32)
+
 
-    return pd.Series([one(r) for r in pieces], dtype="int64")
+@F.arrow_udf(T.LongType())
+def _joined_crc(pieces: pa.Array) -> pa.Array:
+    """CRC-32 of each document from those of its chunks (structs of seq, crc, n): the k-th chunks of all documents at a time."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(pieces), 0), np.int64)
+    flat = pieces.flatten()
+    doc = np.repeat(np.arange(len(n)), n)
+    seq, crc, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("seq", "crc", "n"))
+    order = np.lexsort((doc, seq))
+    cuts = [0, *(np.flatnonzero(np.diff(seq[order])) + 1).tolist(), len(order)]
+    out = np.zeros(len(n), np.uint32)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = order[a:b]
+        out[doc[at]] = crc32_after(out[doc[at]], crc[at].astype(np.uint32), 4 * size[at].astype(np.int64))
+    return pa.array(out.astype(np.int64))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files, with all checks; a failed check fails the job."""
-    chunks = spark.read.schema(ENCODED + ", kind string").parquet(f"{path}/parts").where("kind = 'chunk'").select("address", "n_ids", "payload")
-    facts = chunks.mapInArrow(_check_chunks, CHECKED)
-    recipes = spark.read.schema("part int, doc_id long, start long, n_tokens long, addresses array<binary>, root binary").parquet(f"{path}/recipes")
-    manifest = spark.read.schema("part int, n long, tokens long, root string").parquet(f"{path}/manifest")
-    wrong = _roots(recipes).exceptAll(manifest).unionByName(manifest.exceptAll(_roots(recipes))).count()
-    if wrong:
-        raise ValueError(f"{wrong} parts do not match the manifest")
-    checked = recipes.where(F.assert_true(_root("addresses") == F.col("root"), "a recipe does not match its root").isNull())
-    pieces = checked.select("start", "doc_id", "n_tokens", F.posexplode("addresses").alias("seq", "address"))
-    joined = pieces.join(facts, "address", "left").groupBy("start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("seq", "crc", "n")).alias("pieces"))
+    facts = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").mapInArrow(_check_chunks, CHECKED)
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    found, manifest = land(tree(recipes), "manifest-read"), spark.read.schema(NODES).parquet(f"{path}/manifest")
+    if not found.where("not gapless or (node = 0 and start <> 0)").isEmpty():
+        raise ValueError("a document does not start where the one before it ends")
+    if wrong := found.exceptAll(manifest).unionByName(manifest.exceptAll(found)).count():
+        raise ValueError(f"{wrong} nodes do not match the manifest")
+    checked = recipes.where(F.assert_true(_list_hash("addresses") == F.col("root"), "a recipe does not match its hash").isNull())
+    pieces = checked.select("number", "start", "doc_id", "n_tokens", F.posexplode("addresses").alias("seq", "address"))
+    joined = pieces.join(facts, "address", "left").groupBy("number", "start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("seq", "crc", "n")).alias("pieces"))
     whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n"]) == F.col("n_tokens")
     return joined.where(F.assert_true(whole, "a document lacks a chunk").isNull()).select("doc_id", "start", "n_tokens", _joined_crc("pieces").alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame) -> DataFrame:
-    """(doc_id, seq, payload) of the chosen documents: their packed ids, chunk by chunk."""
-    recipes = spark.read.parquet(f"{path}/recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = spark.read.schema(ENCODED + ", kind string").parquet(f"{path}/parts").where("kind = 'chunk'").select("address", "payload")
+    """(doc_id, start, seq, address, payload) of the chosen documents: their packed ids, chunk by chunk."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("address", "payload")
     return recipes.select("doc_id", "start", F.posexplode("addresses").alias("seq", "address")).join(chunks, "address")
 
 

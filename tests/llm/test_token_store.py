@@ -40,10 +40,28 @@ def test_encoder_on_random_texts(tokenizer, texts):
         assert np.frombuffer(got, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_is_a_letter_to_the_library(tokenizer):
+    """Words of one letter, or of a letter and a mark, over all of Unicode: the short cut and the library agree."""
+    encoder = s.Encoder(PATH)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    for i in range(0, len(letters), 4000):
+        text = " ".join(["x", *(x + m for x in letters[i : i + 4000] for m in ("", "!", "a&&"))])
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_forgetting_words_changes_nothing(tokenizer, prose, monkeypatch):
+    monkeypatch.setattr(s, "MET_ONCE", 3)
+    monkeypatch.setattr(s, "MET_AGAIN", 2)
+    encoder, text = s.Encoder(PATH), prose(400, 1)
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=60), st.binary(max_size=600))
-def test_crc_of_joined_pieces(a, b):
-    assert s.crc32_after(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@given(st.lists(st.tuples(st.binary(max_size=60), st.binary(max_size=600)), max_size=4))
+def test_crc_of_joined_pieces(pairs):
+    got = s.crc32_after([zlib.crc32(a) for a, _ in pairs], [zlib.crc32(b) for _, b in pairs], [len(b) for _, b in pairs])
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in pairs]
 
 
 def test_chunks_are_found_again_wherever_they_stand():
@@ -73,29 +91,69 @@ def test_round_trip(spark, frame, docs, tokenizer):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
-def test_unique_chunks_ids_and_damage(spark, frame, docs, tokenizer):
+@pytest.fixture
+def store(spark, frame, docs):
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     s.write_store(frame(docs), path, PATH)
-    parts = spark.read.parquet(f"{path}/parts")
-    chunks = parts.where("kind = 'chunk'")
+    return path
+
+
+def test_chunks_are_stored_once_and_ids_come_back(spark, docs, store, tokenizer):
+    chunks = spark.read.parquet(f"{store}/chunks")
     assert chunks.count() == chunks.select("address").distinct().count()
-    got = s.read_ids(spark, path, spark.createDataFrame([(101,)], "doc_id long")).orderBy("seq").collect()
+    got = s.read_ids(spark, store, spark.createDataFrame([(101,)], "doc_id long")).orderBy("seq").collect()
     ids = np.frombuffer(b"".join(r["payload"] for r in got), "<u2").tolist()
     assert ids == [*tokenizer.encode(docs[41][1], add_special_tokens=False).ids, 0]
-    bad = f"{path}-bad"
-    for name in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{name}").write.parquet(f"{bad}/{name}")
-    flipped = parts.withColumn("payload", __import__("pyspark.sql.functions", fromlist=["F"]).reverse(parts.payload.cast("string")).cast("binary"))
-    flipped.write.partitionBy("kind").parquet(f"{bad}/parts")
-    with pytest.raises(Exception, match="address"):
-        s.read_store(spark, bad).count()
-    lacking = f"{path}-lacking"
-    for name in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{name}").write.parquet(f"{lacking}/{name}")
-    first = chunks.first()["address"]
-    parts.where(parts.address.isNull() | (parts.address != first)).write.partitionBy("kind").parquet(f"{lacking}/parts")
-    with pytest.raises(Exception, match="lacks a chunk|NULL|null"):
-        s.read_store(spark, lacking).collect()
+
+
+def test_many_places_are_joined_by_a_shuffle(spark, frame, docs, monkeypatch):
+    monkeypatch.setattr(s, "BROADCAST_PLACES", 0)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    s.write_store(frame(docs).repartition(6), path, PATH)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    assert chunks.count() == chunks.select("address").distinct().count() and s.read_store(spark, path).count() == len(docs)
+
+
+DAMAGE = {
+    "swapped ids": ("recipes", "CASE doc_id WHEN 3 THEN 4 WHEN 4 THEN 3 ELSE doc_id END AS doc_id", "manifest"),
+    "a start": ("recipes", "CASE doc_id WHEN 7 THEN 99999 ELSE start END AS start", "does not start"),
+    "order": ("recipes", "CASE number WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE number END AS number", "does not start|manifest"),
+    "a length": ("recipes", "CASE doc_id WHEN 9 THEN n_tokens + 1 ELSE n_tokens END AS n_tokens", "does not start|manifest"),
+    "a chunk list": ("recipes", "CASE doc_id WHEN 100 THEN reverse(addresses) ELSE addresses END AS addresses", "hash"),
+    "a payload": ("chunks", "CASE WHEN n_ids > 60 THEN CAST(concat(payload, X'00') AS BINARY) ELSE payload END AS payload", "address"),
+    "the manifest": ("manifest", "concat('0', substring(hash, 2)) AS hash", "manifest"),
+}
+
+
+@pytest.mark.parametrize("case", DAMAGE)
+def test_damage_is_refused(spark, store, case):
+    table, change, says = DAMAGE[case]
+    bad = f"{store}-{uuid.uuid4().hex}"
+    for name in ("chunks", "recipes", "manifest"):
+        rows = spark.read.parquet(f"{store}/{name}")
+        if name == table:
+            rows = rows.selectExpr(*[c for c in rows.columns if c != change.rsplit(" ", 1)[-1]], change)
+        rows.write.parquet(f"{bad}/{name}")
+    with pytest.raises(Exception, match=says):
+        s.read_store(spark, bad).collect()
+
+
+@pytest.mark.parametrize("table", ["chunks", "recipes"])
+def test_lost_rows_are_refused(spark, store, table):
+    bad = f"{store}-{uuid.uuid4().hex}"
+    for name in ("chunks", "recipes", "manifest"):
+        rows = spark.read.parquet(f"{store}/{name}")
+        lost = "number = 20" if name == "recipes" else f"address = X'{rows.first()['address'].hex()}'" if name == "chunks" else "false"
+        (rows.where(f"not ({lost})") if name == table else rows).write.parquet(f"{bad}/{name}")
+    with pytest.raises(Exception, match="lacks a chunk|NULL|null|does not start|manifest"):
+        s.read_store(spark, bad).collect()
+
+
+def test_small_fans_give_more_levels(spark, store, docs, monkeypatch):
+    monkeypatch.setattr(s, "FAN", 4)
+    nodes = s.tree(spark.read.parquet(f"{store}/recipes")).collect()
+    assert sorted({r["level"] for r in nodes}) == [1, 2, 3] and all(r["gapless"] for r in nodes)
+    assert [r["documents"] for r in nodes if r["level"] == 3] == [len(docs)]
 
 
 def test_empty(spark, frame):
