@@ -5,12 +5,14 @@ contain (a blended spectrum of presences), normalised. Nystroem landmarks give a
 regression on it gives one decision function for each learned language. Documents are scored in batches: presence
 matrix times landmark matrix times coefficients.
 
-The classifier is fitted on a bounded sample of labelled rows: PER_LANGUAGE documents of each language, drawn by a
-hash of the text; LANDMARKS of them are landmarks. Everything is predicted from whole texts alone.
+The classifier is fitted on a bounded sample of labelled rows: PER_LANGUAGE different texts of each of the MOST_LANGUAGES
+commonest languages, those with the least hashes; LANDMARKS of each language, or fewer if there are very many languages, are
+landmarks. Everything is predicted from whole texts alone.
 
 Defined results: a null text, and a text without a letter, is ``und`` with score 0; with nothing to learn from, every
-text is ``und``; a row without an id is never learned from and is not held out; repeated rows get equal predictions; an
-empty table gives an empty result. Only doc_id, text and lang are read.
+text is ``und``; a row without an id is never learned from and is not held out; copies of a text are learned from once and
+get equal predictions; an empty table gives an empty result. Only doc_id, text and lang are read; ``predict`` keeps all columns
+but one of its own name, ``verdict``.
 
 The decision values of a text sum to 2 - K over K languages, so the best one says which language is likeliest, not
 that the text is in any: ``accepted`` also asks how many of a text's grams the landmarks know, and holds that share
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import fold, land
 
 UNDETERMINED = "und"
-PER_LANGUAGE = 250
-LANDMARKS = 128
+PER_LANGUAGE, MOST_LANGUAGES = 250, 100
+#: Landmarks of each language, and of all languages together.
+LANDMARKS, ALL_LANDMARKS = 32, 1024
 RIDGE = 1e-2
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose grams a task remembers; longer words are not remembered.
@@ -55,35 +59,38 @@ def letter_words(text: str | None) -> set[str]:
     return found if any(any(map(str.isalpha, w)) for w in found) else set()
 
 
+def sample_texts(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> DataFrame:
+    """(lang, draw, text): at most ``per_language`` different texts of each of the ``most`` commonest languages, those of the
+    least hashes. Copies meet in an aggregate that begins in each task, and a task passes on its ``per_language`` least
+    hashes of a language, so neither a common text nor a common language comes to one task."""
+    rows = train.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("draw"))
+    texts = land(rows.select("lang", "draw").distinct(), "labelled-texts")
+    common = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang")
+    least = texts.join(F.broadcast(common), "lang", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= per_language)
+    chosen = land(least.select("lang", "draw"), "sample")  # at most per_language * most rows
+    return rows.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.min("text").alias("text"))
+
+
 def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grams = [sorted(set().union(*map(word_grams, letter_words(t)))) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(grams, pa.list_(pa.int64()))], ["lang", "draw", "grams"])
 
 
-def training_sample(train: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """At most ``per_language`` (language, grams) of each language, by the least hashes of their texts. A share a
-    little above what is needed is drawn first, so what reaches the driver is bounded."""
-    rows = train.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("draw"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    span = 1 << 30
-    limit = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(span * min(1.0, 1.5 * per_language / n + 20 / n))))]), F.col("lang"))
-    drawn = rows.where(F.pmod("draw", F.lit(span)) <= limit).mapInArrow(_sample_grams, "lang string, draw long, grams array<long>").toPandas()
-    drawn = drawn.assign(part=drawn["draw"] % span).sort_values(["lang", "part", "draw"], kind="stable")
-    chosen = drawn[drawn["grams"].map(len) > 0].drop_duplicates(["lang", "draw"]).groupby("lang").head(per_language)
-    return [(lang, np.asarray(g, np.int64)) for lang, g in zip(chosen["lang"], chosen["grams"], strict=True)]
+def training_sample(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> list[tuple[str, np.ndarray]]:
+    """(language, grams) of the texts of ``sample_texts``, at most ``per_language * most``, in the driver."""
+    drawn = sample_texts(train, per_language, most).mapInArrow(_sample_grams, "lang string, draw long, grams array<long>").toPandas().sort_values(["lang", "draw"])
+    return [(lang, np.asarray(g, np.int64)) for lang, g in zip(drawn["lang"], drawn["grams"], strict=True) if len(g)]
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5) -> dict | None:
-    """Landmarks, the inverse root of their kernel matrix, and ridge coefficients, folded into one matrix of a column for each language."""
+    """``landmarks`` of each language, the inverse root of their kernel matrix, and ridge coefficients, folded into one matrix of a column for each language."""
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     by = {lang: [i for i, (x, _) in enumerate(sample) if x == lang] for lang in languages}
-    share = max(1, landmarks // len(languages))
+    share = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     marks = [int(i) for lang in languages for i in rng.permutation(by[lang])[:share]]
     grams = np.unique(np.concatenate([sample[i][1] for i in marks]))
     column = {int(g): k for k, g in enumerate(grams)}

@@ -43,7 +43,7 @@ def test_nothing_to_learn_from(frame):
 
 def test_scores_equal_the_kernel_by_definition(frame, corpus):
     sample = lang.training_sample(frame(corpus), per_language=20)
-    model = lang.fit(sample, landmarks=12)
+    model = lang.fit(sample, landmarks=4)
     texts = [r[1] for r in corpus[:6]]
     rows = lang.predict(frame(texts), model).collect()
     grams = list(model["column"])
@@ -79,3 +79,52 @@ def test_accepted_drops_texts_in_no_learned_language(frame, prose, names):
     assert {r["doc_id"] for r in lang.accepted(frame([*clean, *foreign])).collect()} == {r[0] for r in clean}
     kept = {r["doc_id"] for r in lang.accepted(frame([*clean, *foreign, *labelled])).collect()}
     assert {r[0] for r in clean} <= kept and 1001 not in kept and 1002 not in kept
+
+
+@pytest.mark.parametrize("copied", ["copied once", "another text", "a third one"])
+def test_copies_neither_hide_a_language_nor_reach_the_driver(spark, frame, prose, copied):
+    rows = [(i, prose(30, i, SYLLABLES["aa"]), "aa", "s") for i in range(300)] + [(1000 + i, prose(30, i, SYLLABLES["cc"]), "cc", "s") for i in range(40)]
+    copies = spark.range(2000, 102_000).selectExpr("id AS doc_id", f"'{copied}' AS text", "'aa' AS lang", "'s' AS source", "null AS n_chars")
+    sample = lang.sample_texts(frame(rows).unionByName(copies)).collect()
+    assert sum(r["lang"] == "aa" for r in sample) == 250 and sum(r["lang"] == "cc" for r in sample) == 40
+    assert len({(r["lang"], r["text"]) for r in sample}) == 290
+    hashes = {r["draw"] for r in frame(rows).unionByName(copies).where("lang = 'aa'").selectExpr("xxhash64(text) AS draw").distinct().collect()}
+    assert {r["draw"] for r in sample if r["lang"] == "aa"} == set(sorted(hashes)[:250])
+
+
+def test_very_many_languages_are_bounded(frame):
+    rows = [(i, f"word{'abcdefghij'[i % 10]}x other", f"l{i % 150:03}", "s") for i in range(450)] + [(1000 + i, f"qq{'abcd'[i]}", "common", "s") for i in range(4)]
+    sample = lang.sample_texts(frame(rows), per_language=2, most=5).collect()
+    assert len({r["lang"] for r in sample}) == 5 and "common" in {r["lang"] for r in sample} and len(sample) <= 10
+
+
+def test_predict_keeps_clashing_columns_and_long_texts(frame, corpus):
+    model = lang.fit(lang.training_sample(frame(corpus)))
+    docs = frame([*corpus[:6], (7000, "bi bo " * 200_000, "aa", "s")]).selectExpr("*", "1 as grams", "2 as known", "3 as verdict", "4 as batches")
+    rows = lang.predict(docs, model).collect()
+    assert {r["grams"] for r in rows} == {1} and next(r for r in rows if r["doc_id"] == 7000)["verdict"]["lang_pred"] == "aa"
+
+
+def test_fit_equals_ridge_regression_solved_by_definition(frame, corpus):
+    """Coefficients from the normal equations in kernel space, written out with plain sets."""
+    sample = lang.training_sample(frame(corpus), per_language=15)
+    model = lang.fit(sample, landmarks=5)
+    sets = [set(g.tolist()) for _, g in sample]
+    names = sorted({name for name, _ in sample})
+    by = {n: [i for i, (x, _) in enumerate(sample) if x == n] for n in names}
+    rng = np.random.default_rng(5)
+    marks = [int(i) for n in names for i in rng.permutation(by[n])[:5]]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    values, vectors = np.linalg.eigh(np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks]))
+    good = values > 1e-6 * values.max()
+    z = np.array([[kernel(s, sets[j]) for j in marks] for s in sets]) @ (vectors[:, good] / np.sqrt(values[good]))
+    z = np.hstack([z, np.ones((len(z), 1))])
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for x, _ in sample])
+    w = np.diag([1 / len(by[x]) for x, _ in sample])
+    penalty = np.diag([lang.RIDGE] * good.sum() + [1e-9])
+    decision = z @ np.linalg.solve(z.T @ w @ z + penalty, z.T @ w @ y)
+    grams = list(model["column"])
+    for (_, g), want in zip(sample, decision, strict=True):
+        own = set(g.tolist())
+        k = np.array([sum(model["marks"][i, m] for i, x in enumerate(grams) if x in own) for m in range(len(marks))]) / np.sqrt(len(own))
+        assert np.allclose(k @ model["coefficients"] + model["bias"], want, atol=2e-3)
