@@ -80,6 +80,17 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     return parts.withColumn("_inside", inside).join(offsets, "_part").withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_part", "_n", "_before", "_inside")
 
 
+def numbered_copies(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``copy``, from 0 among rows of equal ``key``, and without ``part``. ``rows`` is a landed table whose column ``part``
+    says in which task a row was written: rows are numbered within their part, plus the equal rows of the parts before, so a key that
+    most rows share does not come to one task."""
+    counts = rows.groupBy(key, "part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(key, "part").orderBy(F.lit(0)))
+    numbered = rows.withColumn("_inside", inside).join(counts.withColumn("_before", before), [key, "part"])
+    return numbered.withColumn("copy", F.col("_before") + F.col("_inside") - 1).drop("part", "_n", "_before", "_inside")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
