@@ -8,7 +8,7 @@ words, until at most two of them are left undecided. Chunks of bounded size fly
 undecided flies on together, level by level; the landing decides the last dozen of a source.
 
 Defined results: a null text has size 0; rows without a source are a source of their own, last in order;
-repeated rows are drawn one by one; a corpus without words takes each document as its ratio (0) says; an
+repeated rows, and rows without an id, are told apart by a number and drawn one by one; a corpus without words takes each document as its ratio (0) says; an
 empty table gives an empty result. ``decisions`` reads doc_id, text and source; ``mix`` keeps all columns.
 """
 
@@ -22,18 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import land, n_words, positions
+from .common import land, n_words, numbered_copies, positions
 
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
+#: Numbers of copies are broadcast up to this many rows (12 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Units that wait for the landing, besides the two that the flight leaves.
 HELD = 10
 EPSILON = 1e-9
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words("text").alias("size"))
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """A landed table of doc_id, source, size and ``keep``, with the task that wrote each row and a hash of what the row is drawn by."""
+    rows = docs.select("doc_id", "source", n_words("text").alias("size"), *keep)
+    return land(rows.withColumns({"part": F.spark_partition_id(), "row_hash": F.xxhash64("doc_id", "source", "size")}), "sizes")
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -115,16 +118,16 @@ def _flight(level: int, seed: int):
     return run
 
 
-def decisions(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``."""
-    rows = land(sized(docs), "sizes")
+def decisions(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, and the columns ``keep``, for every row of ``docs``."""
+    rows = sized(docs, *keep)
     goals = targets(rows, weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = rows.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "source_size", "target",
+    units = numbered_copies(rows, "row_hash").join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "source", "size", *keep, "source_size", "target",
         F.floor(ratio).cast("int").alias("whole"),
         (ratio - F.floor(ratio)).alias("p"),
-        F.xxhash64("doc_id", "size", F.lit(seed)).alias("tie"),
+        F.xxhash64("row_hash", "copy", F.lit(seed)).alias("tie"),
         "n_docs",
     )
     n_chunks = F.ceil(F.col("n_docs") / CHUNK_ROWS)
@@ -144,15 +147,14 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: floa
     for more in done[1:]:
         every = every.unionByName(more)
     copies = F.col("whole") + F.round("p").cast("int")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return every.select("doc_id", "source", "size", *keep, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, in all its columns, each as often as the mix takes it (from 0 times to ``cap``)."""
-    key = lambda: F.struct("doc_id", "source", "size")
-    taken = decisions(docs, weights, cap).groupBy(key().alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    packed = docs.select(F.struct(F.col("doc_id"), F.col("source"), n_words("text").alias("size")).alias("_key"), F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_text"))
-    # repeated rows share a key: the k-th of them takes the k-th number of copies
-    nth = F.row_number().over(W.partitionBy("_key").orderBy("_text"))
-    chosen = packed.join(taken, "_key").withColumn("_n", F.element_at("_copies", nth))
-    return chosen.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+    """The rows of ``docs``, in all its columns, each as often as the mix takes it (from 0 times to ``cap``). Rows get a number
+    when they are landed; only numbers and copies move, unless there are too many of them to broadcast."""
+    held = land(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_id")), "to-mix")
+    taken = decisions(held.select("row.doc_id", "row.source", "row.text", "row_id"), weights, cap, keep=("row_id",)).where("copies > 0").select("row_id", F.col("copies").alias("n"))
+    taken = land(taken, "copies")
+    chosen = held.join(F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken, "row_id")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

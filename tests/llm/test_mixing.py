@@ -91,3 +91,31 @@ def test_empty(frame):
     assert m.decisions(frame([])).count() == 0
     rows = m.decisions(frame([(1, None, None, "a"), (2, "", None, None)])).collect()
     assert [r["taken"] for r in rows] == [0, 0]
+
+
+def test_one_row_repeated_is_drawn_in_chunks(spark, frame, prose, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK_ROWS", 300)
+    same = spark.range(4000).selectExpr("CAST(null AS LONG) AS doc_id", "'one two three' AS text", "'en' AS lang", "'a' AS source", "0L AS n_chars")
+    docs = same.unionByName(frame([(i, prose(30, i), "en", "b") for i in range(100)]))
+    rows = [tuple(r) for r in m.decisions(docs).select("source", "taken", "target", "size").collect()]
+    assert len(rows) == 4100
+    for source in "ab":
+        assert abs(sum(r[1] for r in rows if r[0] == source) - next(r[2] for r in rows if r[0] == source)) <= 30
+    assert len({r[1] for r in rows if r[0] == "a"}) == 2  # equal rows are not all treated alike
+    again = sorted(tuple(r) for r in m.decisions(docs.repartition(3)).select("source", "taken", "target", "size").collect())
+    assert again == sorted(rows)
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_mix_with_and_without_a_broadcast(frame, docs, monkeypatch, bound):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", bound)
+    named = frame(docs).selectExpr("*", "1 as row_id", "2 as row", "3 as n", "4 as copies", "5 as part", "6 as size")
+    mixed = m.mix(named)
+    assert mixed.columns == named.columns
+    want = {}
+    for r in m.decisions(frame(docs)).collect():
+        want[(r["doc_id"], r["source"])] = want.get((r["doc_id"], r["source"]), 0) + r["copies"]
+    got = {}
+    for r in mixed.collect():
+        got[(r["doc_id"], r["source"])] = got.get((r["doc_id"], r["source"]), 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
