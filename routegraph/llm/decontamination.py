@@ -2,8 +2,9 @@
 
 Each task cuts its rows into shards of about ``SHARD_WORDS`` words, indexes a shard, searches all windows
 of the benchmark backwards through the index, locates their occurrences and merges them into removal
-spans. Documents are never shuffled. The benchmark is a stated query set: it is split into blocks of
-a bounded size; each block is broadcast and is one more pass over the shards.
+spans. Documents are never shuffled. The benchmark is a stated query set: its items are cut into pieces of a bounded number
+of windows, and these are dealt to blocks. The blocks of a pass are broadcast and searched in the same indexes; a larger benchmark
+takes more passes, between which what was found is landed and the blocks of the pass before are forgotten.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
@@ -20,36 +21,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, land, positions
 from .fm_index import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_WORDS = 1 << 19
-#: Bytes of benchmark text in a block, which bounds what is collected and broadcast at a time.
-BLOCK_BYTES = 16 << 20
+#: Windows of a piece of an item, pieces of a block, and blocks of a pass: at most 131,072 windows are collected at a time,
+#: and 1,048,576 are broadcast (40 bytes and the numbers of their items each, and their distinct words).
+PIECE_WINDOWS, BLOCK_PIECES, PASS_BLOCKS = 1024, 128, 8
 
 
 def item_words(text: str | None) -> list[str]:
     return WORD.findall(ascii_lower(text)) if text else []
 
 
-def query_block(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict:
-    """Distinct windows as numbers of distinct words, and which items hold each."""
+def _cutter(windows: int):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of items in pieces of at most ``windows`` windows; neighbours share WINDOW - 1 words, so no window is lost."""
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
+                w = item_words(text)
+                rows += [(item, w[i : i + windows + WINDOW - 1]) for i in range(0, max(1, len(w) - WINDOW + 1) if w else 0, windows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["item", "words"])
+
+    return pieces
+
+
+def query_block(pieces: list[tuple[str, list[str]]], window: int = WINDOW) -> dict:
+    """Distinct windows as rows of numbers of distinct words, -2 before a shorter one's first word, and which items hold each: those of
+    row r are ``items[holders[starts[r]:starts[r + 1]]]``."""
     words: dict[str, int] = {}
-    windows: dict[tuple[str, ...], set[str]] = {}
-    for item, text in items:
-        w = item_words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + window]), set()).add(item)
-    rows = np.full((len(windows), window), -2, np.int64)
-    for r, k in enumerate(windows):
-        rows[r, window - len(k) :] = [words.setdefault(x, len(words)) for x in k]
-    return {"words": list(words), "windows": rows, "lengths": (rows >= 0).sum(1), "items": [sorted(x) for x in windows.values()]}
+    names = sorted({item for item, _ in pieces})
+    number = {x: i for i, x in enumerate(names)}
+    rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
+    for item, w in pieces:
+        code = np.array([words.setdefault(x, len(words)) for x in w], np.int32)
+        if len(code):
+            code = np.concatenate([np.full(max(0, window - len(code)), -2, np.int32), code])
+            rows.append(np.lib.stride_tricks.sliding_window_view(code, window))
+            owner.append(np.full(len(rows[-1]), number[item], np.int32))
+    distinct, at = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([at.ravel(), np.concatenate(owner)], 1), axis=0)
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+    return {"words": list(words), "windows": distinct, "lengths": (distinct >= 0).sum(1), "items": names, "starts": starts, "holders": pairs[:, 1].astype(np.int32)}
 
 
 class Shard:
@@ -65,30 +86,33 @@ class Shard:
         self.documents.append(np.fromiter([number.setdefault(x, len(number)) for x in w], np.int32, len(w)))
         self.n_words += len(w)
 
-    def search(self, block: dict) -> list[tuple[np.ndarray, set[str]]]:
+    def search(self, blocks: list[dict]) -> list[tuple[np.ndarray, set[str]]]:
         """For each document: a flag for each word, whether it lies in an occurrence, and the items found."""
         hits = [(np.zeros(len(d), bool), set()) for d in self.documents]
         full = [i for i, d in enumerate(self.documents) if len(d)]
-        if not full or not len(block["windows"]):
+        if not full or not any(len(b["windows"]) for b in blocks):
             return hits
         index = FMIndex([self.documents[i] for i in full], len(self.vocabulary))
-        to_shard = np.array([self.vocabulary.get(x, -1) for x in block["words"]] + [-2], np.int64)  # -2 in a window picks the last
-        low, high = index.ranges(to_shard[np.where(block["windows"] < 0, len(to_shard) - 1, block["windows"])])
-        found = np.flatnonzero(high > low)
-        if not len(found):
-            return hits
-        count = (high - low)[found]
-        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        window = np.repeat(found, count)
-        position = index.locate(rows)
         edge = np.zeros(index.n + 1, np.int64)
-        np.add.at(edge, position, 1)
-        np.add.at(edge, position + block["lengths"][window], -1)
+        touched: set[int] = set()
+        for block in blocks:
+            to_shard = np.array([self.vocabulary.get(x, -1) for x in block["words"]] + [-2], np.int64)  # -2 in a window picks the last
+            low, high = index.ranges(to_shard[np.where(block["windows"] < 0, len(to_shard) - 1, block["windows"])])
+            found = np.flatnonzero(high > low)
+            if not len(found):
+                continue
+            count = (high - low)[found]
+            rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            window = np.repeat(found, count)
+            position = index.locate(rows)
+            np.add.at(edge, position, 1)
+            np.add.at(edge, position + block["lengths"][window], -1)
+            doc = np.searchsorted(index.starts, position, "right") - 1
+            for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                hits[full[d]][1].update(block["items"][h] for h in block["holders"][block["starts"][w] : block["starts"][w + 1]])
+            touched.update(doc.tolist())
         flagged = np.cumsum(edge) > 0
-        doc = np.searchsorted(index.starts, position, "right") - 1
-        for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-            hits[full[d]][1].update(block["items"][w])
-        for d in np.unique(doc):
+        for d in touched:
             start = index.starts[d]
             hits[full[d]][0][:] = flagged[start : start + len(hits[full[d]][0])]
         return hits
@@ -109,18 +133,18 @@ FOUND = T.StructType(
 FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def passages(spark: SparkSession, block: dict, text: str | Column, earlier: str | Column) -> Column:
-    """struct<n_words, spans, items> of a text column: what ``block`` finds, and what ``earlier`` blocks did. Only
+def passages(sent: list[Broadcast], text: str | Column, earlier: str | Column) -> Column:
+    """struct<n_words, spans, items> of a text column: what the blocks find, and what ``earlier`` passes did. Only
     texts go to Python, and results come back when their shard is full."""
-    sent = spark.sparkContext.broadcast(block)
 
     @F.arrow_udf(FOUND)
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         shard, before = Shard(), []
+        blocks = [x.value for x in sent]
 
         def results() -> pa.Array:
             out = []
-            for d, (flags, items), old in zip(shard.documents, shard.search(sent.value), before, strict=True):
+            for d, (flags, items), old in zip(shard.documents, shard.search(blocks), before, strict=True):
                 if old is not None:
                     for s in old["spans"]:
                         flags[s["start"] : s["end"]] = True
@@ -140,23 +164,28 @@ def passages(spark: SparkSession, block: dict, text: str | Column, earlier: str
     return find(text, earlier)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[dict]:
-    """The benchmark as query blocks of about ``block_bytes`` of text, one in the driver at a time."""
+def blocks_of(benchmark: DataFrame) -> Iterator[dict]:
+    """The benchmark as query blocks of at most BLOCK_PIECES pieces, one in the driver at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("phrase")).where("phrase is not null")
-    total = items.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "phrase"), F.lit(n)) == b) if n > 1 else items
-        yield query_block([(r["item"], r["phrase"]) for r in part.collect()])
+    pieces = land(positions(items.mapInArrow(_cutter(PIECE_WINDOWS), "item string, words array<string>"), F.col("item"), F.col("words")), "benchmark-pieces")
+    for b in range(max(1, -(-pieces.count() // BLOCK_PIECES))):
+        part = pieces.where(F.floor(F.col("position") / BLOCK_PIECES) == b)
+        yield query_block([(r["item"], r["words"]) for r in part.select("item", "words").collect()])
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``found``: n_words, the ``spans`` of word positions to remove, and the sorted ids of ``items``."""
-    spark = docs.sparkSession
-    found = F.lit(None).cast(FOUND)
+    """``docs`` with ``found``: n_words, the ``spans`` of word positions to remove, and the sorted ids of ``items``. A column of
+    that name is replaced."""
+    sc = docs.sparkSession.sparkContext
+    rows, earlier, sent = docs, F.lit(None).cast(FOUND), []
     for block in blocks_of(benchmark):
-        found = passages(spark, block, "text", found)
-    return docs.withColumn("found", found)
+        if len(sent) == PASS_BLOCKS:
+            rows = land(rows.withColumn("found", passages(sent, "text", earlier)), "found")
+            for x in sent:
+                x.destroy()
+            earlier, sent = F.col("found"), []
+        sent.append(sc.broadcast(block))
+    return rows.withColumn("found", passages(sent, "text", earlier))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

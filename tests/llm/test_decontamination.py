@@ -60,10 +60,11 @@ def case(spark, frame, prose):
     return frame(docs), spark.createDataFrame(items, "item_id long, text string"), docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_digest_matches_brute_force(case, monkeypatch, block_bytes):
+@pytest.mark.parametrize("windows, pieces, blocks", [(1024, 128, 8), (5, 3, 2), (2, 1, 5)])
+def test_digest_matches_brute_force(case, monkeypatch, windows, pieces, blocks):
     docs, bench, texts, items = case
-    monkeypatch.setattr(d.blocks_of, "__defaults__", (block_bytes,))
+    for name, value in (("PIECE_WINDOWS", windows), ("BLOCK_PIECES", pieces), ("PASS_BLOCKS", blocks)):
+        monkeypatch.setattr(d, name, value)
     rows = {r["doc_id"]: r for r in d.digest(docs, bench).collect()}
     for i, t in enumerate(texts):
         r = rows[i]
@@ -75,15 +76,24 @@ def searched(texts, block):
     shard = d.Shard()
     for t in texts:
         shard.add(t)
-    return [(f.tolist(), s) for f, s in shard.search(block)]
+    return [(f.tolist(), s) for f, s in shard.search([block])]
 
 
 def test_small_shards_give_the_same(case):
     _, _, texts, items = case
-    block = d.query_block([("" if i is None else str(i), t) for i, t in items])
+    block = d.query_block([("" if i is None else str(i), d.item_words(t)) for i, t in items])
     assert searched(texts, block) == [x for t in texts for x in searched([t], block)]
 
 
+def test_blocks_are_bounded_and_compact(spark):
+    items = spark.range(300).selectExpr("id AS item_id", "array_join(transform(sequence(1, 2000), i -> concat('w', CAST(pmod(i * 7919 + id * 31, 5000) AS STRING))), ' ') AS text")
+    blocks = list(d.blocks_of(items))
+    assert len(blocks) == 5 and all(len(b["windows"]) <= d.PIECE_WINDOWS * d.BLOCK_PIECES for b in blocks)
+    import pickle
+
+    assert max(len(pickle.dumps(b)) for b in blocks) < 12 << 20
+
+
 def test_empty_benchmark_and_tables(spark, frame, case):
     _, bench, _, _ = case
     none = bench.where("false")
@@ -93,7 +103,7 @@ def test_empty_benchmark_and_tables(spark, frame, case):
 
 def test_decontaminate_keeps_columns_and_clean_rows(case):
     docs, bench, _, _ = case
-    named = docs.selectExpr("*", "doc_id as spans", "'x' as items", "1 as n_words")
+    named = docs.selectExpr("*", "doc_id as spans", "'x' as items", "1 as n_words", "2 as found", "3 as row")
     kept = d.decontaminate(named, bench)
     assert kept.columns == named.columns
     assert {r["doc_id"] for r in kept.collect()} == set(range(13)) | {14, 18}
