@@ -1,9 +1,11 @@
-"""Quality rules: an isolation forest over rule statistics of whole documents.
+"""Quality rules: isolation forests over rule statistics of whole documents.
 
 ``rule_statistics`` counts, for every document, what the rules look at. ``fit_forest`` grows random
 isolation trees over a bounded sample of those statistics (subsampling is what the forest's path
-lengths are defined on; the bound is the parameter ``per_tree * trees``). ``calibrate`` reads every
-labelled row and picks the anomaly threshold. ``judge`` scores each document by its mean path length.
+lengths are defined on; the bound is the parameter ``per_tree * trees``). There is a forest for how a text is written and one
+for how it repeats itself, as a repeated line alone sets a document apart and would hide other oddities in a common forest.
+``calibrate`` reads every labelled row and picks the anomaly threshold of a forest. ``judge`` scores each document by its mean
+path lengths; one that either forest finds anomalous goes.
 
 Defined results: a null or empty text has no words, so it fails the base rules; null ids stay null
 and are judged like any other row; repeated rows are judged one by one; with no labelled rows, or
@@ -18,17 +20,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, land
 
-STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Repetition is judged by the base rules, and would hide other oddities here: a repeated line alone sets a document apart.
-FEATURES = ("symbol_share", "mean_word_length")
+FORESTS = {"writing": ("symbol_share", "mean_word_length"), "repetition": ("dup_line_share", "repeat_word_share")}
+FEATURES = tuple(f for names in FORESTS.values() for f in names)
+#: A threshold must catch this much more of the labelled bad rows than of the good ones, or the forest decides nothing.
+LEAST_GAIN = 0.02
 
 
 def _repeat_words(words: list[list[str]], window: int = WINDOW) -> np.ndarray:
@@ -65,10 +71,10 @@ def _repeat_words(words: list[list[str]], window: int = WINDOW) -> np.ndarray:
     return np.bincount(doc, np.cumsum(edge)[:total] > 0, len(words)).astype(np.int64)
 
 
-def _duplicate_lines(text: str) -> int:
-    """Lines with a word that equal an earlier line."""
+def _lines(text: str) -> tuple[int, int]:
+    """Lines with a word, and those of them that equal an earlier line."""
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,16 +82,18 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batch):
             texts = [x or "" for x in part.column("text").to_pylist()]
             words = [WORD.findall(x) for x in texts]
+            lines = list(map(_lines, texts))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sum(map(len, w)) for w in words], pa.int64()),
                     pa.array([sum(map(x.count, SYMBOLS)) for x in texts], pa.int64()),
-                    pa.array(list(map(_duplicate_lines, texts)), pa.int64()),
+                    pa.array([d for _, d in lines], pa.int64()),
                     pa.array(_repeat_words(words), pa.int64()),
+                    pa.array([n for n, _ in lines], pa.int64()),
                 ],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"],
             )
 
 
@@ -100,9 +108,15 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features(stats: DataFrame) -> DataFrame:
-    """What the forest splits on: symbols against the characters of words, and the mean word length in units of 50 at most."""
+    """What the forests split on, each from 0 to about 1: symbols against the characters of words, the mean word length in units of 50 at
+    most, repeated lines among the lines, and words in repeated windows among the words."""
     some = F.greatest("n_words", F.lit(1))
-    return stats.withColumns({"symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), "mean_word_length": F.least(F.col("word_chars") / some, F.lit(50.0)) / 50.0})
+    return stats.withColumns(
+        {
+            "symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), "mean_word_length": F.least(F.col("word_chars") / some, F.lit(50.0)) / 50.0,
+            "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "repeat_word_share": F.col("n_repeat_words") / some,
+        }
+    )
 
 
 def _average_path(n: float) -> float:
@@ -133,21 +147,24 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[list[np.ndar
     return [np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(path), limit]
 
 
-def fit_forest(feats: DataFrame, trees: int = 100, per_tree: int = 256, seed: int = 7) -> dict:
-    """Trees over a sample of at most ``trees * per_tree`` documents (of those with 20 words or more), taken by a
+def forest_sample(feats: DataFrame, trees: int = 100, per_tree: int = 256, seed: int = 7) -> pd.DataFrame:
+    """The features of at most ``trees * per_tree`` documents (of those with 20 words or more), taken by a
     hash of the id and the statistics so that reruns and other partitionings draw the same rows."""
     need = trees * per_tree
     eligible = feats.where("n_words >= 20")
     # a share that leaves somewhat more than is needed, so that what reaches the driver is bounded whatever the number of tasks
     share = min(1.0, 1.2 * need / max(eligible.count(), 1))
-    rows = (
+    return (
         eligible.select(*FEATURES, F.xxhash64("doc_id", "n_words", "word_chars", F.lit(seed)).alias("_draw"))
         .where(F.pmod("_draw", F.lit(1_000_000_007)) <= share * 1_000_000_007)
         .orderBy("_draw", *FEATURES)
         .limit(need)
         .toPandas()
     )
-    points = rows[list(FEATURES)].to_numpy(float)
+
+
+def fit_forest(points: np.ndarray, trees: int = 100, per_tree: int = 256, seed: int = 7) -> dict:
+    """Trees, each over ``per_tree`` of the points drawn at random."""
     rng = np.random.default_rng(seed)
     grown = [grow_tree(points[rng.choice(len(points), min(per_tree, len(points)), replace=False)], rng) for _ in range(trees)] if len(points) else []
     return {"trees": grown, "normal": _average_path(min(per_tree, max(len(points), 1))) or 1.0}
@@ -168,25 +185,27 @@ def anomaly(points: np.ndarray, forest: dict) -> np.ndarray:
     return 2.0 ** (-total / len(forest["trees"]) / forest["normal"])
 
 
-def score(feats: DataFrame, forest: dict) -> DataFrame:
-    """``feats`` with the column ``anomaly``. The forest has a fixed number of trees of bounded size, so it is broadcast."""
-    sent = feats.sparkSession.sparkContext.broadcast(forest)
-
-    @F.pandas_udf("double")
-    def path_score(*columns):
-        import pandas as pd
+def score(feats: DataFrame, forests: dict[str, dict]) -> DataFrame:
+    """``feats`` with a column ``anomaly_<name>`` for each forest. A forest has a fixed number of trees of bounded size, so it is broadcast."""
+    sent = feats.sparkSession.sparkContext.broadcast(forests)
 
-        return pd.Series(anomaly(np.column_stack([c.to_numpy(float) for c in columns]), sent.value))
+    @F.arrow_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in forests]))
+    def path_scores(*columns: pa.Array) -> pa.Array:
+        given = dict(zip(FEATURES, columns, strict=True))
+        scores = [anomaly(np.column_stack([given[f].to_numpy(zero_copy_only=False) for f in FORESTS[name]]), forest) for name, forest in sent.value.items()]
+        return pa.StructArray.from_arrays(list(map(pa.array, scores)), list(sent.value))
 
-    return feats.withColumn("anomaly", path_score(*FEATURES))
+    scored = feats.withColumn("_scores", path_scores(*FEATURES))
+    return scored.withColumns({f"anomaly_{name}": F.col(f"_scores.{name}") for name in forests}).drop("_scores")
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, keep_good: float = 0.99, bins: int = 2000) -> float:
-    """The threshold that best separates labelled good from bad rows, never below the one that keeps
-    ``keep_good`` of the good ones. Every labelled row of ``scored`` counts, in ``bins`` score bins."""
+def calibrate(scored: DataFrame, labels: DataFrame, column: str, keep_good: float = 0.99, bins: int = 2000) -> float:
+    """The threshold of the scores in ``column`` that best separates labelled good from bad rows, never below the one that keeps
+    ``keep_good`` of the good ones. Every labelled row of ``scored`` counts, in ``bins`` score bins. 2, which no score reaches, if
+    no threshold gains LEAST_GAIN."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where("_quality in (0, 1)")
     counts = (
-        scored.select("doc_id", F.floor(F.col("anomaly") * bins).cast("int").alias("_bin"))
+        scored.select("doc_id", F.floor(F.col(column) * bins).cast("int").alias("_bin"))
         .join(known, F.col("doc_id") == F.col("_id"))
         .groupBy("_bin")
         .agg(F.sum("_quality").alias("good"), F.count("*").alias("n"))
@@ -199,21 +218,24 @@ def calibrate(scored: DataFrame, labels: DataFrame, keep_good: float = 0.99, bin
     if not good.sum() or not bad.sum():
         return 2.0
     kept_good, kept_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
-    allowed = kept_good >= keep_good
-    best = int(np.argmax(np.where(allowed, kept_good - kept_bad, -9)))
-    return (best + 1) / bins
+    gain = np.where(kept_good >= keep_good, kept_good - kept_bad, -9)
+    best = int(np.argmax(gain))
+    return (best + 1) / bins if gain[best] >= LEAST_GAIN else 2.0
 
 
 def judge(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Base counts, base verdict, anomaly score and the kept flag of every document."""
+    """Base counts, base verdict, anomaly scores and the kept flag of every document."""
     feats = features(land(rule_statistics(docs), "rule-statistics") if stats is None else stats)
-    forest = fit_forest(feats)
-    scored = score(feats, forest)
+    sample = forest_sample(feats)
+    scored = score(feats, {name: fit_forest(sample[list(columns)].to_numpy(float)) for name, columns in FORESTS.items()})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    threshold = calibrate(scored.where(~failed), labels)  # the forest's verdict matters only there
+    scored = land(scored.withColumn("base_failed", failed), "rule-scores")
+    # a forest's verdict matters only where neither the base rules nor a forest before it decide
+    left, thresholds = ~F.col("base_failed"), {}
+    for name in FORESTS:
+        thresholds[name] = calibrate(scored.where(left), labels, f"anomaly_{name}")
+        left = left & (F.col(f"anomaly_{name}") < thresholds[name])
     return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (F.col("anomaly") < threshold)).alias("kept"),
-        "anomaly", F.lit(threshold).alias("threshold"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("kept"),
+        *[c for name in FORESTS for c in (F.col(f"anomaly_{name}"), F.lit(thresholds[name]).alias(f"threshold_{name}"))],
     )

@@ -46,7 +46,7 @@ def test_judge_separates_labelled_rows(spark, frame, prose):
     rows = {r["doc_id"]: r for r in q.judge(docs, labels).collect()}
     assert sum(rows[i]["kept"] for i in range(120)) >= 118
     assert sum(rows[120 + i]["kept"] for i in range(12)) <= 6
-    assert min(rows[120 + i]["anomaly"] for i in range(12)) > np.median([rows[i]["anomaly"] for i in range(120)])
+    assert min(rows[120 + i]["anomaly_writing"] for i in range(12)) > np.median([rows[i]["anomaly_writing"] for i in range(120)])
     assert rows[132]["base_failed"] and not rows[132]["kept"] and rows[133]["base_failed"]
     again = {r["doc_id"]: r["kept"] for r in q.judge(docs.repartition(3), labels).collect()}
     assert again == {k: r["kept"] for k, r in rows.items()}
@@ -68,5 +68,56 @@ def test_paths_are_shorter_for_outliers():
 
 
 def test_extra_columns_do_not_matter(spark, frame, prose):
-    docs = frame([prose(30, i) for i in range(3)]).selectExpr("*", "1 as n_words", "2 as kept", "3 as anomaly")
+    docs = frame([prose(30, i) for i in range(3)]).selectExpr("*", "1 as n_words", "2 as kept", "3 as anomaly", "4 as n_lines", "5 as _scores")
     assert q.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 3
+
+
+def lined(prose, seed, menus):
+    """Distinct sentences, with the same short line after each if ``menus``."""
+    return "\n".join(prose(9, seed * 100 + i) + ("\nRead more" if menus else "") for i in range(14))
+
+
+def test_repeated_lines_and_odd_writing_are_both_found(spark, frame, prose):
+    good = [lined(prose, i, False) for i in range(150)]
+    menus = [lined(prose, 300 + i, True) for i in range(10)]
+    marked = [" ".join(w + "###" for w in prose(120, 900 + i).split()) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 150, 2)] + [(150 + i, 0) for i in range(5)] + [(160 + i, 0) for i in range(5)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in q.judge(frame([*good, *menus, *marked]), labels).collect()}
+    assert not any(rows[i]["base_failed"] for i in range(170))
+    assert sum(rows[i]["kept"] for i in range(150)) >= 145
+    assert sum(rows[150 + i]["kept"] for i in range(10)) <= 2 and sum(rows[160 + i]["kept"] for i in range(10)) <= 2
+
+
+def test_verdicts_equal_forests_walked_by_hand(spark, frame, prose):
+    texts = [lined(prose, i, i % 9 == 0) + (" ###" * 20 if i % 11 == 0 else "") for i in range(60)] + [None, "short"]
+    labels = [(i, int(i % 9 != 0 and i % 11 != 0)) for i in range(0, 60)]
+    docs = frame(texts)
+    sample = q.forest_sample(q.features(q.rule_statistics(docs)))
+    forests = {n: q.fit_forest(sample[list(c)].to_numpy(float)) for n, c in q.FORESTS.items()}
+
+    def by_hand(stats, name):
+        n_words, chars, symbols, dup, repeat, lines = stats
+        x = {"writing": (symbols / max(chars, 1), min(chars / max(n_words, 1), 50) / 50), "repetition": (dup / max(lines, 1), repeat / max(n_words, 1))}[name]
+        total = 0
+        for feature, cut, left, right, path, _ in forests[name]["trees"]:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] < cut[at] else right[at]
+            total += path[at]
+        return 2 ** (-total / 100 / forests[name]["normal"])
+
+    stats = [(*brute(t), sum(bool(WORD.search(x)) for x in (t or "").split("\n"))) for t in texts]
+    left = [i for i, s in enumerate(stats) if s[0] >= 20 and 100 * s[4] <= 30 * s[0]]
+    for name in q.FORESTS:
+        score = {i: by_hand(stats[i], name) for i in left}
+        known = [(score[i], quality) for i, quality in labels if i in score]
+        n_good, n_bad = sum(x for _, x in known), sum(1 - x for _, x in known)
+        best = (-9, 0)
+        for b in range(2001):
+            good = sum(x for v, x in known if int(v * 2000) <= b) / n_good
+            bad = sum(1 - x for v, x in known if int(v * 2000) <= b) / max(n_bad, 1)
+            best = max(best, (good - bad if good >= 0.99 else -9, -b))
+        limit = (1 - best[1]) / 2000 if n_bad and best[0] >= q.LEAST_GAIN else 2.0
+        left = [i for i in left if score[i] < limit]
+    rows = q.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(left)
