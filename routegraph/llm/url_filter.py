@@ -2,7 +2,8 @@
 
 The trees are trained on labelled URLs: those that a rule has decided, all of them. Features are length, depth, digit
 ratio, entropy, parameter counts, hyphens and labels of the host, and statistics of the host's suffix: how common it
-is and how often labelled URLs under it are blocked.
+is and how often labelled URLs under it are blocked. That rate is taken out of fold: a labelled URL sees only the labels of
+other folds, so the trees do not learn from their own answers. ``held_out_accuracy`` judges labelled URLs by trees of other folds.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is judged by the model on empty
 features; with no labelled URL, or labels of one kind only, the model's verdict is that kind, or allow; repeated rows are
@@ -11,7 +12,7 @@ judged alike; an empty table gives an empty result. Only page_id and url are rea
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,10 @@ from .common import land
 
 #: (verdict, host, path prefix), as the contract gives them.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Folds of labelled URLs, by a hash of the URL; copies of a URL share a fold.
+FOLDS = 5
+#: Statistics of suffixes are broadcast up to this many; beyond it they are joined by a shuffle.
+BROADCAST_SUFFIXES = 500_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "n_hyphens", "n_encoded", "has_fragment", "suffix_share", "suffix_block_rate")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,32 +77,60 @@ def lexical_features(pages: DataFrame) -> DataFrame:
 
 
 def with_suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Share of all URLs under the host's suffix, and the smoothed share of blocked among the labelled ones there."""
-    by = pages.groupBy("suffix").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    by = land(by, "suffixes")
-    total, labelled, blocked = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    """Share of all URLs under the host's suffix, and the smoothed share of blocked among the labelled ones there that are in another
+    fold (all labelled ones, for a URL without a label)."""
+    folds = pages.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    per = lambda c: F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: F.aggregate(F.filter("folds", lambda x: x["fold"] == f), F.lit(0).cast("long"), lambda a, x: a + x[c]))
+    by = folds.groupBy("suffix").agg(F.collect_list(F.struct("fold", "labelled", "blocked")).alias("folds"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    by = land(by.select("suffix", "n", "labelled", "blocked", per("labelled").alias("fold_labelled"), per("blocked").alias("fold_blocked")), "suffixes")
+    total, labelled, blocked, suffixes = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0)), F.count("*")).first()
     rate = (blocked + 0.5) / (labelled + 1.0)
-    stats = by.select(F.col("suffix").alias("_suffix"), (F.col("n") / max(total, 1)).alias("suffix_share"), ((F.col("blocked") + 20 * rate) / (F.col("labelled") + 20.0)).alias("suffix_block_rate"))
-    return pages.join(stats, F.col("suffix") == F.col("_suffix")).drop("_suffix")
+    stats = by.select(F.col("suffix").alias("_suffix"), F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("labelled", "blocked", "fold_labelled", "fold_blocked")])
+    joined = pages.join(F.broadcast(stats) if suffixes <= BROADCAST_SUFFIXES else stats, F.col("suffix") == F.col("_suffix"))
+    of = lambda c: F.col(f"_{c}") - F.when(F.col("verdict").isNotNull(), F.element_at(f"_fold_{c}", F.col("fold") + 1)).otherwise(0)
+    shares = {"suffix_share": F.col("_n") / max(total, 1), "suffix_block_rate": (of("blocked") + 20 * rate) / (of("labelled") + 20.0)}
+    return joined.withColumns(shares).drop("_suffix", "_n", "_labelled", "_blocked", "_fold_labelled", "_fold_blocked")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, trees: int = 20, depth: int = 4) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the model's block_score where no rule decides."""
+def featured(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """A landed table of page_id, host, path, rule, the rule's verdict, fold and FEATURES."""
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    featured = with_suffix_statistics(land(lexical_features(split.withColumns({"rule": name, "verdict": verdict})), "url-features"))
-    table = land(featured.select("page_id", "host", "path", "rule", "verdict", *[F.col(f).cast("double").alias(f) for f in FEATURES]), "url-table")
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    rows = with_suffix_statistics(land(lexical_features(split.withColumns({"rule": name, "verdict": verdict, "fold": fold})), "url-features"))
+    return land(rows.select("page_id", "host", "path", "rule", "verdict", "fold", *[F.col(f).cast("double").alias(f) for f in FEATURES]), "url-table")
+
+
+def fitted(table: DataFrame, trees: int, depth: int) -> tuple[VectorAssembler, GBTClassificationModel]:
+    """Trees over the rows of ``table`` that have a verdict."""
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    train = assembled.transform(table.where("verdict is not null")).select("features", (F.col("verdict") == "block").cast("double").alias("label"))
+    return assembled, GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=3, checkpointInterval=-1, cacheNodeIds=False).fit(train)
+
+
+def judge(pages: DataFrame, rules: tuple = RULES, trees: int = 20, depth: int = 4) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the model's block_score where no rule decides."""
+    table = featured(pages, rules)
     kinds = {r["verdict"] for r in table.where("verdict is not null").select("verdict").distinct().collect()}
     if len(kinds) < 2:
         only = next(iter(kinds), "allow")
         return table.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assembled.transform(table.where("verdict is not null")).select("features", (F.col("verdict") == "block").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=3, checkpointInterval=-1, cacheNodeIds=False).fit(train)
+    assembled, model = fitted(table, trees, depth)
     score = vector_to_array("probability")[1]
     return model.transform(assembled.transform(table)).select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("verdict").isNull(), score).alias("block_score"),
     )
+
+
+def held_out_accuracy(pages: DataFrame, rules: tuple = RULES, trees: int = 20, depth: int = 4, fold: int = 0) -> tuple[float, float]:
+    """Of the labelled URLs of one fold, the share that trees of the other folds judge as their rule does, and the share of the more
+    frequent verdict."""
+    table = featured(pages, rules).where("verdict is not null")
+    assembled, model = fitted(table.where(F.col("fold") != fold), trees, depth)
+    told = model.transform(assembled.transform(table.where(F.col("fold") == fold)))
+    block = (F.col("verdict") == "block").cast("double")
+    right, blocked = told.agg(F.avg((F.col("prediction") == block).cast("double")), F.avg(block)).first()
+    return right, max(blocked, 1 - blocked)

@@ -52,5 +52,27 @@ def test_one_kind_of_label_and_empty(spark):
 
 
 def test_clashing_columns(pages):
-    named = pages.selectExpr("*", "1 as host", "2 as verdict", "3 as suffix", "4 as features")
+    named = pages.selectExpr("*", "1 as host", "2 as verdict", "3 as suffix", "4 as features", "5 as fold", "6 as n")
     assert u.judge(named, trees=2, depth=2).count() == pages.count()
+
+
+def test_suffix_rates_are_out_of_fold(spark, monkeypatch):
+    rows = [(i, f"https://s{i}.com/{('de', 'fr', 'xx')[i % 3]}/{i}", "") for i in range(90)] + [(200 + i, f"https://s{i}.net/{i}", "") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {}
+    for bound in (0, 500_000):
+        monkeypatch.setattr(u, "BROADCAST_SUFFIXES", bound)
+        found[bound] = sorted(tuple(r) for r in u.featured(pages).select("page_id", "fold", "verdict", "suffix_share", "suffix_block_rate").collect())
+    assert found[0] == found[500_000]
+    labelled = [r for r in found[0] if r[2]]
+    rate = (sum(r[2] == "block" for r in labelled) + 0.5) / (len(labelled) + 1)
+    for page, fold, verdict, share, got in found[0]:
+        others = [r for r in labelled if page < 200 and not (verdict and r[1] == fold)]
+        assert abs(share - (90 if page < 200 else 9) / 99) < 1e-12
+        assert abs(got - (sum(r[2] == "block" for r in others) + 20 * rate) / (len(others) + 20)) < 1e-12
+
+
+def test_held_out_urls_are_judged_as_their_rules_do(spark):
+    rows = [(i, f"https://site{i}.com/{'de' if i % 3 else 'fr'}/{'9' * (12 if i % 3 else 1)}", "") for i in range(400)]
+    right, most = u.held_out_accuracy(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert right > 0.95 > most
