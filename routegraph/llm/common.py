@@ -91,6 +91,23 @@ def numbered_copies(rows: DataFrame, key: str) -> DataFrame:
     return numbered.withColumn("copy", F.col("_before") + F.col("_inside") - 1).drop("part", "_n", "_before", "_inside")
 
 
+#: Rows of one key that a salted join leaves together, and keys that it broadcasts at most (16 bytes each).
+SALTED_ROWS, BROADCAST_KEYS = 500, 1_000_000
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, spread: str, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``key``. A key with more than SALTED_ROWS rows in ``counted``, a landed
+    table (``rows`` itself, or what it was made of), is dealt out by ``spread``, and its fact is repeated as often."""
+    hot = land((rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / SALTED_ROWS).cast("int").alias("_salts")).where("_salts > 1"), "hot-keys")
+    n = hot.count()
+    if not n:
+        return rows.join(facts, key)
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    held = facts.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(held, [key, "_salt"]).drop("_salt")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

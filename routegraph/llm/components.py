@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, salted_join
 
 
 def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:
-    """Link each node's neighbours to the smallest id around it. ``pairs`` holds (u, v) for each
-    neighbour v of u. An aggregate and a join, not a grouped list, so a hub with any number of
-    neighbours is split like any other skewed join."""
+    """Link each node's neighbours to the smallest id around it. ``pairs``, made of a landed table, holds (u, v) for each
+    neighbour v of u. An aggregate and a salted join, not a grouped list, so a hub with any number of
+    neighbours comes to no one task."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = pairs.join(least, "u")
+    joined = salted_join(pairs, least, "u", "v")
     if only_larger:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -33,7 +33,7 @@ def connected_components(links: DataFrame, first: str, second: str) -> DataFrame
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True).where("u <> v").distinct()
+        large = land(_star(both, True).where("u <> v").distinct(), "large-star")
         small = _star(large, False).where("u > v").distinct()
         edges = land(small, "links")
         after = _state(edges)

@@ -8,7 +8,8 @@
    last, in bounded blocks, whatever two components still share a bucket. There, pairs are ruled out by what
    their sets can share at most, from profiles of bin counts. So no bucket is capped and none is
    expanded into all its pairs.
-4. A candidate pair is a link only if its full shingle sets say so.
+4. A candidate pair is a link only if its full shingle sets say so. Sets hold 64-bit values of shingles; two documents of
+   a million shingles each have different shingles of one value with probability below 1e-7.
 5. Large-star and small-star rounds give the components.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 < 2e-7; the byte test of
@@ -16,8 +17,9 @@ step 3 asks for 124 equal bytes of 200, which such a pair misses with probabilit
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; texts
 shorter than a shingle are one shingle of all their words; repeated rows of a document come back as
-often as they went in, and rows that share an id are one document; a row with a null id is kept and
-has a null component; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+often as they went in (``without_near_duplicates`` keeps one of them); rows that share an id are judged each by its own text; a row
+with a null id is kept and has a null component; an empty table gives an empty result. Only ``doc_id`` and
+``text`` are read. Similarities below 80 percent are refused, as the bands are made for that and more.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, land
+from .common import WORD, ascii_lower, land, numbered_copies, salted_join
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -112,19 +114,21 @@ def _sketcher(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(sizes),
                         pa.array([xxhash.xxh3_128_digest(" ".join(w)) if w else None for w in words], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]), pa.int32()), pa.array(bands[full].ravel())),
                         pa.array([low[i].tobytes() for i in range(len(sets))], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "sequence", "bands", "bytes"],
+                    ["doc_id", "text_hash", "n_shingles", "sequence", "bands", "bytes"],
                 )
 
     return sketches
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, sequence binary, bands array<long>, bytes binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_sketcher(width), "doc_id long, text_hash long, n_shingles long, sequence binary, bands array<long>, bytes binary")
 
 
 def _setter(width: int):
@@ -139,13 +143,15 @@ def _setter(width: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough. Texts are read again for
-    the candidates alone, so the sets of the corpus are never stored."""
+    """Those of ``pairs`` (a, b), a landed table, whose full shingle sets are similar enough. Texts are read again for
+    the candidates alone, so the sets of the corpus are never stored. The centre of a large bucket is an end of many pairs, so
+    both joins are salted."""
     wanted = land(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     sets = _chosen(docs, wanted).mapInArrow(_setter(width), "doc_id long, shingles array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    joined = salted_join(salted_join(pairs, right, "b", "a"), left, "a", "b", counted=pairs)
+    return joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
 def profile(shingles: np.ndarray) -> bytes:
@@ -177,6 +183,12 @@ def most_shared(profiles: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarr
     return out
 
 
+def _close(equal: np.ndarray, band: int) -> np.ndarray:
+    """Whether enough bytes are equal, and ``band`` is the first whose bytes all are: a pair that shares several buckets is compared in one."""
+    whole = equal.reshape(len(equal), BANDS, ROWS).all(2)
+    return (equal.sum(1) >= MIN_EQUAL_BYTES) & (whole.argmax(1) == band)
+
+
 def _compare(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Within one bounded block: pairs of different components that can still be links. With c the most that
     two sets can share, their similarity is c / (x + y - c) at most."""
@@ -188,7 +200,8 @@ def _compare(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = one[x], other[y]
     if len(x):
         sig = np.frombuffer(b"".join(block.column("bytes").to_pylist()), np.uint8).reshape(block.num_rows, -1)
-        close = np.concatenate([(sig[x[at : at + 20_000]] == sig[y[at : at + 20_000]]).sum(1) >= MIN_EQUAL_BYTES for at in range(0, len(x), 20_000)])
+        band = block.column("band_ix")[0].as_py()
+        close = np.concatenate([_close(sig[x[at : at + 20_000]] == sig[y[at : at + 20_000]], band) for at in range(0, len(x), 20_000)])
         x, y = x[close], y[close]
     if len(x):
         most = most_shared(block.column("profile").to_pylist(), x, y)
@@ -243,13 +256,20 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    return _judged(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
+    if percent < 80:
+        raise ValueError("bands are made for similarities of 80 percent and more")
     sketches = land(sketch(docs, width), "sketches")
     classes = land(sketches.where("sequence is not null and doc_id is not null").groupBy("sequence").agg(F.min("doc_id").alias("class_id")), "classes")
     # one row for each class and id: the row of the class's smallest id
     first = sketches.join(classes, (sketches.sequence == classes.sequence) & (sketches.doc_id == classes.class_id), "left_semi")
-    buckets = first.select("doc_id", F.explode("bands").alias("band"))
+    buckets = first.select("doc_id", F.posexplode("bands").alias("band_ix", "band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = land(buckets.join(shared, "band").select("band", "doc_id", "n"), "bucket-members")
+    members = land(buckets.join(shared, "band").select("band", "band_ix", "doc_id", "n"), "bucket-members")
 
     def linked(found: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         links = verified(land(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs"), docs, width, percent)
@@ -275,21 +295,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     counts = here.groupBy("band", "component").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("band").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("n_all"), (F.sum("k") - F.max("k")).alias("n_inner")).where("n_inner > 0")
     mixed = mixed.withColumns({"inner_blocks": F.ceil(F.col("n_inner") / BLOCK).cast("int"), "all_blocks": F.ceil(F.col("n_all") / WIDE_BLOCK).cast("int")})
-    open_ = land(here.select("band", "doc_id", "component").join(mixed, "band"), "open-buckets")
+    open_ = land(here.select("band", "band_ix", "doc_id", "component").join(mixed, "band"), "open-buckets")
     ids = land(open_.select("doc_id").distinct(), "open-ids")
     profiles = _chosen(docs, ids).mapInArrow(_profiler(width), "doc_id long, profile binary")
     facts = land(first.select("doc_id", "bytes", "n_shingles").join(profiles, "doc_id").dropDuplicates(["doc_id"]), "open-facts")
     rows = open_.join(facts, "doc_id")
-    pick = lambda inner, i, j: (F.col("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), "doc_id", "component", "n_shingles", "bytes", "profile", F.lit(inner).alias("inner"))
+    pick = lambda inner, i, j: (F.col("band"), F.col("band_ix"), i.cast("int").alias("i"), j.cast("int").alias("j"), "doc_id", "component", "n_shingles", "bytes", "profile", F.lit(inner).alias("inner"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inner = rows.where("component <> main").withColumn("j", every("all_blocks")).select(*pick(True, F.pmod(F.hash("doc_id"), "inner_blocks"), F.col("j")))
     outer = rows.withColumn("i", every("inner_blocks")).select(*pick(False, F.col("i"), F.pmod(F.hash("doc_id", F.lit(1)), "all_blocks")))
     blocks = inner.unionByName(outer).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     links, comps = linked(blocks.mapInArrow(_block_comparer(percent), "a long, b long"), links)
 
-    named = sketches.select("doc_id", "n_shingles", "sequence").join(classes, "sequence", "left")
+    named = sketches.select("doc_id", "text_hash", "n_shingles", "sequence").join(classes, "sequence", "left")
     return named.join(comps, named.class_id == comps.node, "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "class_id", "doc_id"), F.lit(True)).alias("kept"),
@@ -297,8 +318,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, in all its columns, without the rows whose document is not the first of its group. Rows without an
-    id, and repeated rows of a kept one, stay."""
-    gone = land(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs``, in all its columns, without the rows whose document is not the first of its group, and without the repeats of a row
+    with the same id and text. Rows without an id stay."""
+    judged = land(_judged(docs, width, percent), "near-duplicates")
+    key = ["doc_id", "text_hash"]
+    gone = land(judged.where("not kept").select(*key).distinct(), "gone")
+    repeated = land(judged.where("kept and doc_id is not null").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = rows.join(few(gone), key, "left_anti")
+    if repeated.isEmpty():
+        return rows.select("row.*")
+    again = rows.join(few(repeated), key, "left_semi").select("row", F.xxhash64(*key).alias("key"), F.spark_partition_id().alias("part"))
+    once = numbered_copies(land(again, "repeats"), "key").where("copy = 0").select("row.*")
+    return rows.join(few(repeated), key, "left_anti").select("row.*").unionByName(once)

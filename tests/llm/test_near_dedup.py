@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from routegraph.llm import common as common_
 from routegraph.llm import near_dedup as n
 from routegraph.llm.common import WORD, ascii_lower
 from routegraph.llm.components import connected_components
@@ -77,6 +78,7 @@ def test_blocks_alone_find_what_stars_miss(spark, frame, rows, monkeypatch):
     monkeypatch.setattr(n, "BLOCK", 3)
     monkeypatch.setattr(n, "WIDE_BLOCK", 5)
     monkeypatch.setattr(n, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common_, "SALTED_ROWS", 2)
     got = n.near_duplicates(frame([(k, t, "en", "s") for k, t in rows]), 4, 80).collect()
     want = brute(rows, 4, 80)
     assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
@@ -98,9 +100,35 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_without_near_duplicates_keeps_columns(frame, rows):
-    docs = frame([(k, t, "en", "s") for k, t in rows]).selectExpr("*", "1 as component_id", "2 as _gone_too")
+    docs = frame([(k, t, "en", "s") for k, t in rows]).selectExpr("*", "1 as component_id", "2 as _gone", "3 as text_hash", "4 as row", "5 as key", "6 as part", "7 as copy")
     out = n.without_near_duplicates(docs, 5, 80)
     want = brute(rows, 5, 80)
     assert out.columns == docs.columns
-    assert {r["doc_id"] for r in out.collect()} == {k for k in want if want[k] == k} | {None}
+    kept = [r["doc_id"] for r in out.collect()]
+    assert set(kept) == {k for k in want if want[k] == k} | {None}
+    assert len([k for k in kept if k is not None]) == len(set(kept) - {None})  # repeated rows stay once
     assert n.near_duplicates(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("salted", [500, 3])
+def test_salted_joins_and_hubs(spark, monkeypatch, salted):
+    monkeypatch.setattr(common_, "SALTED_ROWS", salted)
+    rows = spark.createDataFrame([(i % 3 if i < 40 else i, i) for i in range(60)], "k long, v long")
+    facts = spark.createDataFrame([(i, f"f{i}") for i in range(50)], "k long, fact string")
+    got = sorted(tuple(r) for r in common_.salted_join(rows, facts, "k", "v").select("k", "v", "fact").collect())
+    assert got == sorted((r["k"], r["v"], f"f{r['k']}") for r in rows.collect() if r["k"] < 50)
+    star = spark.createDataFrame([(9, k) for k in range(100, 160)], "a long, b long")
+    assert {r["component"] for r in connected_components(star, "a", "b").collect()} == {9}
+
+
+def test_texts_of_one_id_are_judged_apart_and_low_similarities_refused(frame, prose):
+    docs = frame([(1, prose(40, 1), "en", "s"), (5, prose(40, 1), "en", "s"), (5, prose(40, 2), "en", "s")])
+    assert sorted(r["doc_id"] for r in n.without_near_duplicates(docs).collect()) == [1, 5]
+    with pytest.raises(ValueError):
+        n.near_duplicates(docs, percent=70)
+
+
+def test_pairs_are_compared_in_their_first_shared_band():
+    equal = np.zeros((3, 200), bool)
+    equal[0], equal[1, 5:], equal[2, 10:] = True, True, True
+    assert n._close(equal, 0).tolist() == [True, False, False] and n._close(equal, 1).tolist() == [False, True, False]
