@@ -49,7 +49,7 @@ FAN = 1024
 BROADCAST_PLACES = 1_000_000
 #: Words whose ids a process remembers: those met once, and those met again. When either are too many, they are forgotten and
 #: learned anew, which changes no result.
-MET_ONCE, MET_AGAIN = 300_000, 700_000
+MET_ONCE, MET_AGAIN = 1_000_000, 700_000
 #: Chunks that a task remembers to have sent.
 SENT = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
