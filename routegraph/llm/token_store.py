@@ -232,11 +232,10 @@ def _encoder(path: str, end_id: int):
 
 
 def _unique_chunks(made: DataFrame) -> DataFrame:
-    """One of the chunks of each address: the one in the first place. Addresses are counted before they are shuffled, and a
-    task has made each of its chunks about once, so no address has more rows than there are tasks."""
-    places = made.where("address is not null").select("address", "place")
-    repeated = places.groupBy("address").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = land(places.join(repeated, "address").where("place > first").select("place"), "repeated-chunks")
+    """One of the chunks of each address: the one in the first place. A task has made each of its chunks about once, so no address
+    has more rows than there are tasks."""
+    places = made.where("address is not null").groupBy("address").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    gone = land(places.where(F.size("places") > 1).select(F.explode(F.slice("places", 2, F.size("places"))).alias("place")), "repeated-chunks")
     chunks = made.where("address is not null").select("address", "n_ids", "payload", "place")
     return chunks.join(F.broadcast(gone) if gone.count() <= BROADCAST_PLACES else gone, "place", "left_anti").drop("place")
 
