@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 FORESTS = {"writing": ("symbol_share", "mean_word_length"), "repetition": ("dup_line_share", "repeat_word_share")}
 FEATURES = tuple(f for names in FORESTS.values() for f in names)
-#: A threshold must catch this much more of the labelled bad rows than of the good ones, or the forest decides nothing.
+#: A threshold must catch this much more of all labelled bad rows than of the good ones, or the forest decides nothing: it would
+#: cost good rows for the few bad ones that the forest before has left.
 LEAST_GAIN = 0.02
 
 
@@ -199,26 +200,28 @@ def score(feats: DataFrame, forests: dict[str, dict]) -> DataFrame:
     return scored.withColumns({f"anomaly_{name}": F.col(f"_scores.{name}") for name in forests}).drop("_scores")
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, column: str, keep_good: float = 0.99, bins: int = 2000) -> float:
+def calibrate(scored: DataFrame, labels: DataFrame, column: str, left: Column, keep_good: float = 0.99, bins: int = 2000) -> float:
     """The threshold of the scores in ``column`` that best separates labelled good from bad rows, never below the one that keeps
-    ``keep_good`` of the good ones. Every labelled row of ``scored`` counts, in ``bins`` score bins. 2, which no score reaches, if
-    no threshold gains LEAST_GAIN."""
+    ``keep_good`` of the good ones. Every labelled row of ``scored`` counts; those that are not ``left`` have been decided, the others fall
+    into ``bins`` score bins. 2, which no score reaches, if no threshold gains LEAST_GAIN."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where("_quality in (0, 1)")
     counts = (
-        scored.select("doc_id", F.floor(F.col(column) * bins).cast("int").alias("_bin"))
+        scored.select("doc_id", F.when(left, F.floor(F.col(column) * bins)).otherwise(-1).cast("int").alias("_bin"))
         .join(known, F.col("doc_id") == F.col("_id"))
         .groupBy("_bin")
         .agg(F.sum("_quality").alias("good"), F.count("*").alias("n"))
         .collect()
     )
-    good, bad = np.zeros(bins + 1), np.zeros(bins + 1)
+    good, bad, all_good, all_bad = np.zeros(bins + 1), np.zeros(bins + 1), 0, 0
     for r in counts:
-        good[r["_bin"]] += r["good"]
-        bad[r["_bin"]] += r["n"] - r["good"]
+        all_good, all_bad = all_good + r["good"], all_bad + r["n"] - r["good"]
+        if r["_bin"] >= 0:
+            good[r["_bin"]] += r["good"]
+            bad[r["_bin"]] += r["n"] - r["good"]
     if not good.sum() or not bad.sum():
         return 2.0
-    kept_good, kept_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
-    gain = np.where(kept_good >= keep_good, kept_good - kept_bad, -9)
+    lost_good, caught_bad = (good.sum() - np.cumsum(good)) / all_good, (bad.sum() - np.cumsum(bad)) / all_bad
+    gain = np.where(lost_good <= 1 - keep_good, caught_bad - lost_good, -9)
     best = int(np.argmax(gain))
     return (best + 1) / bins if gain[best] >= LEAST_GAIN else 2.0
 
@@ -233,7 +236,7 @@ def judge(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None) ->
     # a forest's verdict matters only where neither the base rules nor a forest before it decide
     left, thresholds = ~F.col("base_failed"), {}
     for name in FORESTS:
-        thresholds[name] = calibrate(scored.where(left), labels, f"anomaly_{name}")
+        thresholds[name] = calibrate(scored.where("not base_failed"), labels, f"anomaly_{name}", left)
         left = left & (F.col(f"anomaly_{name}") < thresholds[name])
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("kept"),
