@@ -2,18 +2,19 @@
 
     P(word | word before) = P(class | class before) * P(word | class)
 
-Exchange clustering assigns units to classes: a unit is a word of at least CLUSTERED of all training tokens (so there
-are at most 1 / CLUSTERED of them), or one of SHAPES buckets of endings, which stands for all other words that end
-so, known or not. A round counts, over all training texts, which classes stand before and after each unit, and
-moves half of the units (by hash) to the class where the likelihood of the class bigrams gains most.
+Exchange clustering assigns units to classes: a unit is a word of LEAST_COUNT training tokens or more, and of FREQUENT of all
+tokens or more (so there are at most 1 / FREQUENT of them and their classes can be broadcast), or one of SHAPES buckets of endings,
+which stands for all other words that end so, known or not. A round counts, over all training texts, which classes stand
+before and after each unit, and moves a share of the units (by hash) to the class where the likelihood of the class bigrams gains
+most. As units move together, a round can lose: then its moves are taken back and a smaller share moves. Rounds end when the
+likelihood of a token rises by less than LEAST_RISE, or after MOST_ROUNDS.
 
 Class transitions are smoothed towards class frequencies. Within a class, counts are discounted by d = n1 / (n1 + 2 n2);
 the mass that this frees is the probability of a word not seen in training. The probabilities of
-all known words and one unknown word of each class sum to one.
+all known words and one unknown word of each class sum to one. Perplexity is 10 to the minus score by token.
 
-Counts cover every training text. Words are told apart by 64-bit hashes. Words of at least FREQUENT of all
-tokens (at most 1 / FREQUENT of them, so they may be broadcast) are scored where they stand; counts of all others
-come by a join on the word.
+Counts cover every training text. Words are told apart by 128-bit hashes. Words of at least FREQUENT of all
+tokens are scored where they stand; counts of all others come by a join on the word.
 
 Defined results: a null or empty text is one end token; a row without an id is neither learned from nor
 held out; repeated rows are scored one by one; with nothing to learn from, every token is unknown; an empty table
@@ -23,7 +24,7 @@ gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,14 +39,19 @@ from .common import WORD, ascii_lower, fold, land
 CLASSES = 64
 END = CLASSES  # the end of a text has a class of its own, which also stands before the first word
 SHAPES = 1024
-CLUSTERED, FREQUENT = 5e-5, 5e-7
-ROUNDS = 6
+#: Units: the endings, then the end of a text, then words by falling count.
+END_UNIT, FIRST_WORD = SHAPES, SHAPES + 1
+LEAST_COUNT, FREQUENT = 5, 5e-7
+MOST_ROUNDS, LEAST_RISE = 12, 2e-2
+#: Units whose neighbours a task counts in an array; those of the others, which are rarer, it sorts.
+DENSE, SORTED_PAIRS = 1 << 14, 1 << 20
 SMOOTHING = 20.0
 HELD = 400_000
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def word_hashes(words: Iterable[str], n: int) -> np.ndarray:
+    """Two 64-bit values of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(n, 2)
 
 
 def ending(word: str) -> int:
@@ -57,9 +63,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.fromiter(map(word_hash, counts), np.uint64, len(counts)).view(np.int64)), pa.array([ending(w) for w in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "shape", "n"]
-        )
+        h = word_hashes(counts, len(counts)).view(np.int64)
+        columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(map(ending, counts)), pa.int32()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "word2", "shape", "n"])
         counts.clear()
 
     for batch in batches:
@@ -73,24 +79,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(word, shape, n) of every word of ``train``."""
-    return train.select("text").mapInArrow(_count, "word long, shape int, n long").groupBy("word").agg(F.max("shape").alias("shape"), F.sum("n").alias("n"))
+    """(word, word2, shape, n) of every word of ``train``."""
+    return train.select("text").mapInArrow(_count, "word long, word2 long, shape int, n long").groupBy("word", "word2").agg(F.max("shape").alias("shape"), F.sum("n").alias("n"))
 
 
 def _words_of(frequent: pd.DataFrame, clustered: int) -> dict:
-    """Sorted hashes of the frequent words with their counts and units: a number below the clustered words' count, or that plus the shape."""
-    order = np.argsort(frequent["word"].to_numpy().view(np.uint64))
-    unit = np.where(np.arange(len(frequent)) < clustered, np.arange(len(frequent)), clustered + frequent["shape"].to_numpy())
-    return {"hash": frequent["word"].to_numpy().view(np.uint64)[order], "n": frequent["n"].to_numpy()[order], "unit": unit[order], "clustered": clustered, "end": clustered + SHAPES}
+    """Frequent words in order of their hashes, with their counts and units: the ``clustered`` first are units, the others have their ending's."""
+    h = frequent[["word", "word2"]].to_numpy().view(np.uint64)
+    order = np.argsort(h[:, 0])
+    unit = np.where(np.arange(len(frequent)) < clustered, FIRST_WORD + np.arange(len(frequent)), frequent["shape"].to_numpy())
+    return {"hash": h[order, 0], "hash2": h[order, 1], "n": frequent["n"].to_numpy()[order], "unit": unit[order]}
 
 
-ENCODED = "doc_id long, held_out boolean, train boolean, n_tokens long, n_frequent long, log_counts double, log_discounted double, units binary, rare_word array<long>, rare_shape array<int>, rare_times array<long>"
+ENCODED = (
+    "doc_id long, held_out boolean, train boolean, n_tokens long, n_frequent long, log_counts double, log_discounted double, units binary, "
+    "rare_word array<long>, rare_word2 array<long>, rare_shape array<int>, rare_times array<long>"
+)
 
 
 def _encoder(sent, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        known, clustered = table["hash"], table["clustered"]
+        known = table["hash"]
         for batch in batches:
             for start in range(0, batch.num_rows, 400):
                 part = batch.slice(start, 400)
@@ -98,12 +108,13 @@ def _encoder(sent, discount: float):
                 words = [WORD.findall(ascii_lower(t)) if t else [] for t in part.column("text").to_pylist()]
                 lengths = np.array([len(w) for w in words], np.int64)
                 token = np.fromiter((ids.setdefault(x, len(ids)) for w in words for x in w), np.int64, int(lengths.sum()))
-                h = np.fromiter(map(word_hash, ids), np.uint64, len(ids))
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                is_frequent = known[at] == h if len(known) else np.zeros(len(h), bool)
+                h = word_hashes(ids, len(ids))
                 shape = np.fromiter(map(ending, ids), np.int64, len(ids))
-                unit = np.where(is_frequent, table["unit"][at], clustered + shape) if len(known) else clustered + shape
-                n = np.where(is_frequent, table["n"][at], 0) if len(known) else np.zeros(len(h), np.int64)
+                is_frequent, unit, n = np.zeros(len(h), bool), shape, np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h[:, 0]), len(known) - 1)
+                    is_frequent = (known[at] == h[:, 0]) & (table["hash2"][at] == h[:, 1])
+                    unit, n = np.where(is_frequent, table["unit"][at], shape), np.where(is_frequent, table["n"][at], 0)
                 doc = np.repeat(np.arange(len(words)), lengths)
                 often = is_frequent[token]
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -112,7 +123,7 @@ def _encoder(sent, discount: float):
                 rare_doc, rare = np.divmod(pairs, max(len(ids), 1))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_doc, minlength=len(words)))]), pa.int32())
                 ends = np.concatenate([[0], np.cumsum(lengths)])
-                units = unit[token].astype("<u2")
+                units = unit[token].astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("doc_id", "held_out", "train")),
@@ -121,7 +132,8 @@ def _encoder(sent, discount: float):
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.array([units[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(h[rare].view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(h[rare, 0].view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(h[rare, 1].view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(shape[rare].astype(np.int32))),
                         pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
                     ],
@@ -131,27 +143,42 @@ def _encoder(sent, discount: float):
     return run
 
 
-def _neighbours(sent, n_units: int):
-    """Rows (unit, class, before, after): how often the class stands before and after the unit. Unit -1 - c holds the class bigrams of c."""
+def _neighbours(sent, dense: int):
+    """Rows (unit, cls, before, after): how often the class stands before and after the unit. Unit -1 - c holds the class bigrams of c."""
+    k = CLASSES + 1
+
+    def rows(code: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code // k), pa.array(code % k), pa.array(before), pa.array(after)], ["unit", "cls", "before", "after"])
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        side = code & 1 == 1
+        return rows(code >> 1, np.where(side, 0, n), np.where(side, n, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, k = sent.value, CLASSES + 1
-        before, after, bigrams = (np.zeros(m * k, np.int64) for m in (n_units, n_units, k))
-        end = np.array([n_units - 1], "<u2").tobytes()
+        classes = sent.value
+        first = min(dense, len(classes))
+        before, after, bigrams = (np.zeros(m * k, np.int64) for m in (first, first, k))
+        end = np.array([END_UNIT], "<u4").tobytes()
+        held: list[np.ndarray] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
-                rows = batch.slice(start, 2000).column("units").to_pylist()
-                u = np.frombuffer(end + end.join(rows) + end, "<u2").astype(np.int64)
-                c = classes[u]
-                before += np.bincount(u[1:] * k + c[:-1], minlength=n_units * k)
-                after += np.bincount(u[:-1] * k + c[1:], minlength=n_units * k)
+                texts = batch.slice(start, 2000).column("units").to_pylist()
+                u = np.frombuffer(end + end.join(texts) + end, "<u4").astype(np.int64)
+                c = classes[u].astype(np.int64)
                 bigrams += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-        at = np.flatnonzero((before > 0) | (after > 0))
-        more = np.flatnonzero(bigrams)
-        unit, cls = np.concatenate([at // k, -1 - more // k]), np.concatenate([at % k, more % k])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(unit), pa.array(cls), pa.array(np.concatenate([before[at], np.zeros_like(more)])), pa.array(np.concatenate([after[at], bigrams[more]]))], ["unit", "cls", "before", "after"]
-        )
+                for counts, code, side in ((before, u[1:] * k + c[:-1], 0), (after, u[:-1] * k + c[1:], 1)):
+                    few = code < first * k
+                    counts += np.bincount(code[few], minlength=first * k)
+                    held.append(code[~few] << 1 | side)
+                if sum(map(len, held)) > SORTED_PAIRS:
+                    yield summed(held)
+                    held = []
+        if held:
+            yield summed(held)
+        at, more = np.flatnonzero((before > 0) | (after > 0)), np.flatnonzero(bigrams)
+        yield rows(at, before[at], after[at])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - more // k), pa.array(more % k), pa.array(np.zeros_like(more)), pa.array(bigrams[more])], ["unit", "cls", "before", "after"])
 
     return run
 
@@ -162,12 +189,15 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 def best_class(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray) -> int:
     """The class to which a unit now in ``own`` is best moved: where the sum of N log N over class bigrams,
-    less that over class counts, gains most. ``before`` and ``after`` are the unit's counts by neighbouring class."""
-    m = bigrams.astype(float).copy()
+    less that over class counts, gains most. ``before`` and ``after`` are the unit's counts by neighbouring class. Only
+    classes that stand beside the unit change a term."""
+    m = bigrams.astype(float)
     m[own, :] = np.maximum(m[own, :] - after, 0)
     m[:, own] = np.maximum(m[:, own] - before, 0)
     first, second = m.sum(1), m.sum(0)
-    gain = (_xlogx(m + after[None, :]) - _xlogx(m)).sum(1) + (_xlogx(m + before[:, None]) - _xlogx(m)).sum(0)
+    a, b = np.flatnonzero(after), np.flatnonzero(before)
+    to, of = m[:, a], m[b, :]
+    gain = (_xlogx(to + after[None, a]) - _xlogx(to)).sum(1) + (_xlogx(of + before[b, None]) - _xlogx(of)).sum(0)
     gain -= _xlogx(first + after.sum()) - _xlogx(first) + _xlogx(second + before.sum()) - _xlogx(second)
     gain[END] = -np.inf
     return int(np.argmax(gain)) if np.max(gain) > gain[own] + 1e-9 else own
@@ -175,15 +205,18 @@ def best_class(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndar
 
 def _movers(sent):
     @F.pandas_udf(T.IntegerType())
-    def move(unit: pd.Series, rows: pd.Series) -> pd.Series:
+    def move(unit: pd.Series, cls: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        """The better class of each unit; null where it is in the best."""
         classes, bigrams = sent.value
         out = []
-        for u, found in zip(unit, rows, strict=True):
-            before, after = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-            for r in found:
-                before[r["cls"]], after[r["cls"]] = r["before"], r["after"]
-            out.append(best_class(int(classes[u]), before, after, bigrams))
-        return pd.Series(out, dtype="int32")
+        for u, c, x, y in zip(unit, cls, before, after, strict=True):
+            given, taken = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+            np.add.at(given, c, x)
+            np.add.at(taken, c, y)
+            own = int(classes[u])
+            best = best_class(own, given, taken, bigrams)
+            out.append(None if best == own else best)
+        return pd.Series(out, dtype="Int32")
 
     return move
 
@@ -195,24 +228,46 @@ def _class_bigrams(sums: DataFrame) -> np.ndarray:
     return bigrams
 
 
-def exchange(train: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all units (the last is the end) and the class bigram counts. The model's size is bounded: units times classes."""
+def likelihood(bigrams: np.ndarray) -> float:
+    """What the class bigrams add to the log likelihood of a token."""
+    m = bigrams.astype(float)
+    return float((_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum()) / max(m.sum(), 1))
+
+
+def exchange(train: DataFrame, n_units: int, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all units, the class bigram counts, and the likelihood of each round that was kept. A round brings only the units that
+    move to the driver."""
     sc = train.sparkSession.sparkContext
-    classes = np.arange(n_units) % CLASSES
-    classes[-1] = END
+    classes = (np.arange(n_units) % CLASSES).astype(np.uint8)
+    classes[END_UNIT] = END
 
-    def counted() -> DataFrame:
-        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast(classes.copy()), n_units), "unit long, cls long, before long, after long")
-        return land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "neighbours")
+    def counted(classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast(classes), DENSE), "unit long, cls long, before long, after long")
+        sums = land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "neighbours")
+        return sums, _class_bigrams(sums)
 
+    sums, bigrams = counted(classes)
+    course, share = [likelihood(bigrams)], 1.0
     for k in range(rounds):
-        sums = counted()
-        sent = sc.broadcast((classes.copy(), _class_bigrams(sums)))
-        turn = sums.where((F.col("unit") >= 0) & (F.col("unit") < n_units - 1) & ((k == 0) | (F.pmod(F.hash("unit", F.lit(k)), F.lit(2)) == 0)))
-        moved = turn.groupBy("unit").agg(F.collect_list(F.struct("cls", "before", "after")).alias("rows")).select("unit", _movers(sent)("unit", "rows").alias("cls")).collect()
-        for r in moved:
-            classes[r["unit"]] = r["cls"]
-    return classes, _class_bigrams(counted())
+        drawn = F.pmod(F.hash("unit", F.lit(k)), F.lit(1024)) < int(1024 * share)
+        turn = sums.where((F.col("unit") >= 0) & (F.col("unit") != END_UNIT) & drawn)
+        lists = turn.groupBy("unit").agg(F.collect_list(F.struct("cls", "before", "after")).alias("x")).select("unit", *[F.col(f"x.{c}").alias(c) for c in ("cls", "before", "after")])
+        moved = lists.withColumn("better", _movers(sc.broadcast((classes, bigrams)))("unit", "cls", "before", "after")).where("better is not null").select("unit", "better").toPandas()
+        if not len(moved):
+            break
+        trial = classes.copy()
+        trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
+        trial_sums, trial_bigrams = counted(trial)
+        rise = likelihood(trial_bigrams) - course[-1]
+        if rise > 0:
+            classes, sums, bigrams = trial, trial_sums, trial_bigrams
+            course.append(course[-1] + rise)
+            share = min(share, 0.5)
+        if rise < LEAST_RISE:
+            if rise > 0 or share <= 1 / 8:
+                break
+            share /= 2
+    return classes, bigrams, course
 
 
 def _transitions(bigrams: np.ndarray) -> np.ndarray:
@@ -222,13 +277,13 @@ def _transitions(bigrams: np.ndarray) -> np.ndarray:
     return np.log10((bigrams + SMOOTHING * own[None, :]) / (bigrams.sum(1, keepdims=True) + SMOOTHING))
 
 
-def _class_scorer(sent, n_units: int):
+def _class_scorer(sent):
     @F.pandas_udf(T.DoubleType())
     def score(units: pd.Series) -> pd.Series:
         classes, steps, per_token = sent.value
         out = np.zeros(len(units))
         for i, packed in enumerate(units):
-            c = classes[np.frombuffer(packed, "<u2")]
+            c = classes[np.frombuffer(packed, "<u4")]
             c = np.concatenate([[END], c, [END]])
             out[i] = steps[c[:-1], c[1:]].sum() + per_token[c[1:-1]].sum()
         return pd.Series(out)
@@ -237,7 +292,7 @@ def _class_scorer(sent, n_units: int):
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of ``docs``."""
     spark = docs.sparkSession
     remainder = fold("doc_id", folds)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("train"), "text")
@@ -246,26 +301,27 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     tokens, types, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     total, vocabulary = tokens + n_train, types + (n_train > 0)
     discount = min(0.95, max(0.1, ones / (ones + 2.0 * twos) if ones else 0.5))
-    frequent = counts.where(F.col("n") >= max(1.0, FREQUENT * total)).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    clustered = int((frequent["n"] >= CLUSTERED * total).sum())
+    frequent = counts.where(F.col("n") >= max(1.0, FREQUENT * total)).toPandas().sort_values(["n", "word", "word2"], ascending=[False, True, True], kind="stable")
+    clustered = int((frequent["n"] >= LEAST_COUNT).sum())
     table = _words_of(frequent, clustered)
-    n_units = clustered + SHAPES + 1
+    n_units = FIRST_WORD + clustered
     # ids of rows are drawn once, when the table is written, and then are stored values
     encoded = land(rows.mapInArrow(_encoder(spark.sparkContext.broadcast(table), discount), ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    classes, bigrams = exchange(encoded.where("train"), n_units)
+    classes, bigrams, _ = exchange(encoded.where("train"), n_units)
 
     class_tokens = bigrams.sum(0)
-    by_shape = {r["shape"]: r["k"] for r in counts.where(F.col("n") < CLUSTERED * total).groupBy("shape").agg(F.count("*").alias("k")).collect()}
-    class_types = np.bincount(classes[:clustered], minlength=CLASSES + 1) + np.bincount(classes[clustered:-1], [by_shape.get(s, 0) for s in range(SHAPES)], CLASSES + 1)
+    unclustered = (F.col("n") < LEAST_COUNT) | (F.col("n") < FREQUENT * total)
+    by_shape = {r["shape"]: r["k"] for r in counts.where(unclustered).groupBy("shape").agg(F.count("*").alias("k")).collect()}
+    class_types = np.bincount(classes[FIRST_WORD:], minlength=CLASSES + 1) + np.bincount(classes[:SHAPES], [by_shape.get(s, 0) for s in range(SHAPES)], CLASSES + 1)
     per_token = np.where(class_tokens > 0, -np.log10(np.maximum(class_tokens, 1)), 0.0)
     unseen = np.where(class_tokens > 0, np.log10(np.maximum(discount * class_types, 1e-9)), 0.0)
-    shape_unseen = [float(unseen[c]) for c in classes[clustered:-1]]
+    shape_unseen = [float(unseen[c]) for c in classes[:SHAPES]]
 
-    rare = encoded.select("row", F.explode(F.arrays_zip("rare_word", "rare_shape", "rare_times")).alias("r")).select("row", F.col("r.rare_word").alias("word"), F.col("r.rare_shape").alias("shape"), F.col("r.rare_times").alias("times"))
-    less = counts.where(F.col("n") < max(1.0, FREQUENT * total)).select("word", "n")
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare_word", "rare_word2", "rare_shape", "rare_times")).alias("r")).select("row", F.col("r.rare_word").alias("word"), F.col("r.rare_word2").alias("word2"), F.col("r.rare_shape").alias("shape"), F.col("r.rare_times").alias("times"))
+    less = counts.where(F.col("n") < max(1.0, FREQUENT * total)).select("word", "word2", "n")
     found = F.coalesce("n", F.lit(0))
     sums = (
-        rare.join(less, "word", "left")
+        rare.join(less, ["word", "word2"], "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(found > 0, F.col("times")).otherwise(0)).alias("more_known"),
@@ -274,16 +330,17 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         )
     )
     sent = spark.sparkContext.broadcast((classes, _transitions(bigrams), per_token))
-    per_class = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "log_counts", "log_discounted", _class_scorer(sent, n_units)("units").alias("class_score"))
+    per_class = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "log_counts", "log_discounted", _class_scorer(sent)("units").alias("class_score"))
     base_end = float(np.log10(n_train + 1.0))
     base_all = float(np.log10(total + 1.0 * (vocabulary + 1)))
-    return per_class.join(sums, "row", "left").select(
+    scored = per_class.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_frequent") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_train > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("log_counts") + F.coalesce("more_counts", F.lit(0.0)) + F.lit(base_end) - F.col("n_tokens") * F.lit(base_all)).alias("base_score"),
         (F.col("class_score") + F.col("log_discounted") + F.coalesce("more_discounted", F.lit(0.0))).alias("score"),
     )
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def _shape(values: list[float]) -> Column:

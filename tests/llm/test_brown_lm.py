@@ -26,7 +26,7 @@ def tokens(text):
 @pytest.mark.parametrize("frequent", [5e-7, 2e-3])
 def test_base_counts_match_brute_force(frame, corpus, monkeypatch, frequent):
     monkeypatch.setattr(b, "FREQUENT", frequent)
-    monkeypatch.setattr(b, "CLUSTERED", 4e-3)
+    monkeypatch.setattr(b, "LEAST_COUNT", 12)
     got = b.score(frame(corpus)).collect()
     assert len(got) == len(corpus)
     train = Counter()
@@ -41,7 +41,7 @@ def test_base_counts_match_brute_force(frame, corpus, monkeypatch, frequent):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(train[w] > 0 for w in t), n)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
         assert r["held_out"] == (r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 7 == 2)
-        assert r["score"] < 0
+        assert r["score"] < 0 and abs(math.log10(r["perplexity"]) + r["score"] / len(t)) < 1e-9
     held = [r for r in got if r["held_out"] and r["doc_id"] < 220]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
@@ -79,3 +79,53 @@ def test_nothing_to_learn_from(frame):
 def test_reruns_agree(frame, corpus):
     key = lambda df: sorted((str(r["doc_id"]), round(r["score"], 6)) for r in df.collect())
     assert key(b.score(frame(corpus))) == key(b.score(frame(corpus).repartition(3)))
+
+
+@pytest.mark.parametrize("dense", [1 << 14, 1030])
+def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, dense, monkeypatch):
+    monkeypatch.setattr(b, "DENSE", dense)
+    r = random.Random(5)
+    kinds = [[b.FIRST_WORD + 3 * i + k for i in range(100)] for k in range(3)]
+    texts = [np.array([r.choice(kinds[j % 3]) for j in range(60)], "<u4").tobytes() for _ in range(800)]
+    train = spark.createDataFrame([(x,) for x in texts], "units binary")
+    classes, bigrams, course = b.exchange(train, b.FIRST_WORD + 300)
+    assert course == sorted(course) and course[-1] > course[0] + 0.8, course
+    # words of one kind share classes that no other kind has, but for a few words
+    most = Counter((c, k) for k in range(3) for c in classes[kinds[k]])
+    assert sum(max(most[c, k] for k in range(3)) for c in set(classes[b.FIRST_WORD :])) >= 270
+    want = np.zeros_like(bigrams)
+    for t in texts:
+        row = [b.END, *classes[np.frombuffer(t, "<u4")], b.END]
+        for x, y in zip(row, row[1:], strict=False):
+            want[x, y] += 1
+    want[b.END, b.END] = bigrams[b.END, b.END]
+    assert (bigrams == want).all()
+
+
+def test_score_equals_the_model_by_definition(frame, corpus, monkeypatch):
+    """Scores from the classes and counts of the exchange, with plain dictionaries."""
+    seen = {}
+    whole = b.exchange
+
+    def kept(train, n_units, *more):
+        seen["model"] = whole(train, n_units, *more)
+        return seen["model"]
+
+    monkeypatch.setattr(b, "exchange", kept)
+    rows = b.score(frame(corpus)).collect()
+    classes, bigrams, _ = seen["model"]
+    train = Counter(w for k, text, *_ in corpus if k is not None and crc32(str(k).encode()) % 7 != 2 for w in tokens(text) if w)
+    key = lambda w: tuple(b.word_hashes([w], 1).view(np.int64)[0].tolist())
+    units = {w: b.FIRST_WORD + i for i, w in enumerate(sorted((w for w in train if train[w] >= b.LEAST_COUNT), key=lambda w: (-train[w], *key(w))))}
+    cls = lambda w: b.END if w is None else int(classes[units.get(w, b.ending(w))])
+    ones, twos = (sum(n == k for n in train.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
+    types = Counter(map(cls, train))
+    steps, per_class = b._transitions(bigrams), bigrams.sum(0)
+    text_of = {r[0]: r[1] for r in corpus}
+    for r in rows:
+        t = tokens(text_of[r["doc_id"]])
+        want = sum(steps[x, y] for x, y in zip([b.END, *map(cls, t)], map(cls, t), strict=False))
+        for w in t[:-1]:
+            want += math.log10((train[w] - d if train[w] else d * types[cls(w)]) / per_class[cls(w)]) if per_class[cls(w)] else 0
+        assert abs(r["score"] - want) < 1e-6 * max(1, abs(want)), r
