@@ -5,9 +5,10 @@
 Exchange clustering assigns units to classes: a unit is a word of LEAST_COUNT training tokens or more, and of FREQUENT of all
 tokens or more (so there are at most 1 / FREQUENT of them and their classes can be broadcast), or one of SHAPES buckets of endings,
 which stands for all other words that end so, known or not. A round counts, over all training texts, which classes stand
-before and after each unit, and moves a share of the units (by hash) to the class where the likelihood of the class bigrams gains
-most. As units move together, a round can lose: then its moves are taken back and a smaller share moves. Rounds end when the
-likelihood of a token rises by less than LEAST_RISE, or after MOST_ROUNDS.
+before and after each of the first LEADERS units, and moves a share of them (by hash) to the class where the likelihood of the class
+bigrams gains most; meanwhile a rarer word goes with its ending. As units move together, a round can lose: then its moves are taken
+back and a smaller share moves. Rounds end when the likelihood of a token rises by less than LEAST_RISE, or after MOST_ROUNDS. Then
+each of the rarer words moves once to the class that its own neighbours ask for, if that raises the likelihood.
 
 Class transitions are smoothed towards class frequencies. Within a class, counts are discounted by d = n1 / (n1 + 2 n2);
 the mass that this frees is the probability of a word not seen in training. The probabilities of
@@ -43,8 +44,8 @@ SHAPES = 1024
 END_UNIT, FIRST_WORD = SHAPES, SHAPES + 1
 LEAST_COUNT, FREQUENT = 5, 5e-7
 MOST_ROUNDS, LEAST_RISE = 12, 2e-2
-#: Units whose neighbours a task counts in an array; those of the others, which are rarer, it sorts.
-DENSE, SORTED_PAIRS = 1 << 14, 1 << 20
+#: Units that move in every round; a task counts their neighbours in an array.
+LEADERS = 1 << 14
 SMOOTHING = 20.0
 HELD = 400_000
 
@@ -143,42 +144,48 @@ def _encoder(sent, discount: float):
     return run
 
 
-def _neighbours(sent, dense: int):
-    """Rows (unit, cls, before, after): how often the class stands before and after the unit. Unit -1 - c holds the class bigrams of c."""
+def _neighbours(sent, counted: int):
+    """Rows (unit, cls, before, after): how often the class stands before and after each of the first ``counted`` units. Unit -1 - c
+    holds the class bigrams of c."""
     k = CLASSES + 1
 
-    def rows(code: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(code // k), pa.array(code % k), pa.array(before), pa.array(after)], ["unit", "cls", "before", "after"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, leader = sent.value
+        before, after, bigrams = (np.zeros(m * k, np.int64) for m in (counted, counted, k))
+        for u in _streams(batches):
+            c = classes[u].astype(np.int64)
+            bigrams += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+            if counted:
+                u = leader[u].astype(np.int64)
+                before += np.bincount(u[1:] * k + c[:-1], minlength=counted * k)
+                after += np.bincount(u[:-1] * k + c[1:], minlength=counted * k)
+        at, more = np.flatnonzero((before > 0) | (after > 0)), np.flatnonzero(bigrams)
+        unit, cls = np.concatenate([at // k, -1 - more // k]), np.concatenate([at % k, more % k])
+        columns = [unit, cls, np.concatenate([before[at], np.zeros_like(more)]), np.concatenate([after[at], bigrams[more]])]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["unit", "cls", "before", "after"])
+
+    return run
+
 
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        side = code & 1 == 1
-        return rows(code >> 1, np.where(side, 0, n), np.where(side, n, 0))
+def _streams(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[np.ndarray]:
+    """Units of some texts at a time, with an end before, between and after them."""
+    end = np.array([END_UNIT], "<u4").tobytes()
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield np.frombuffer(end + end.join(batch.slice(start, rows).column("units").to_pylist()) + end, "<u4")
+
+
+def _contexts(sent, counted: int):
+    """Rows (unit, pair, n) of the units from ``counted`` on: how often two classes, as one number, stand around the unit."""
+    k = CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = sent.value
-        first = min(dense, len(classes))
-        before, after, bigrams = (np.zeros(m * k, np.int64) for m in (first, first, k))
-        end = np.array([END_UNIT], "<u4").tobytes()
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                texts = batch.slice(start, 2000).column("units").to_pylist()
-                u = np.frombuffer(end + end.join(texts) + end, "<u4").astype(np.int64)
-                c = classes[u].astype(np.int64)
-                bigrams += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-                for counts, code, side in ((before, u[1:] * k + c[:-1], 0), (after, u[:-1] * k + c[1:], 1)):
-                    few = code < first * k
-                    counts += np.bincount(code[few], minlength=first * k)
-                    held.append(code[~few] << 1 | side)
-                if sum(map(len, held)) > SORTED_PAIRS:
-                    yield summed(held)
-                    held = []
-        if held:
-            yield summed(held)
-        at, more = np.flatnonzero((before > 0) | (after > 0)), np.flatnonzero(bigrams)
-        yield rows(at, before[at], after[at])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - more // k), pa.array(more % k), pa.array(np.zeros_like(more)), pa.array(bigrams[more])], ["unit", "cls", "before", "after"])
+        classes = sent.value[0]
+        for u in _streams(batches):
+            at = np.flatnonzero(u >= counted)
+            if len(at):
+                code, n = np.unique(u[at].astype(np.int64) << 16 | classes[u[at - 1]].astype(np.int64) * k + classes[u[at + 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((code >> 16).astype(np.int32)), pa.array((code & 65535).astype(np.int32)), pa.array(n.astype(np.int32))], ["unit", "pair", "n"])
 
     return run
 
@@ -210,17 +217,28 @@ def _movers(sent):
         classes, bigrams = sent.value
         out = []
         for u, c, x, y in zip(unit, cls, before, after, strict=True):
-            given, taken = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-            np.add.at(given, c, x)
-            np.add.at(taken, c, y)
-            own = int(classes[u])
-            best = best_class(own, given, taken, bigrams)
-            out.append(None if best == own else best)
+            out.append(_better(int(classes[u]), np.bincount(c, x, CLASSES + 1), np.bincount(c, y, CLASSES + 1), bigrams))
         return pd.Series(out, dtype="Int32")
 
     return move
 
 
+def _followers(sent):
+    @F.pandas_udf(T.IntegerType())
+    def move(unit: pd.Series, pair: pd.Series, n: pd.Series) -> pd.Series:
+        """The same, from the pairs of classes around each unit."""
+        classes, bigrams = sent.value
+        k = CLASSES + 1
+        return pd.Series([_better(int(classes[u]), np.bincount(p // k, x, k), np.bincount(p % k, x, k), bigrams) for u, p, x in zip(unit, pair, n, strict=True)], dtype="Int32")
+
+    return move
+
+
+def _better(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray) -> int | None:
+    best = best_class(own, before, after, bigrams)
+    return None if best == own else best
+
+
 def _class_bigrams(sums: DataFrame) -> np.ndarray:
     bigrams = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
     for r in sums.where("unit < 0").collect():
@@ -234,19 +252,24 @@ def likelihood(bigrams: np.ndarray) -> float:
     return float((_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum()) / max(m.sum(), 1))
 
 
-def exchange(train: DataFrame, n_units: int, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Classes of all units, the class bigram counts, and the likelihood of each round that was kept. A round brings only the units that
-    move to the driver."""
+def exchange(train: DataFrame, endings: np.ndarray, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all units, the class bigram counts, and the likelihood of each round that was kept. ``endings`` has the bucket of each
+    word that is a unit. A step brings only the units that move to the driver."""
     sc = train.sparkSession.sparkContext
+    n_units = FIRST_WORD + len(endings)
+    counted = min(LEADERS, n_units)
+    leader = np.arange(n_units, dtype=np.int32)
+    leader[counted:] = endings[counted - FIRST_WORD :]
     classes = (np.arange(n_units) % CLASSES).astype(np.uint8)
     classes[END_UNIT] = END
+    classes = classes[leader]
 
-    def counted(classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast(classes), DENSE), "unit long, cls long, before long, after long")
+    def sums_of(classes: np.ndarray, counted: int) -> tuple[DataFrame, np.ndarray]:
+        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast((classes, leader)), counted), "unit long, cls long, before long, after long")
         sums = land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "neighbours")
         return sums, _class_bigrams(sums)
 
-    sums, bigrams = counted(classes)
+    sums, bigrams = sums_of(classes, counted)
     course, share = [likelihood(bigrams)], 1.0
     for k in range(rounds):
         drawn = F.pmod(F.hash("unit", F.lit(k)), F.lit(1024)) < int(1024 * share)
@@ -257,7 +280,8 @@ def exchange(train: DataFrame, n_units: int, rounds: int = MOST_ROUNDS) -> tuple
             break
         trial = classes.copy()
         trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
-        trial_sums, trial_bigrams = counted(trial)
+        trial = trial[leader]
+        trial_sums, trial_bigrams = sums_of(trial, counted)
         rise = likelihood(trial_bigrams) - course[-1]
         if rise > 0:
             classes, sums, bigrams = trial, trial_sums, trial_bigrams
@@ -267,6 +291,16 @@ def exchange(train: DataFrame, n_units: int, rounds: int = MOST_ROUNDS) -> tuple
             if rise > 0 or share <= 1 / 8:
                 break
             share /= 2
+    if counted < n_units:
+        around = train.select("units").mapInArrow(_contexts(sc.broadcast((classes, leader)), counted), "unit int, pair int, n int")
+        lists = around.groupBy("unit").agg(F.collect_list(F.struct("pair", "n")).alias("x")).select("unit", F.col("x.pair").alias("pair"), F.col("x.n").alias("n"))
+        moved = lists.select("unit", _followers(sc.broadcast((classes, bigrams)))("unit", "pair", "n").alias("better")).where("better is not null").toPandas()
+        trial = classes.copy()
+        trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
+        trial_bigrams = sums_of(trial, 0)[1]
+        if likelihood(trial_bigrams) > course[-1]:
+            classes, bigrams = trial, trial_bigrams
+            course.append(likelihood(bigrams))
     return classes, bigrams, course
 
 
@@ -304,10 +338,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     frequent = counts.where(F.col("n") >= max(1.0, FREQUENT * total)).toPandas().sort_values(["n", "word", "word2"], ascending=[False, True, True], kind="stable")
     clustered = int((frequent["n"] >= LEAST_COUNT).sum())
     table = _words_of(frequent, clustered)
-    n_units = FIRST_WORD + clustered
     # ids of rows are drawn once, when the table is written, and then are stored values
     encoded = land(rows.mapInArrow(_encoder(spark.sparkContext.broadcast(table), discount), ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    classes, bigrams, _ = exchange(encoded.where("train"), n_units)
+    classes, bigrams, _ = exchange(encoded.where("train"), frequent["shape"].to_numpy()[:clustered])
 
     class_tokens = bigrams.sum(0)
     unclustered = (F.col("n") < LEAST_COUNT) | (F.col("n") < FREQUENT * total)

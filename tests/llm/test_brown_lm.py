@@ -81,14 +81,14 @@ def test_reruns_agree(frame, corpus):
     assert key(b.score(frame(corpus))) == key(b.score(frame(corpus).repartition(3)))
 
 
-@pytest.mark.parametrize("dense", [1 << 14, 1030])
-def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, dense, monkeypatch):
-    monkeypatch.setattr(b, "DENSE", dense)
+@pytest.mark.parametrize("leaders", [1 << 14, 1030])
+def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, leaders, monkeypatch):
+    monkeypatch.setattr(b, "LEADERS", leaders)
     r = random.Random(5)
     kinds = [[b.FIRST_WORD + 3 * i + k for i in range(100)] for k in range(3)]
     texts = [np.array([r.choice(kinds[j % 3]) for j in range(60)], "<u4").tobytes() for _ in range(800)]
     train = spark.createDataFrame([(x,) for x in texts], "units binary")
-    classes, bigrams, course = b.exchange(train, b.FIRST_WORD + 300)
+    classes, bigrams, course = b.exchange(train, np.arange(300))
     assert course == sorted(course) and course[-1] > course[0] + 0.8, course
     # words of one kind share classes that no other kind has, but for a few words
     most = Counter((c, k) for k in range(3) for c in classes[kinds[k]])
@@ -104,11 +104,12 @@ def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, dense, mon
 
 def test_score_equals_the_model_by_definition(frame, corpus, monkeypatch):
     """Scores from the classes and counts of the exchange, with plain dictionaries."""
+    monkeypatch.setattr(b, "LEADERS", 1040)
     seen = {}
     whole = b.exchange
 
-    def kept(train, n_units, *more):
-        seen["model"] = whole(train, n_units, *more)
+    def kept(train, endings):
+        seen["model"] = whole(train, endings)
         return seen["model"]
 
     monkeypatch.setattr(b, "exchange", kept)
