@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -49,7 +49,7 @@ FAN = 1024
 BROADCAST_PLACES = 1_000_000
 #: Words whose ids a process remembers: those met once, and those met again. When either are too many, they are forgotten and
 #: learned anew, which changes no result.
-MET_ONCE, MET_AGAIN = 1_000_000, 700_000
+MET_ONCE, MET_AGAIN = 400_000, 700_000
 #: Chunks that a task remembers to have sent.
 SENT = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -240,6 +240,11 @@ def _unique_chunks(made: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(gone) if gone.count() <= BROADCAST_PLACES else gone, "place", "left_anti").drop("place")
 
 
+def _packed(rows: DataFrame) -> DataFrameWriter:
+    """A writer for ids and hashes: no value comes twice and little can be compressed, so neither dictionaries nor much effort pay."""
+    return rows.write.option("compression", "snappy").option("parquet.enable.dictionary", "false")
+
+
 CHUNKS = "address binary, n_ids int, payload binary"
 RECIPES = "number long, doc_id long, start long, n_tokens long, addresses array<binary>, root string"
 
@@ -249,9 +254,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     spark = docs.sparkSession
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(tokenizer_path, end_id), ENCODED)
     # places are drawn once, when the table is written, and then are stored values
-    encoded.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/made")
+    _packed(encoded.withColumn("place", F.monotonically_increasing_id())).parquet(f"{path}/made")
     made = spark.read.schema(ENCODED + ", place long").parquet(f"{path}/made")
-    _unique_chunks(made).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    _packed(_unique_chunks(made)).parquet(f"{path}/chunks")
     # ascending documents: range parts, with what comes before each part added
     order = (F.asc_nulls_first("doc_id"), "n_tokens", "root")
     parts = made.where("address is null").select("doc_id", "n_tokens", "addresses", "root").sort(*order).withColumn("part", F.spark_partition_id())
