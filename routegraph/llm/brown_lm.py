@@ -7,7 +7,8 @@ tokens or more (so there are at most 1 / FREQUENT of them and their classes can
 which stands for all other words that end so, known or not. A round counts, over all training texts, which classes stand
 before and after each of the first LEADERS units, and moves a share of them (by hash) to the class where the likelihood of the class
 bigrams gains most; meanwhile a rarer word goes with its ending. As units move together, a round can lose: then its moves are taken
-back and a smaller share moves. Rounds end when the likelihood of a token rises by less than LEAST_RISE, or after MOST_ROUNDS. Then
+back. When the likelihood of a token rises by less than LEAST_RISE, a smaller share moves; rounds end when that does not help either,
+or after MOST_ROUNDS. Then
 each of the rarer words moves once to the class that its own neighbours ask for, if that raises the likelihood.
 
 Class transitions are smoothed towards class frequencies. Within a class, counts are discounted by d = n1 / (n1 + 2 n2);
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, ascii_lower, fold, land
+from .common import fold, land
 
 CLASSES = 64
 END = CLASSES  # the end of a text has a class of its own, which also stands before the first word
@@ -43,21 +45,34 @@ SHAPES = 1024
 #: Units: the endings, then the end of a text, then words by falling count.
 END_UNIT, FIRST_WORD = SHAPES, SHAPES + 1
 LEAST_COUNT, FREQUENT = 5, 5e-7
-MOST_ROUNDS, LEAST_RISE = 12, 2e-2
+MOST_ROUNDS, LEAST_RISE = 7, 2e-2
 #: Units that move in every round; a task counts their neighbours in an array.
 LEADERS = 1 << 14
 SMOOTHING = 20.0
 HELD = 400_000
 
 
-def word_hashes(words: Iterable[str], n: int) -> np.ndarray:
+def words_of(texts: pa.Array) -> list[list[bytes]]:
+    """Words of each text in UTF-8. Bytes know no other spaces than the six that part words, and no other capitals than A to Z."""
+    return [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
     """Two 64-bit values of each word."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(n, 2)
 
 
-def ending(word: str) -> int:
+def ending(word: bytes) -> int:
     """The bucket of a word's last two letters."""
-    return xxhash.xxh32_intdigest(word[-2:]) % SHAPES
+    return xxhash.xxh32_intdigest(word.decode()[-2:]) % SHAPES
+
+
+class _Numbers(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +85,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if text:
-                counts.update(WORD.findall(ascii_lower(text)))
+        for start in range(0, batch.num_rows, 50):
+            for words in words_of(batch.column("text").slice(start, 50)):
+                counts.update(words)
             if len(counts) > HELD:
                 yield from flush()
     if counts:
@@ -105,10 +120,10 @@ def _encoder(sent, discount: float):
         for batch in batches:
             for start in range(0, batch.num_rows, 400):
                 part = batch.slice(start, 400)
-                ids: dict[str, int] = {}
-                words = [WORD.findall(ascii_lower(t)) if t else [] for t in part.column("text").to_pylist()]
+                ids = _Numbers()
+                words = words_of(part.column("text"))
                 lengths = np.array([len(w) for w in words], np.int64)
-                token = np.fromiter((ids.setdefault(x, len(ids)) for w in words for x in w), np.int64, int(lengths.sum()))
+                token = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
                 h = word_hashes(ids, len(ids))
                 shape = np.fromiter(map(ending, ids), np.int64, len(ids))
                 is_frequent, unit, n = np.zeros(len(h), bool), shape, np.zeros(len(h), np.int64)
@@ -288,7 +303,7 @@ def exchange(train: DataFrame, endings: np.ndarray, rounds: int = MOST_ROUNDS) -
             course.append(course[-1] + rise)
             share = min(share, 0.5)
         if rise < LEAST_RISE:
-            if rise > 0 or share <= 1 / 8:
+            if share <= 1 / 8:
                 break
             share /= 2
     if counted < n_units:

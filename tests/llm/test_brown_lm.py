@@ -116,9 +116,9 @@ def test_score_equals_the_model_by_definition(frame, corpus, monkeypatch):
     rows = b.score(frame(corpus)).collect()
     classes, bigrams, _ = seen["model"]
     train = Counter(w for k, text, *_ in corpus if k is not None and crc32(str(k).encode()) % 7 != 2 for w in tokens(text) if w)
-    key = lambda w: tuple(b.word_hashes([w], 1).view(np.int64)[0].tolist())
+    key = lambda w: tuple(b.word_hashes([w.encode()], 1).view(np.int64)[0].tolist())
     units = {w: b.FIRST_WORD + i for i, w in enumerate(sorted((w for w in train if train[w] >= b.LEAST_COUNT), key=lambda w: (-train[w], *key(w))))}
-    cls = lambda w: b.END if w is None else int(classes[units.get(w, b.ending(w))])
+    cls = lambda w: b.END if w is None else int(classes[units.get(w, b.ending(w.encode()))])
     ones, twos = (sum(n == k for n in train.values()) for k in (1, 2))
     d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
     types = Counter(map(cls, train))
@@ -130,3 +130,10 @@ def test_score_equals_the_model_by_definition(frame, corpus, monkeypatch):
         for w in t[:-1]:
             want += math.log10((train[w] - d if train[w] else d * types[cls(w)]) / per_class[cls(w)]) if per_class[cls(w)] else 0
         assert abs(r["score"] - want) < 1e-6 * max(1, abs(want)), r
+
+
+def test_words_in_bytes_are_the_words():
+    import pyarrow as pa
+
+    texts = [None, "", "Ab\tÄB \x1cx\x85y\u2028z\xa0\x0b\x0cQ\r\n ", "\u0130I ſK", "a" * 100_000]
+    assert [[w.decode() for w in x] for x in b.words_of(pa.array(texts))] == [[w for w in tokens(t) if w] for t in texts]
