@@ -118,8 +118,8 @@ def _encoder(sent, discount: float):
         table = sent.value
         known = table["hash"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
                 ids = _Numbers()
                 words = words_of(part.column("text"))
                 lengths = np.array([len(w) for w in words], np.int64)
@@ -182,7 +182,7 @@ def _neighbours(sent, counted: int):
     return run
 
 
-def _streams(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[np.ndarray]:
+def _streams(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[np.ndarray]:
     """Units of some texts at a time, with an end before, between and after them."""
     end = np.array([END_UNIT], "<u4").tobytes()
     for batch in batches:
