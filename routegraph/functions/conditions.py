@@ -1,6 +1,6 @@
 """Conditions compiled to Spark columns.
 
-An answer is a struct: ``kind`` (n number, s string, l list, null if missing), ``num``, ``str``, ``token`` (a string that is
+An answer is a struct: ``kind`` (n number, s string, l list, o object, null if missing), ``num``, ``str``, ``token`` (a string that is
 equal for equal values, as 1, 1.0 and true are) and ``items`` (tokens of a list's elements). A condition becomes a
 status column: ``T``, ``F`` or an error text that begins with ``E:``. Errors are values, so short-circuit evaluation
 keeps its meaning although Spark promises no order of evaluation.
@@ -22,8 +22,13 @@ Lookup = Callable[[str], Column]
 MISSING = "z"
 
 
+#: From here on not every integer is a double; such numbers are told apart as integers, as long as they fit in 64 bits.
+EXACT, LARGEST = 2**53, 2**63
+
+
 def number_token(x: Column) -> Column:
-    return F.concat(F.lit("n:"), (x.cast("double") + F.lit(0.0)).cast("string"))
+    double = x.cast("double") + F.lit(0.0)
+    return F.concat(F.lit("n:"), F.coalesce(F.when(F.abs(double) >= EXACT, x.try_cast("long").cast("string")), double.cast("string")))
 
 
 def token(value: Any) -> str:
@@ -31,6 +36,8 @@ def token(value: Any) -> str:
     if value is None:
         return MISSING
     if isinstance(value, bool | int | float):
+        if EXACT <= abs(value) < LARGEST:
+            return f"n:{int(value)}"
         x = float(value)
         if x == 0:
             return "n:0.0"
@@ -45,7 +52,7 @@ def token(value: Any) -> str:
         return f"n:{digits if '.' in digits else digits + '.0'}E{int(exponent)}"
     if isinstance(value, list):
         return "l:" + json.dumps([token(x) for x in value], separators=(",", ":"), ensure_ascii=False)
-    return "s:" + value if isinstance(value, str) else "o:" + json.dumps(value, sort_keys=True)
+    return "s:" + value if isinstance(value, str) else "o:" + json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def _answer(kind: Column, num: Column, text: Column, tok: Column, items: Column) -> Column:
@@ -77,6 +84,8 @@ def json_answers(answers: Column) -> Column:
             F.when(v.isNull() | F.is_variant_null(v), F.lit(MISSING))
             .when(kind == "STRING", F.concat(F.lit("s:"), F.try_variant_get(v, "$", "string")))
             .when(kind == "BOOLEAN", number_token(F.try_variant_get(v, "$", "boolean").cast("int")))
+            .when(kind == "BIGINT", number_token(F.try_variant_get(v, "$", "long")))
+            .when(kind.startswith("OBJECT"), F.concat(F.lit("o:"), F.to_json(v)))
             .otherwise(number_token(F.try_variant_get(v, "$", "double")))
         )
 
@@ -89,6 +98,7 @@ def json_answers(answers: Column) -> Column:
             F.when(F.is_variant_null(v), none)
             .when(kind.startswith("ARRAY"), _answer(F.lit("l"), none, none, F.concat(F.lit("l:"), F.to_json(listed)), listed))
             .when(kind == "STRING", _answer(F.lit("s"), none, F.try_variant_get(v, "$", "string"), tok(v), none))
+            .when(kind.startswith("OBJECT"), _answer(F.lit("o"), none, none, tok(v), none))
             .otherwise(_answer(F.lit("n"), number, none, tok(v), none))
         )
 

@@ -13,12 +13,13 @@ from pyspark.sql import Window as W
 from routegraph.operators.graph import block_order
 from routegraph.sources.documents import Corpus
 
-# Expressions that always hold, and the spellings of comparisons in the order in which they are tried.
+# Expressions that always hold, and the spellings of comparisons in the order in which they are tried. Names may have
+# letters of any alphabet; numbers have ASCII digits.
 ALWAYS = ("always_show", "all respondents", "always", "entry point question")
 LEAVES = (
-    (r"(?i)^(\w+)\s+not\s+includes\s+(\d+)", "NOT_IN"), (r"(?i)^(\w+)\s+includes\s+(\d+)", "IN"),
-    (r"^(\w+)\s*==\s*(\d+)", "="), (r"^(\w+)\s*!=\s*(\d+)", "!="), (r"^(\w+)\s*>=\s*(\d+)", ">="), (r"^(\w+)\s*<=\s*(\d+)", "<="),
-    (r"^(\w+)\s*>\s*(\d+)", ">"), (r"^(\w+)\s*<\s*(\d+)", "<"), (r"^(\w+)\s*=\s*(\d+)", "="),
+    (r"(?iU)^(\w+)\s+not\s+includes\s+([0-9]+)", "NOT_IN"), (r"(?iU)^(\w+)\s+includes\s+([0-9]+)", "IN"),
+    (r"(?U)^(\w+)\s*==\s*([0-9]+)", "="), (r"(?U)^(\w+)\s*!=\s*([0-9]+)", "!="), (r"(?U)^(\w+)\s*>=\s*([0-9]+)", ">="), (r"(?U)^(\w+)\s*<=\s*([0-9]+)", "<="),
+    (r"(?U)^(\w+)\s*>\s*([0-9]+)", ">"), (r"(?U)^(\w+)\s*<\s*([0-9]+)", "<"), (r"(?U)^(\w+)\s*=\s*([0-9]+)", "="),
 )
 
 

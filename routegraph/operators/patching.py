@@ -31,7 +31,9 @@ def operations(recommendations: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def effective(corpus: Corpus, ops: DataFrame) -> DataFrame:
     """``ops`` with ``takes``: whether each changes anything. An added edge does if its id is new; an update does if the
-    first edge with its id exists and has another priority by then."""
+    first edge with its id exists and has another priority by then. Any other operation fails the job."""
+    known = F.coalesce(F.col("op").isin("add_edge", "update_edge"), F.lit(False))
+    ops = ops.where(F.assert_true(known, F.concat(F.lit("Unsupported patch operation: "), F.coalesce("op", F.lit("none")))).isNull())
     order = W.partitionBy("survey_key", "kind", "id").orderBy("pos", "step")
     keyed = ops.withColumns({"kind": F.col("op"), "id": F.coalesce("edge.id", "edge_id")})
     keyed = keyed.withColumns({"turn": F.row_number().over(order), "before": F.lag("priority").over(order)})
