@@ -7,7 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, chat_format, decontamination, kd_sharding, language_id, mixing, near_dedup, quality_rules, token_store, url_filter
+from . import (
+    brown_lm, chat_format, decontamination, kd_sharding, language_id, lexical_search, mixing, near_dedup, quality_classifier, quality_rules,
+    source_divergence, token_store, url_filter,
+)
 from .common import land, small_batches, table
 
 
@@ -56,6 +59,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), top_terms=200)
+
+
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +91,15 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_source_divergence": op13_source_divergence,
 }
 QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
