@@ -33,7 +33,6 @@ from .common import ascii_lower, land
 #: A term is a run of ASCII letters and characters beyond ASCII.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCS = 3
-SCALE = 1_000_000_000
 #: Counted terms that a task holds before it hands them on, about 150 bytes each.
 HELD_TERMS = 400_000
 #: Sources of a block on average at most, tiles that a task sums at a time (two matrices of 8 bytes a pair each), and pairs in one step.
@@ -53,7 +52,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for (lang, source), counts in held.items():
                 n = np.fromiter(counts.values(), np.int64, len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(n & (one_doc - 1)), pa.array(n >> 40)], ["lang", "source", "term", "count", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), pa.array(counts.keys(), pa.string()), pa.array(n & (one_doc - 1)), pa.array(n >> 40)], ["lang", "source", "term", "count", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
@@ -68,7 +67,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from rows()
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # summed in Python already: dealt out at once, as another sum before the shuffle would find few equal keys
+    dealt = docs.mapInArrow(count, COUNTS).repartition("lang", "source", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def count_vectors(docs: DataFrame) -> DataFrame:
@@ -196,9 +197,13 @@ def pair_values(vectors: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _share(count: Column, n: str, v: str) -> Column:
-    """1 + floor(10^9 * (count + 1) / (n + v)), in decimals."""
-    by = F.greatest(F.col(n) + F.col(v), F.lit(1))
-    return F.call_function("div", (count + 1).cast("decimal(27,0)") * F.lit(SCALE).cast("decimal(10,0)"), by.cast("decimal(20,0)")) + 1
+    """``shares`` as a column: three digits at a time, in 64 bits."""
+    by, rest = F.greatest(F.col(n) + F.col(v), F.lit(1)), (count + 1).cast("long")
+    out = F.call_function("div", rest, by)
+    for _ in range(3):
+        rest = (rest % by) * 1000
+        out = out * 1000 + F.call_function("div", rest, by)
+    return out + 1
 
 
 def term_values(terms: DataFrame, totals: DataFrame) -> DataFrame:
