@@ -13,7 +13,7 @@
 5. Large-star and small-star rounds give the components.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 < 2e-7; the byte test of
-step 3 asks for 124 equal bytes of 200, which such a pair misses with probability below 1e-9.
+step 3 asks for 124 equal bytes of 200, which such a pair misses with probability below 1e-9. A pair that shares several buckets is compared in the first of them.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; texts
 shorter than a shingle are one shingle of all their words; repeated rows of a document come back as
@@ -183,10 +183,10 @@ def most_shared(profiles: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarr
     return out
 
 
-def _close(equal: np.ndarray, band: int) -> np.ndarray:
-    """Whether enough bytes are equal, and ``band`` is the first whose bytes all are: a pair that shares several buckets is compared in one."""
-    whole = equal.reshape(len(equal), BANDS, ROWS).all(2)
-    return (equal.sum(1) >= MIN_EQUAL_BYTES) & (whole.argmax(1) == band)
+def _close(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], band: int) -> np.ndarray:
+    """Of pairs given as their (bytes, bands): whether enough bytes are equal, and ``band`` is the first band of equal value, that is, the
+    first bucket that both are in: a pair that shares several buckets is compared in one. Bytes alone could take a band for equal that is not."""
+    return ((one[0] == other[0]).sum(1) >= MIN_EQUAL_BYTES) & ((one[1] == other[1]).argmax(1) == band)
 
 
 def _compare(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +200,10 @@ def _compare(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = one[x], other[y]
     if len(x):
         sig = np.frombuffer(b"".join(block.column("bytes").to_pylist()), np.uint8).reshape(block.num_rows, -1)
+        bands = np.concatenate([c.flatten().to_numpy() for c in block.column("bands").chunks]).reshape(block.num_rows, BANDS)
         band = block.column("band_ix")[0].as_py()
-        close = np.concatenate([_close(sig[x[at : at + 20_000]] == sig[y[at : at + 20_000]], band) for at in range(0, len(x), 20_000)])
+        part = lambda rows, at: (sig[rows[at : at + 20_000]], bands[rows[at : at + 20_000]])
+        close = np.concatenate([_close(part(x, at), part(y, at), band) for at in range(0, len(x), 20_000)])
         x, y = x[close], y[close]
     if len(x):
         most = most_shared(block.column("profile").to_pylist(), x, y)
@@ -298,9 +300,9 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     open_ = land(here.select("band", "band_ix", "doc_id", "component").join(mixed, "band"), "open-buckets")
     ids = land(open_.select("doc_id").distinct(), "open-ids")
     profiles = _chosen(docs, ids).mapInArrow(_profiler(width), "doc_id long, profile binary")
-    facts = land(first.select("doc_id", "bytes", "n_shingles").join(profiles, "doc_id").dropDuplicates(["doc_id"]), "open-facts")
+    facts = land(first.select("doc_id", "bytes", "bands", "n_shingles").join(profiles, "doc_id").dropDuplicates(["doc_id"]), "open-facts")
     rows = open_.join(facts, "doc_id")
-    pick = lambda inner, i, j: (F.col("band"), F.col("band_ix"), i.cast("int").alias("i"), j.cast("int").alias("j"), "doc_id", "component", "n_shingles", "bytes", "profile", F.lit(inner).alias("inner"))
+    pick = lambda inner, i, j: (F.col("band"), F.col("band_ix"), i.cast("int").alias("i"), j.cast("int").alias("j"), "doc_id", "component", "n_shingles", "bytes", "bands", "profile", F.lit(inner).alias("inner"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inner = rows.where("component <> main").withColumn("j", every("all_blocks")).select(*pick(True, F.pmod(F.hash("doc_id"), "inner_blocks"), F.col("j")))
     outer = rows.withColumn("i", every("inner_blocks")).select(*pick(False, F.col("i"), F.pmod(F.hash("doc_id", F.lit(1)), "all_blocks")))

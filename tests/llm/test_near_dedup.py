@@ -128,7 +128,28 @@ def test_texts_of_one_id_are_judged_apart_and_low_similarities_refused(frame, pr
         n.near_duplicates(docs, percent=70)
 
 
-def test_pairs_are_compared_in_their_first_shared_band():
-    equal = np.zeros((3, 200), bool)
-    equal[0], equal[1, 5:], equal[2, 10:] = True, True, True
-    assert n._close(equal, 0).tolist() == [True, False, False] and n._close(equal, 1).tolist() == [False, True, False]
+def sketched(sets):
+    import pyarrow as pa
+
+    text = [" ".join(f"w{x}" for x in sorted(t)) for t in sets]  # one word is one shingle
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text), pa.array(range(len(text)), pa.int64())], ["doc_id", "text", "text_hash"])
+    out = pa.Table.from_batches(n._sketcher(1)(iter([batch])))
+    low = np.frombuffer(b"".join(out.column("bytes").to_pylist()), np.uint8).reshape(len(text), -1)
+    return low, np.array(out.column("bands").to_pylist())
+
+
+def test_every_pair_is_compared_in_the_first_bucket_that_both_are_in():
+    r = random.Random(5)
+    pairs = []
+    for _ in range(1500):
+        shared, a, b = (r.sample(range(k, k + 10**6), m) for k, m in ((0, 80), (2 * 10**6, 10), (4 * 10**6, 10)))
+        pairs += [shared + a, shared + b]  # 80 of 100 shingles
+    low, bands = sketched(pairs)
+    x, y = (low[::2], bands[::2]), (low[1::2], bands[1::2])
+    in_a_bucket = (x[1] == y[1]).any(1) & ((x[0] == y[0]).sum(1) >= n.MIN_EQUAL_BYTES)
+    compared = np.stack([n._close(x, y, k) & (x[1][:, k] == y[1][:, k]) for k in range(n.BANDS)], 1)
+    assert in_a_bucket.sum() > 1400 and (compared.sum(1) == in_a_bucket).all()
+    # four equal minima and a fifth with an equal byte: no common bucket there, whatever the bytes say
+    one, other = (low[:1].copy(), bands[:1].copy()), (low[:1].copy(), bands[:1].copy())
+    other[1][0, 0] += 1
+    assert n._close(one, other, 0).tolist() == [False] and n._close(one, other, 1).tolist() == [True]
