@@ -34,7 +34,7 @@ from .common import ascii_lower, land
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCS = 3
 #: Counted terms that a task holds before it hands them on, about 150 bytes each.
-HELD_TERMS = 400_000
+HELD_TERMS = 1_000_000
 #: Sources of a block on average at most, tiles that a task sums at a time (two matrices of 8 bytes a pair each), and pairs in one step.
 BLOCK, HELD_TILES, STEP = 64, 200, 1_000_000
 COUNTS = "lang string, source string, term string, count long, docs long"
