@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.ast import ConditionError, evaluate
-from routegraph.operators.graph import simple_paths
+from routegraph.operators.graph import Steps, first_fit_paths, framed, packed_steps, truncated_surveys
 from routegraph.operators.routes import ordered_edges
 from routegraph.sources.documents import Corpus
 from routegraph.store import land
@@ -150,42 +150,64 @@ def simulate(entry: str, by_source: dict[str, list[dict]], terminals: set[str],
     return path, taken, "max_steps"
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    surveys: dict[Any, tuple] = {}
-    for rows in batches:
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.survey_key not in surveys:
-                surveys.clear()
-                edges = [dict(e, condition=json.loads(e["condition"]) if e.get("condition") else None) for e in json.loads(r.edges)]
-                surveys[r.survey_key] = (edges, ordered_edges(edges), set(r.terminals))
-            edges, by_source, terminals = surveys[r.survey_key]
-            path, ids = list(r.path), list(r.edge_ids)
-            answers, actual, taken, reason = None, None, None, None
-            try:
-                answers = made_up(ids, edges, by_source)
-                if answers is None:
-                    reason = "unsynthesizable"
-                else:
-                    walked, followed, _ = simulate(path[0], by_source, terminals, answers)
-                    if (walked, followed) != (path, ids):
-                        actual, taken, reason = walked, followed, "simulation_mismatch"
-            except ConditionError as error:
-                reason = str(error)
-            out.append((r.survey_key, r.path_ix, path, ids, None if reason else json.dumps(answers), reason, actual, taken))
-        yield pd.DataFrame(out, columns=["survey_key", "path_ix", "path", "edge_ids", "responses", "reason", "actual_path", "actual_edge_ids"])
-
-
-def verified_paths(corpus: Corpus) -> DataFrame:
-    """Every path with ``responses`` (JSON) that lead along it, or the ``reason`` why there are none."""
-    paths = simple_paths(corpus)
+VERIFIED = ["survey_key", "path_ix", "path", "edge_ids", "responses", "reason", "actual_path", "actual_edge_ids"]
+
+
+def _verified(row: Any, paths: Iterator[tuple[int, list[str], list[str]]]) -> Iterator[tuple]:
+    """Paths of one survey, whose edges are parsed once, each with answers that lead along it or the reason why there are none."""
+    edges = [dict(e, condition=json.loads(e["condition"]) if e.get("condition") else None) for e in json.loads(row.edges)]
+    by_source, terminals = ordered_edges(edges), set(row.ends)
+    for number, path, ids in paths:
+        answers, actual, taken, reason = None, None, None, None
+        try:
+            answers = made_up(ids, edges, by_source)
+            if answers is None:
+                reason = "unsynthesizable"
+            else:
+                walked, followed, _ = simulate(path[0], by_source, terminals, answers)
+                if (walked, followed) != (path, ids):
+                    actual, taken, reason = walked, followed, "simulation_mismatch"
+        except ConditionError as error:
+            reason = str(error)
+        yield row.survey_key, number, path, ids, None if reason else json.dumps(answers), reason, actual, taken
+
+
+def _with_edges(corpus: Corpus, rows: DataFrame) -> DataFrame:
+    """``rows``, one for each survey, with all its ``edges`` as JSON in document order."""
     listed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("edge_id", F.lit("")).alias("id"), "source", "target", "condition", "priority")))
     edges = corpus.edges.groupBy("survey_key").agg(F.to_json(listed).alias("edges"))
-    ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("terminals"))
-    rows = paths.join(edges, "survey_key", "left").join(ends, "survey_key", "left")
-    rows = rows.withColumns({"edges": F.coalesce("edges", F.lit("[]")), "terminals": F.coalesce("terminals", F.array().cast("array<string>"))})
+    return rows.join(edges, "survey_key", "left").withColumn("edges", F.coalesce("edges", F.lit("[]")))
+
+
+def verified_paths(corpus: Corpus, max_paths: int | None = None) -> DataFrame:
+    """Every path (or the first ``max_paths`` of each survey) with ``responses`` (JSON) that lead along it, or the ``reason`` why there are
+    none. Paths are checked where they are listed, so a survey's edges are sent and parsed once."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for frame in batches for r in frame.itertuples(index=False))
+        yield from framed((x for r in rows for x in _verified(r, ((i, *p) for i, p in enumerate(Steps.of(r).paths(max_paths))))), VERIFIED)
+
+    rows = _with_edges(corpus, packed_steps(corpus))
+    return rows.mapInPandas(listed, _verified_schema(corpus))
+
+
+def verified_first_fit(corpus: Corpus, target: str) -> DataFrame:
+    """As ``verified_paths``, for the first path of each node or edge alone: polynomial, where listing all paths is exponential."""
+    first = land(first_fit_paths(corpus, universe(corpus, target), target == "node"), "first-fit")
+    each = first.groupBy("survey_key").agg(F.array_sort(F.collect_list(F.struct("path_ix", "path", "edge_ids"))).alias("paths"))
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for frame in batches for r in frame.itertuples(index=False))
+        yield from framed((x for r in rows for x in _verified(r, ((p["path_ix"], list(p["path"]), list(p["edge_ids"])) for p in r.paths))), VERIFIED)
+
+    ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("ends"))
+    rows = _with_edges(corpus, each.join(ends, "survey_key", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<string>"))))
+    return rows.mapInPandas(listed, _verified_schema(corpus))
+
+
+def _verified_schema(corpus: Corpus) -> str:
     kind = corpus.surveys.schema["survey_key"].dataType.simpleString()
-    return rows.mapInPandas(_verify, f"survey_key {kind}, path_ix int, path array<string>, edge_ids array<string>, responses string, reason string, actual_path array<string>, actual_edge_ids array<string>")
+    return f"survey_key {kind}, path_ix int, path array<string>, edge_ids array<string>, responses string, reason string, actual_path array<string>, actual_edge_ids array<string>"
 
 
 def universe(corpus: Corpus, target: str) -> DataFrame:
@@ -210,16 +232,23 @@ def percent(covered: str, of: str):
     return F.when(F.col(of) == 0, 100).otherwise(F.bround(F.col(covered) / F.col(of) * 100).cast("int"))
 
 
-def coverage(corpus: Corpus, target: str = "edge") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tests (survey_key, id, responses, expected_path, covered_edges), unverified paths, and a summary for each survey."""
-    items = universe(corpus, target)
+def coverage(corpus: Corpus, target: str = "edge", max_paths: int | None = None, first_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tests (survey_key, id, responses, expected_path, covered_edges), unverified paths, and a summary for each survey.
+
+    All simple paths are candidates, whose number can be exponential. With ``max_paths`` the first so many of a survey are, and the
+    summary tells by ``truncated`` where there are more. With ``first_only`` the first path of each item is, so that
+    the work is polynomial; an item whose first path no answers lead along stays uncovered then."""
     corpus = corpus.landed(land)
-    found = land(verified_paths(corpus), "paths")
+    items = universe(corpus, target)
+    found = land(verified_first_fit(corpus, target) if first_only else verified_paths(corpus, max_paths), "paths")
     chosen = chosen_tests(found.where("reason is null"), items, "path" if target == "node" else "edge_ids")
     number = F.row_number().over(W.partitionBy("survey_key").orderBy("path_ix"))
     tests = land(chosen.select("survey_key", F.format_string("TEST_%04d", number).alias("id"), "responses", F.col("path").alias("expected_path"), F.col("edge_ids").alias("covered_edges")), "tests")
     unverified = found.where("reason is not null").drop("responses")
-    return tests, unverified, coverage_summary(corpus, target, tests, unverified)
+    summary = coverage_summary(corpus, target, tests, unverified)
+    if max_paths is not None and not first_only:
+        summary = summary.join(truncated_surveys(corpus, max_paths).withColumn("truncated", F.lit(True)), "survey_key", "left").na.fill(False, ["truncated"])
+    return tests, unverified, summary
 
 
 def coverage_summary(corpus: Corpus, target: str, tests: DataFrame, unverified: DataFrame) -> DataFrame:

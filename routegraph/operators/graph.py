@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -303,27 +305,142 @@ def _paths_of(entry: str, ends: set[str], after: dict[str, list[tuple[str, str]]
             todo.append(iter(after[target]))
 
 
-def _enumerate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["survey_key", "path_ix", "path", "edge_ids"]
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            after: dict[str, list[tuple[str, str]]] = {}
-            for source, target, edge_id in zip(r.sources, r.targets, r.ids, strict=True):
-                after.setdefault(source, []).append((target, edge_id))
-            found = ((r.survey_key, i, p, e) for i, (p, e) in enumerate(_paths_of(r.entry_node, set(r.ends), after)))
-            while batch := list(islice(found, 2000)):
-                yield pd.DataFrame(batch, columns=columns)
+@dataclass
+class Steps:
+    """One survey as rows carry it: nodes that end a walk, and each node's (target, edge id) in the order in which they are tried."""
 
+    survey_key: Any
+    entry: str
+    ends: set[str]
+    after: dict[str, list[tuple[str, str]]]
 
-def simple_paths(corpus: Corpus) -> DataFrame:
-    """(survey_key, path_ix, path, edge_ids): all walks from the entry to a terminal, to a node without edges, or to a
-    node met before (which closes the path), in depth-first order. Their number can be exponential in a survey's size; they are
-    given out in batches, never held."""
+    @classmethod
+    def of(cls, row: Any) -> Steps:
+        after: dict[str, list[tuple[str, str]]] = {}
+        for source, target, edge_id in zip(row.sources, row.targets, row.ids, strict=True):
+            after.setdefault(source, []).append((target, edge_id))
+        return cls(row.survey_key, row.entry_node, set(row.ends), after)
+
+    def paths(self, most: int | None = None) -> Iterator[tuple[list[str], list[str]]]:
+        return islice(_paths_of(self.entry, self.ends, self.after), most)
+
+
+def framed(rows: Iterator[tuple], columns: list[str], size: int = 2000) -> Iterator[pd.DataFrame]:
+    """Rows of many surveys as frames of ``size`` rows; what a survey gives is never held as a whole."""
+    while batch := list(islice(rows, size)):
+        yield pd.DataFrame(batch, columns=columns)
+
+
+def packed_steps(corpus: Corpus) -> DataFrame:
+    """One row for each survey with an entry: survey_key, entry_node, sources, targets, ids (in the order of source and rank), ends."""
     listed = F.array_sort(F.collect_list(F.struct("rank", "source", "target", F.coalesce("edge_id", F.lit("")).alias("edge_id"))))
     steps = outgoing_ranks(corpus.edges).where("target is not null").groupBy("survey_key").agg(listed.alias("steps"))
     ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("ends"))
     rows = corpus.surveys.where("entry_node is not null").select("survey_key", "entry_node").join(steps, "survey_key", "left").join(ends, "survey_key", "left")
     none = F.array().cast("array<string>")
     listed = {"sources": F.col("steps.source"), "targets": F.col("steps.target"), "ids": F.col("steps.edge_id"), "ends": F.col("ends")}
-    rows = rows.select("survey_key", "entry_node", *[F.coalesce(c, none).alias(k) for k, c in listed.items()])
-    return rows.mapInPandas(_enumerate, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")
+    return rows.select("survey_key", "entry_node", *[F.coalesce(c, none).alias(k) for k, c in listed.items()])
+
+
+PATH_COLUMNS = ["survey_key", "path_ix", "path", "edge_ids"]
+
+
+def simple_paths(corpus: Corpus, max_paths: int | None = None) -> DataFrame:
+    """(survey_key, path_ix, path, edge_ids): all walks from the entry to a terminal, to a node without edges, or to a
+    node met before (which closes the path), in depth-first order. Their number can be exponential in a survey's size; they are
+    given out in batches, never held. With ``max_paths``, the first so many of each survey; ``truncated_surveys`` tells which have more."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        surveys = (Steps.of(r) for rows in batches for r in rows.itertuples(index=False))
+        yield from framed(((s.survey_key, i, *p) for s in surveys for i, p in enumerate(s.paths(max_paths))), PATH_COLUMNS)
+
+    rows = packed_steps(corpus)
+    return rows.mapInPandas(listed, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")
+
+
+def truncated_surveys(corpus: Corpus, max_paths: int) -> DataFrame:
+    """(survey_key) of surveys with more than ``max_paths`` paths; no survey is walked further than that."""
+
+    def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        surveys = (Steps.of(r) for rows in batches for r in rows.itertuples(index=False))
+        yield from framed(((s.survey_key,) for s in surveys if sum(1 for _ in s.paths(max_paths + 1)) > max_paths), ["survey_key"])
+
+    rows = packed_steps(corpus)
+    return rows.mapInPandas(more, f"survey_key {_key_type(rows)}")
+
+
+def first_walks(entry: str, ends: set[str], after: dict[str, list[tuple[str, str]]]) -> dict[str, tuple[str, int] | None]:
+    """For each node met: the node before it, and the rank of the edge taken, on the first path in depth-first order that holds it.
+
+    A search that enters every node once finds just these. Say a simple path to v came before the search's own, leaving it at y by
+    an earlier edge. When the search takes that edge, v is not met yet, so some node of the rest is done already (else v would be met from
+    there); take the last such one: its successor was met before it was done, and is neither done nor on the path to y, as that
+    path is simple. There is no such node."""
+    came: dict[str, tuple[str, int] | None] = {entry: None}
+    todo = [(entry, iter(enumerate(() if entry in ends else after.get(entry, ()))))]
+    while todo:
+        node, steps = todo[-1]
+        step = next(steps, None)
+        if step is None:
+            todo.pop()
+            continue
+        rank, (target, _) = step
+        if target not in came:
+            came[target] = (node, rank)
+            if target not in ends:
+                todo.append((target, iter(enumerate(after.get(target, ())))))
+    return came
+
+
+def first_path(item: tuple[str, int | None], came: dict[str, tuple[str, int] | None], ends: set[str], after: dict[str, list[tuple[str, str]]]) -> tuple[int, ...]:
+    """Ranks of the first path that holds a node (node, None) or takes the edge (source, rank): the first walk to it, then always the
+    first edge until the path ends or closes."""
+    node, rank = item
+    ranks: list[int] = []
+    met = {node}
+    at = came[node]
+    while at is not None:
+        ranks.append(at[1])
+        met.add(at[0])
+        at = came[at[0]]
+    ranks.reverse()
+    while node not in ends and after.get(node):
+        rank = 0 if rank is None else rank
+        ranks.append(rank)
+        node, rank = after[node][rank][0], None
+        if node in met:
+            break
+        met.add(node)
+    return tuple(ranks)
+
+
+def _first_fit(s: Steps, items: set[str], by_node: bool) -> Iterator[tuple]:
+    """(survey_key, test_no, path, edge_ids) of one survey, in depth-first order."""
+    came = first_walks(s.entry, s.ends, s.after)
+    first: dict[str, tuple[int, ...]] = {}
+    places = [(n, (n, None)) for n in came] if by_node else [(edge_id, (n, k)) for n in came if n not in s.ends for k, (_, edge_id) in enumerate(s.after.get(n, ()))]
+    for name, place in places:
+        if name in items:
+            found = first_path(place, came, s.ends, s.after)
+            first[name] = min(first.get(name, found), found)
+    for number, ranks in enumerate(sorted(set(first.values()))):
+        path, ids = [s.entry], []
+        for rank in ranks:
+            target, edge_id = s.after[path[-1]][rank]
+            path.append(target)
+            ids.append(edge_id)
+        yield s.survey_key, number, path, ids
+
+
+def first_fit_paths(corpus: Corpus, items: DataFrame, by_node: bool) -> DataFrame:
+    """(survey_key, path_ix, path, edge_ids): for every item (survey_key, item: node or edge id), the first simple path in depth-first order
+    that holds it, each once, numbered in that order. These are the paths that a first-fit pass over all simple paths chooses, found
+    without listing them: a search of each survey that is linear in its edges, and a path for each item at most, however many paths there are."""
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        surveys = ((Steps.of(r), set(r.items)) for rows in batches for r in rows.itertuples(index=False))
+        yield from framed((row for s, wanted in surveys for row in _first_fit(s, wanted, by_node)), PATH_COLUMNS)
+
+    wanted = items.groupBy("survey_key").agg(F.collect_set("item").alias("items"))
+    rows = packed_steps(corpus).join(wanted, "survey_key")
+    return rows.mapInPandas(chosen, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from datetime import datetime
 from typing import Any
 
@@ -62,9 +62,16 @@ def missing_ends(corpus: Corpus, end: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("operator", T.StringType()), T.StructField("variable", T.StringType()), T.StructField("text", T.StringType())])))
 def condition_parts(conditions: pd.Series) -> pd.Series:
-    """Operators in pre-order (as JSON, and as they read in a message) and the sorted names of variables."""
+    """Operators in pre-order (as JSON, and as they read in a message) and the sorted names of variables. Equal conditions of a batch are parsed once."""
+
+    known: dict[str | None, list] = {}
 
     def parts(text: str | None) -> list:
+        if text not in known:
+            known[text] = cut(text)
+        return known[text]
+
+    def cut(text: str | None) -> list:
         node = json.loads(text) if text is not None else None
         heads = [(i, json.dumps(op), None, str(op)) for i, op in enumerate(walk(node))]
         return heads + [(len(heads) + i, None, v, None) for i, v in enumerate(sorted(variables(node)))]
@@ -233,12 +240,20 @@ def schema_issues(corpus: Corpus) -> DataFrame:
 # ---- all -----------------------------------------------------------------------------------------------------------
 
 
-def unnumbered(corpus: Corpus, with_schema: bool = True) -> DataFrame:
+#: The checks in the order of their issues. Each takes the corpus and what is reachable in it.
+CHECKS = {
+    "entries": lambda c, _: missing_entries(c), "terminals": lambda c, _: missing_terminals(c), "sources": lambda c, _: missing_ends(c, "source"), "targets": lambda c, _: missing_ends(c, "target"),
+    "conditions": lambda c, _: condition_issues(c), "priorities": lambda c, _: priority_issues(c), "outgoing": lambda c, _: missing_outgoing(c), "reachability": lambda c, r: reachability_issues(c, r),
+    "cycles": lambda c, _: cycle_issues(c), "dead_ends": lambda c, r: dead_end_issues(c, r), "fallthroughs": lambda c, _: fallthrough_issues(c),
+}
+
+
+def unnumbered(corpus: Corpus, with_schema: bool = True, without: Collection[str] = ()) -> DataFrame:
+    """Issues of all CHECKS but those named in ``without``, which are not run at all."""
     corpus = corpus.landed(land)
-    reached = land(graph.reachable(corpus), "reachable")
+    reached = land(graph.reachable(corpus), "reachable") if {"reachability", "dead_ends"} - set(without) else None
     parts = [schema_issues(corpus)] if with_schema and corpus.documents is not None else []
-    parts += [missing_entries(corpus), missing_terminals(corpus), missing_ends(corpus, "source"), missing_ends(corpus, "target"), condition_issues(corpus), priority_issues(corpus)]
-    parts += [missing_outgoing(corpus), reachability_issues(corpus, reached), cycle_issues(corpus), dead_end_issues(corpus, reached), fallthrough_issues(corpus)]
+    parts += [check(corpus, reached) for name, check in CHECKS.items() if name not in without]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
