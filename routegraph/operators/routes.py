@@ -2,7 +2,8 @@
 
 ``compiled_routes`` serves one survey and any number of respondents: all conditions become columns, and a route is a
 fold over at most as many hops as there are nodes, in one projection without a shuffle. ``corpus_routes`` serves many surveys,
-whose conditions are data: each hop joins the respondents still under way with the edges of their node.
+whose conditions are data: each respondent meets their survey's edges once, as one row, every different condition is evaluated once, and the route
+is a fold again, with no join for a hop. Only surveys of more than PACKED edges are walked by a join for each hop.
 
 A route ends at a terminal (``terminal``), where no edge's condition holds (``no_matching_edge``), at an edge without a
 target (``invalid_edge``), at a condition that errs (its message), or after ``max_steps`` hops. As all answers are known
@@ -18,7 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from routegraph.functions.ast import ConditionError, evaluate
 from routegraph.functions.conditions import Lookup, status
@@ -110,8 +110,67 @@ def chosen_edges(candidates: DataFrame, keys: list[str], answers: str = "answers
     return tried.where("status <> 'F'").groupBy(*keys).agg(best.alias("hop"))
 
 
-def corpus_routes(respondents: DataFrame, corpus: Corpus, max_steps: int = 1000) -> DataFrame:
-    """(survey_key, respondent, path, edge_ids, reason) for (survey_key, respondent, answers as a JSON object)."""
+#: Surveys of up to so many edges are sent to their respondents as one row.
+PACKED = 4096
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def condition_statuses(conditions: pd.Series, answers: pd.Series) -> pd.Series:
+    """``condition_status`` for an array of conditions. Equal texts of conditions are parsed once a batch, answers once."""
+    parsed: dict[str, Any] = {}
+
+    def one(texts: Any, given: str | None) -> list[str]:
+        known = (json.loads(given) if given else None) or {}
+        out = []
+        for text in texts:
+            if text not in parsed:
+                parsed[text] = json.loads(text)
+            try:
+                out.append("T" if evaluate(parsed[text], known) else "F")
+            except ConditionError as error:
+                out.append(f"E:{error}")
+        return out
+
+    return pd.Series([one(c, a) for c, a in zip(conditions, answers, strict=True)])
+
+
+def _folded_routes(respondents: DataFrame, corpus: Corpus, edges: DataFrame, max_steps: int) -> DataFrame:
+    """Routes by one join on survey_key and a fold. ``edges`` are those of surveys of bounded size."""
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("source", *[c.alias(f"k{i}") for i, c in enumerate(edge_order())], "target", F.coalesce("edge_id", F.lit("")).alias("id"), "condition")))
+    packed = edges.groupBy("survey_key").agg(listed.alias("edges")).withColumn("conditions", F.array_distinct(F.filter(F.transform("edges", lambda e: e["condition"]), lambda c: c.isNotNull())))
+    ends = corpus.terminals.groupBy("survey_key").agg(F.collect_set("tid").alias("ends"))
+    surveys = corpus.surveys.select("survey_key", "entry_node").join(packed, "survey_key", "left").join(ends, "survey_key", "left")
+    rows = respondents.join(surveys, "survey_key").withColumn("statuses", condition_statuses(F.coalesce("conditions", empty), "answers"))
+    status = lambda e: F.coalesce(F.try_element_at(F.col("statuses"), F.array_position("conditions", e["condition"]).cast("int")), F.lit("T"))
+    tried = F.transform(F.coalesce("edges", F.array().cast(packed.schema["edges"].dataType)), lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), e["id"].alias("id"), F.when(e["condition"].isNull(), "T").otherwise(status(e)).alias("status")))
+    open_ = F.filter(tried, lambda e: e["status"] != "F")
+    start = F.struct(F.array("entry_node").alias("path"), empty.alias("edge_ids"), F.col("entry_node").alias("node"), none.alias("reason"), open_.alias("tried"))
+
+    def step(acc: Column, _: Column) -> Column:
+        hop = F.get(F.filter(acc["tried"], lambda e: e["source"] == acc["node"]), 0)
+        state = lambda path, ids, node, reason: F.struct(path.alias("path"), ids.alias("edge_ids"), node.alias("node"), reason.cast("string").alias("reason"), acc["tried"].alias("tried"))
+        stop = lambda reason: state(acc["path"], acc["edge_ids"], acc["node"], reason)
+        go = lambda reason: state(F.array_append(acc["path"], hop["target"]), F.array_append(acc["edge_ids"], hop["id"]), hop["target"], reason)
+        return (
+            F.when(acc["reason"].isNotNull(), acc)
+            .when(F.coalesce(F.array_contains("ends", acc["node"]), F.lit(False)), stop(F.lit("terminal")))
+            .when(hop.isNull(), stop(F.lit("no_matching_edge")))
+            .when(hop["status"] != "T", stop(F.substring(hop["status"], 3, 1000)))
+            .when(hop["target"].isNull(), stop(F.lit("invalid_edge")))
+            .when(F.array_contains(acc["path"], hop["target"]), go(F.lit("max_steps")))
+            .otherwise(go(F.lit(None)))
+        )
+
+    # a route without a repeated node takes each source's edge once at most, and one more step tells why it ends
+    hops = F.least(F.lit(max_steps), F.coalesce(F.size("edges"), F.lit(0)) + 2)
+    walk = F.aggregate(F.when(hops > 0, F.sequence(F.lit(1), hops)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.struct(acc["path"].alias("path"), acc["edge_ids"].alias("edge_ids"), F.coalesce(acc["reason"], F.lit("max_steps")).alias("reason")))
+    missing = F.struct(empty.alias("path"), empty.alias("edge_ids"), F.lit("missing_entry_node").alias("reason"))
+    return rows.select("survey_key", "respondent", F.when(F.col("entry_node").isNull(), missing).otherwise(walk).alias("r")).select("survey_key", "respondent", "r.path", "r.edge_ids", "r.reason")
+
+
+def _routes_by_hops(respondents: DataFrame, corpus: Corpus, max_steps: int) -> DataFrame:
+    """Routes through surveys of any size: each hop joins the respondents still under way with the edges of their node."""
     empty = F.array().cast("array<string>")
     ends = corpus.terminals.select("survey_key", F.col("tid").alias("node"), F.lit(True).alias("terminal"))
     edges = corpus.edges.where("source is not null").select("survey_key", F.col("source").alias("node"), "target", "edge_id", "condition", "priority", "ord")
@@ -145,6 +204,17 @@ def corpus_routes(respondents: DataFrame, corpus: Corpus, max_steps: int = 1000)
         )
 
 
+def corpus_routes(respondents: DataFrame, corpus: Corpus, max_steps: int = 1000) -> DataFrame:
+    """(survey_key, respondent, path, edge_ids, reason) for (survey_key, respondent, answers as a JSON object). A survey that most
+    respondents take is one row of the smaller side of a join, which Spark can split on the larger side."""
+    edges = corpus.edges.where("source is not null").select("survey_key", "source", "target", "edge_id", "condition", "priority", "ord")
+    large = land(edges.groupBy("survey_key").agg(F.count("*").alias("n")).where(F.col("n") > PACKED).select("survey_key"), "large-surveys")
+    if large.isEmpty():
+        return _folded_routes(respondents, corpus, edges, max_steps)
+    small = _folded_routes(respondents.join(large, "survey_key", "left_anti"), corpus, edges.join(large, "survey_key", "left_anti"), max_steps)
+    return small.unionByName(_routes_by_hops(respondents.join(large, "survey_key", "left_semi"), corpus, max_steps))
+
+
 def route_histogram(routes: DataFrame) -> DataFrame:
     """How many respondents take each path to each end."""
     return routes.groupBy(F.concat_ws(">", "path").alias("path"), "reason").agg(F.count("*").alias("respondents"))
@@ -153,7 +223,3 @@ def route_histogram(routes: DataFrame) -> DataFrame:
 def question_reach(routes: DataFrame) -> DataFrame:
     """How many respondents come to each node."""
     return routes.select(F.explode(F.array_distinct("path")).alias("node")).groupBy("node").agg(F.count("*").alias("respondents"))
-
-
-def numbered(df: DataFrame, by: str, *order: str) -> DataFrame:
-    return df.withColumn("no", F.row_number().over(W.partitionBy(by).orderBy(*order)))

@@ -55,7 +55,7 @@ edge AS (
   SELECT *, 'E' || lpad(CAST(ord + 1 AS VARCHAR), 3, '0') AS edge_id,
     CASE WHEN type = 'branch' THEN 'Q' || (1 + l_suppkey % 7) END AS variable
   FROM (
-    SELECT l_orderkey AS survey_key, l_suppkey, 'Q' || l_linenumber AS source, 1 + CAST(trunc(l_quantity) AS BIGINT) % 8 AS priority,
+    SELECT l_orderkey AS survey_key, l_suppkey, 'Q' || l_linenumber AS source, 1 + CAST(trunc(l_quantity) AS BIGINT) % 8 AS priority, CAST(trunc(l_quantity) AS BIGINT) % 3 AS wanted,
       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS ord,
       CASE WHEN l_partkey % 10 = 0 THEN 'Q' || (1 + l_suppkey % 7)
            WHEN l_partkey % 10 IN (1, 2, 3) OR l_linenumber + 1 + l_partkey % 2 > 7 THEN 'END'
@@ -115,6 +115,28 @@ def _edge(name: str, source: str, target: str, condition: Any = None, priority:
     return {"id": name, "source": source, "target": target, "condition": condition, "priority": priority}
 
 
+def order_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(survey_key, respondent, answers): the customer of each order answers the order's survey; every fifth answer is missing."""
+    answer = lambda i: F.when((F.col("o_custkey") + i) % 5 != 0, (F.col("o_custkey") + i) % 4).alias(f"Q{i}")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("survey_key"), F.col("o_custkey").alias("respondent"), F.to_json(F.struct(*[answer(i) for i in range(1, 8)])).alias("answers"))
+
+
+#: The routes of these respondents, after CORPUS_SQL.
+ORDER_ROUTES_SQL = """
+answer AS (
+  SELECT o_orderkey AS survey_key, o_custkey AS respondent, 'Q' || i AS variable, CASE WHEN (o_custkey + i) % 5 <> 0 THEN (o_custkey + i) % 4 END AS given FROM orders, (SELECT unnest(generate_series(1, 7)) AS i)
+), choice AS (
+  SELECT survey_key, respondent, source, target, edge_id FROM (
+    SELECT o.o_orderkey AS survey_key, o.o_custkey AS respondent, source, target, edge_id, row_number() OVER (PARTITION BY o.o_orderkey, o.o_custkey, source ORDER BY rank) AS k
+    FROM orders o JOIN ranked e ON e.survey_key = o.o_orderkey LEFT JOIN answer a ON a.survey_key = o.o_orderkey AND a.respondent = o.o_custkey AND a.variable = e.variable
+    WHERE e.variable IS NULL OR a.given = e.wanted) WHERE k = 1
+), ride AS (
+  SELECT s.survey_key, o.o_custkey AS respondent, [entry] AS path, CAST([] AS VARCHAR[]) AS edge_ids, false AS closed FROM survey s JOIN orders o ON o.o_orderkey = s.survey_key
+  UNION ALL
+  SELECT r.survey_key, r.respondent, list_append(path, target), list_append(edge_ids, edge_id), list_contains(path, target)
+  FROM ride r JOIN choice c ON c.survey_key = r.survey_key AND c.respondent = r.respondent AND c.source = r.path[-1] WHERE NOT closed AND r.path[-1] <> 'END'
+)"""
+
 CUSTOMER_EDGES = [
     _edge("E1", "Q1", "Q2", ["=", "SEGMENT", "BUILDING"], 1), _edge("E2", "Q1", "Q3", [">", "BALANCE", 5000], 2), _edge("E3", "Q1", "Q4", None, 999),
     _edge("E4", "Q2", "Q3", ["in", "NATION", [1, 2, 3, 4, 5]], 1), _edge("E5", "Q2", "Q4", ["contains", "TAGS", 2], 2), _edge("E6", "Q2", "END", None, 999),

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from routegraph.functions.conditions import status
 from routegraph.operators import convert, coverage, graph, healing, patching, routes, validation
 from routegraph.plans.derived import (
-    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, PATHS_SQL, customer_answers, customer_corpus, customer_json, lookup, order_corpus, table,
+    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, ORDER_ROUTES_SQL, PATHS_SQL, customer_answers, customer_corpus, customer_json, lookup,
+    order_corpus, order_respondents, table,
 )
 from routegraph.schema import DOCUMENT_RULES, LOWER_ID
 from routegraph.store import land
@@ -203,6 +204,18 @@ def routes_data_driven(spark: SparkSession, d: str) -> DataFrame:
     return _shown(routes.corpus_routes(customer_json(spark, d), customer_corpus(spark)), "respondent")
 
 
+@query(
+    """SELECT survey_key, respondent, array_to_string(path, '>') AS path, array_to_string(edge_ids, '>') AS edge_ids,
+      CASE WHEN closed THEN 'max_steps' WHEN path[-1] = 'END' THEN 'terminal' ELSE 'no_matching_edge' END AS reason
+    FROM ride r WHERE closed OR path[-1] = 'END' OR NOT EXISTS (SELECT 1 FROM choice c WHERE c.survey_key = r.survey_key AND c.respondent = r.respondent AND c.source = r.path[-1])""",
+    CORPUS_SQL, ORDER_ROUTES_SQL,
+)
+def routes_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The customer of every order through that order's survey."""
+    routed = routes.corpus_routes(order_respondents(spark, d), _corpus(spark, d))
+    return routed.select("survey_key", "respondent", F.array_join("path", ">").alias("path"), F.array_join("edge_ids", ">").alias("edge_ids"), "reason")
+
+
 @query("SELECT path, reason, count(*) AS respondents FROM route GROUP BY 1, 2", CUSTOMER_SQL)
 def route_histogram(spark: SparkSession, d: str) -> DataFrame:
     return routes.route_histogram(_compiled(spark, d))
