@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     for p in every.values():
         p.add_argument("survey_path", type=Path)
     every["validate"].add_argument("--report", type=Path)
+    every["validate"].add_argument("--schema", help="a draft-07 schema file, instead of the built-in document rules")
     every["heal"].add_argument("--output", type=Path)
     every["heal"].add_argument("--decisions-template", type=Path)
     every["apply"].add_argument("decisions_path", type=Path)
@@ -49,7 +50,7 @@ def survey_id(corpus: Corpus) -> str:
 
 def run_validate(spark: SparkSession, args: argparse.Namespace) -> tuple[dict, int]:
     corpus = corpus_of(spark, args.survey_path.read_text("utf-8"))
-    issues = land(validate(corpus), "issues")
+    issues = land(validate(corpus, schema=args.schema), "issues")
     if args.report:
         args.report.write_text(markdown_reports(corpus, issues).first()["report"], "utf-8")
     found = [sinks.issue_payload(r) for r in issues.orderBy("issue_no").collect()]

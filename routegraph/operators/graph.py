@@ -444,3 +444,66 @@ def first_fit_paths(corpus: Corpus, items: DataFrame, by_node: bool) -> DataFram
     wanted = items.groupBy("survey_key").agg(F.collect_set("item").alias("items"))
     rows = packed_steps(corpus).join(wanted, "survey_key")
     return rows.mapInPandas(chosen, f"survey_key {_key_type(rows)}, path_ix int, path array<string>, edge_ids array<string>")
+
+
+WAYS = "decimal(38,0)"
+
+
+def _ways_by_fold(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(survey_key, hop, leaf ways) of surveys of bounded size, and the ways still under way after as many hops as there are steps."""
+    step = F.struct("source", "target", "leaf", "k")
+    packed = starts.join(steps.groupBy("survey_key").agg(F.collect_list(step).alias("steps")), "survey_key")
+    zero, one = F.lit(0).cast(WAYS), F.lit(1).cast(WAYS)
+    total = lambda xs: F.aggregate(xs, zero, lambda a, x: (a + x["n"]).cast(WAYS))
+
+    def hop(acc: Column, number: Column) -> Column:
+        moved = F.filter(F.transform("steps", lambda s: F.struct(s["target"].alias("node"), s["leaf"].alias("leaf"), (total(F.filter(acc["front"], lambda f: f["node"] == s["source"])) * s["k"]).cast(WAYS).alias("n"))), lambda m: m["n"] > 0)
+        ended = total(F.filter(moved, lambda m: m["leaf"]))
+        on = F.filter(moved, lambda m: ~m["leaf"])
+        front = F.transform(F.array_distinct(F.transform(on, lambda m: m["node"])), lambda t: F.struct(t.alias("node"), total(F.filter(on, lambda m: m["node"] == t)).alias("n")))
+        done = F.when(ended > 0, F.array_append(acc["done"], F.struct(number.alias("hop"), ended.alias("n")))).otherwise(acc["done"])
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(front.alias("front"), done.alias("done")))
+
+    begin = F.struct(F.array(F.struct(F.col("entry_node").alias("node"), one.alias("n"))).alias("front"), F.array().cast(f"array<struct<hop:int,n:{WAYS}>>").alias("done"))
+    walked = packed.select("survey_key", F.aggregate(F.sequence(F.lit(1), F.size("steps") + 1), begin, hop).alias("w"))
+    open_ = F.size("w.front") > 0
+    ends = [F.when(~open_, x) for x in (total(F.col("w.done")), F.array_min(F.transform("w.done", lambda x: x["hop"])), F.array_max(F.transform("w.done", lambda x: x["hop"])))]
+    return walked.select("survey_key", ends[0].alias("paths"), ends[1].alias("shortest"), ends[2].alias("longest"))
+
+
+def _ways_by_joins(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """The same for surveys of any size: a join and a sum for each hop, over all of them at once."""
+    most = steps.groupBy("survey_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    front = land(starts.select("survey_key", F.col("entry_node").alias("node"), F.lit(1).cast(WAYS).alias("n")), "ways")
+    done = None
+    for number in range(1, most + 2):
+        if front.isEmpty():
+            break
+        moved = front.withColumnRenamed("node", "source").join(steps, ["survey_key", "source"]).groupBy("survey_key", F.col("target").alias("node"), "leaf").agg(F.sum((F.col("n") * F.col("k")).cast(WAYS)).cast(WAYS).alias("n"))
+        moved = land(moved, "ways")
+        ended = moved.where("leaf").groupBy("survey_key").agg(F.sum("n").cast(WAYS).alias("n")).withColumn("hop", F.lit(number))
+        done = ended if done is None else done.unionByName(ended)
+        if number % 10 == 0:
+            done = land(done, "ended")
+        front = moved.where("not leaf").select("survey_key", "node", "n")
+    open_ = front.select("survey_key").distinct().withColumn("open", F.lit(True))
+    counted = done.groupBy("survey_key").agg(F.sum("n").cast(WAYS).alias("paths"), F.min("hop").alias("shortest"), F.max("hop").alias("longest"))
+    every = starts.select("survey_key").join(open_, "survey_key", "left").join(counted, "survey_key", "left")
+    return every.select("survey_key", *[F.when(F.col("open").isNull(), F.col(c)).alias(c) for c in ("paths", "shortest", "longest")])
+
+
+def path_counts(corpus: Corpus) -> DataFrame:
+    """(survey_key, paths, shortest, longest): the number of ``simple_paths`` of each survey with an entry and the fewest and most edges of
+    one, without listing them: ways to each node are summed hop by hop, in exact decimals (a sum beyond 38 digits is an error). Where a walk can
+    come to a cycle, all three are null, as simple paths cannot be summed there."""
+    edges = corpus.edges.where("source is not null and target is not null")
+    ends = corpus.terminals.select("survey_key", F.col("tid").alias("node")).distinct()
+    onward = edges.select("survey_key", F.col("source").alias("node")).distinct().join(ends, ["survey_key", "node"], "left_anti").withColumn("on", F.lit(True))
+    steps = edges.groupBy("survey_key", "source", "target").agg(F.count("*").alias("k")).join(onward.select("survey_key", F.col("node").alias("source")), ["survey_key", "source"], "left_semi")
+    steps = steps.join(onward.select("survey_key", F.col("node").alias("target"), "on"), ["survey_key", "target"], "left").withColumn("leaf", F.col("on").isNull()).drop("on")
+    entries = land(corpus.surveys.where("entry_node is not null").select("survey_key", "entry_node"), "entries")
+    moving = entries.join(onward.withColumnRenamed("node", "entry_node"), ["survey_key", "entry_node"], "left_semi")
+    still = entries.join(moving.select("survey_key"), "survey_key", "left_anti").select("survey_key", F.lit(1).cast(WAYS).alias("paths"), F.lit(0).alias("shortest"), F.lit(0).alias("longest"))
+    small, large = _by_size(steps)
+    out = still.unionByName(_ways_by_fold(moving, small))
+    return out if large is None else out.unionByName(_ways_by_joins(land(moving.join(large, "survey_key", "left_semi"), "moving"), large))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Collection, Iterator
-from datetime import datetime
+from collections.abc import Collection
 from typing import Any
 
 import pandas as pd
@@ -16,7 +14,8 @@ from pyspark.sql import Window as W
 
 from routegraph.functions.ast import variables, walk
 from routegraph.operators import graph
-from routegraph.schema import DOCUMENT_RULES, OPERATORS, UNKNOWN
+from routegraph.operators.document_rules import path_json, schema_breaks
+from routegraph.schema import OPERATORS, UNKNOWN
 from routegraph.sources.documents import Corpus
 from routegraph.store import land
 
@@ -160,81 +159,12 @@ def fallthrough_issues(corpus: Corpus) -> DataFrame:
 
 # ---- document rules ------------------------------------------------------------------------------------------------
 
-_TYPES = {
-    "object": lambda x: isinstance(x, dict), "array": lambda x: isinstance(x, list), "string": lambda x: isinstance(x, str), "boolean": lambda x: isinstance(x, bool),
-    "null": lambda x: x is None, "number": lambda x: isinstance(x, int | float) and not isinstance(x, bool),
-    "integer": lambda x: (isinstance(x, int) and not isinstance(x, bool)) or (isinstance(x, float) and x.is_integer()),
-}
-_TIME = re.compile(r"\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)")
-
-
-def _is_time(text: str) -> bool:
-    try:
-        return bool(_TIME.fullmatch(text)) and datetime.fromisoformat(text.upper().replace("Z", "+00:00")) is not None
-    except ValueError:
-        return False
-
-
-_KEYWORDS = {
-    "pattern": (str, lambda x, v: re.search(v, x) is not None, "{x!r} does not match {v!r}"),
-    "format": (str, lambda x, v: _is_time(x), "{x!r} is not a {v!r}"),
-    "enum": (object, lambda x, v: x in v, "{x!r} is not one of {v!r}"),
-    "const": (object, lambda x, v: x == v, "{v!r} was expected"),
-    "minimum": ((int, float), lambda x, v: isinstance(x, bool) or x >= v, "{x!r} is less than the minimum of {v!r}"),
-}
-
-
-def rule_breaks(value: Any, rule: Any = None, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
-    """(path, message) of everything in a document that breaks ``schema.DOCUMENT_RULES``."""
-    rule = {"Document"} if rule is None else rule
-    if rule == "condition":
-        if not (value is None or (isinstance(value, list) and value and not any(isinstance(x, dict) for x in value))):
-            yield path, f"{value!r} is not valid under any of the given schemas"
-        return
-    keywords = {}
-    if isinstance(rule, tuple):
-        rule, keywords = rule
-    kind = rule if isinstance(rule, str) else "array" if isinstance(rule, list) else "object"
-    if not _TYPES[kind](value):
-        yield path, f"{value!r} is not of type {kind!r}"
-    for word, limit in keywords.items():
-        applies, holds, says = _KEYWORDS[word]
-        if isinstance(value, applies) and not holds(value, limit):
-            yield path, says.format(x=value, v=limit)
-    if isinstance(rule, list) and isinstance(value, list):
-        inner = {rule[0]} if rule[0] in DOCUMENT_RULES else rule[0]
-        for i, x in enumerate(value):
-            yield from rule_breaks(x, inner, (*path, i))
-    elif isinstance(rule, dict) and isinstance(value, dict):
-        for k, x in value.items():
-            yield from rule_breaks(x, {rule["*"]}, (*path, k))
-    elif isinstance(rule, set) and isinstance(value, dict):
-        required, known = DOCUMENT_RULES[next(iter(rule))]
-        for k in required:
-            if k not in value:
-                yield path, f"{k!r} is a required property"
-        for k, inner in known.items():
-            if k in value:
-                yield from rule_breaks(value[k], inner, (*path, k))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])))
-def document_breaks(docs: pd.Series) -> pd.Series:
-    def check(text: str) -> list:
-        try:
-            found = list(rule_breaks(json.loads(text)))
-        except ValueError:
-            return []
-        # paths mix keys and positions; positions sort as numbers among themselves
-        found.sort(key=lambda e: [(isinstance(p, str), p) for p in e[0]])
-        return [(json.dumps(list(p)), m) for p, m in found]
-
-    return docs.map(check)
-
-
-def schema_issues(corpus: Corpus) -> DataFrame:
-    rows = corpus.documents.select("survey_key", F.posexplode(document_breaks("doc")).alias("at", "b"))
-    return _issues(rows, "schema_invalid", F.col("b.message"), 0, F.col("at"), evidence=F.concat(F.lit('{"path":'), F.col("b.path"), F.lit("}")))
+
+def schema_issues(corpus: Corpus, schema: dict | bool | str | None = None) -> DataFrame:
+    """What breaks the built-in document rules, or a draft-07 schema or schema file of one's own; by path, then in the schema's order."""
+    found = schema_breaks(corpus.documents, schema)
+    place = F.row_number().over(W.partitionBy("survey_key").orderBy("path", "rule_no", "item_no", "message"))
+    return _issues(found.withColumn("_at", place), "schema_invalid", F.col("message"), 0, F.col("_at"), evidence=F.concat(F.lit('{"path":'), path_json("path"), F.lit("}")))
 
 
 # ---- all -----------------------------------------------------------------------------------------------------------
@@ -248,11 +178,11 @@ CHECKS = {
 }
 
 
-def unnumbered(corpus: Corpus, with_schema: bool = True, without: Collection[str] = ()) -> DataFrame:
+def unnumbered(corpus: Corpus, with_schema: bool = True, without: Collection[str] = (), schema: dict | bool | str | None = None) -> DataFrame:
     """Issues of all CHECKS but those named in ``without``, which are not run at all."""
     corpus = corpus.landed(land)
     reached = land(graph.reachable(corpus), "reachable") if {"reachability", "dead_ends"} - set(without) else None
-    parts = [schema_issues(corpus)] if with_schema and corpus.documents is not None else []
+    parts = [schema_issues(corpus, schema)] if with_schema and corpus.documents is not None else []
     parts += [check(corpus, reached) for name, check in CHECKS.items() if name not in without]
     every = parts[0]
     for part in parts[1:]:
@@ -260,10 +190,11 @@ def unnumbered(corpus: Corpus, with_schema: bool = True, without: Collection[str
     return every
 
 
-def validate(corpus: Corpus, with_schema: bool = True) -> DataFrame:
-    """All issues of all surveys: survey_key, issue_no, id, severity, type, node_id, edge_id, message, evidence (JSON), recommendation_ids, status."""
+def validate(corpus: Corpus, with_schema: bool = True, schema: dict | bool | str | None = None) -> DataFrame:
+    """All issues of all surveys: survey_key, issue_no, id, severity, type, node_id, edge_id, message, evidence (JSON), recommendation_ids, status.
+    ``schema`` is a draft-07 schema, or the path of one, to be used instead of the built-in document rules."""
     number = F.row_number().over(W.partitionBy("survey_key").orderBy(*ORDER, "type", "message"))
-    return unnumbered(corpus, with_schema).withColumn("issue_no", number).select(
+    return unnumbered(corpus, with_schema, schema=schema).withColumn("issue_no", number).select(
         "survey_key", "issue_no", F.format_string("ISSUE_%04d", F.col("issue_no")).alias("id"), F.lit("error").alias("severity"), "type", "node_id", "edge_id", "message", "evidence",
         F.array().cast("array<string>").alias("recommendation_ids"), F.lit("open").alias("status"),
     )

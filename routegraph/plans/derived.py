@@ -49,6 +49,21 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(surveys, questions, ends, ends.withColumnRenamed("ord", "pos"), blocks, inside, edges)
 
 
+def damaged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """``order_corpus`` with wrong entries, terminals, sources, conditions and edge ids, by rules over the survey's key and the edge's position."""
+    c = order_corpus(spark, sf_dir)
+    k, at = F.col("survey_key"), F.col("survey_key") + F.col("ord")
+    surveys = c.surveys.withColumn("entry_node", F.when(k % 11 == 0, F.lit(None)).when(k % 11 == 1, "NOPE").otherwise(F.col("entry_node")))
+    lost = c.surveys.where("survey_key % 7 = 0").select("survey_key", F.lit(1).alias("pos"), F.lit("LOST").alias("tid"))
+    edges = c.edges.withColumns(
+        {
+            "edge_id": F.when((k % 3 == 0) & (F.col("ord") == 0), "E_AUTO_0002").otherwise(F.col("edge_id")), "source": F.when(at % 13 == 0, "GONE").otherwise(F.col("source")),
+            "condition": F.when(at % 10 == 3, '["NOT",["UNPARSED","see above"]]').when(at % 10 == 4, '["AND",["TRUE"],["~","Q1",1]]').otherwise(F.col("condition")),
+        }
+    )
+    return Corpus(surveys, c.questions, c.terminals, c.dag_terminals.unionByName(lost), c.blocks, c.block_questions, edges)
+
+
 #: The same tables in SQL. next to them: edge ranks, and what can be walked.
 CORPUS_SQL = """
 edge AS (
@@ -121,6 +136,61 @@ def order_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("survey_key"), F.col("o_custkey").alias("respondent"), F.to_json(F.struct(*[answer(i) for i in range(1, 8)])).alias("answers"))
 
 
+#: A schema of its own for ``order_documents``: of every keyword that tells documents apart there, one.
+ORDER_SCHEMA = {
+    "type": "object", "required": ["id", "status", "lines"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": ["string", "integer"], "pattern": "^[a-z0-9_]+$"}, "status": {"enum": ["F", "O"]}, "total": {"type": "number", "exclusiveMinimum": 0, "maximum": 400000},
+        "placed": {"type": "string", "format": "date-time"}, "lines": {"type": "array", "minItems": 1, "maxItems": 4, "items": {"$ref": "#/definitions/line"}},
+        "note": {"oneOf": [{"type": "null"}, {"type": "string", "minLength": 4}, {"$ref": "#/definitions/line"}]},
+    },
+    "definitions": {"line": {"type": "object", "required": ["n", "kind"], "properties": {"n": {"type": "integer", "minimum": 1}, "kind": {"const": "line"}}}},
+}
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(survey_key, doc): each order as a JSON document, damaged by rules over its key that SQL can repeat."""
+    k = F.col("o_orderkey")
+    text = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
+    line = lambda j: F.concat(
+        F.lit('{"kind":'), F.when((k + j) % 6 == 0, F.lit('"bad"')).otherwise('"line"'),
+        F.when((k + j) % 9 == 0, F.lit("")).when((k + j) % 7 == 0, F.lit(',"n":0')).when((k + j) % 8 == 0, F.lit(',"n":1.5')).otherwise(F.concat(F.lit(',"n":'), (j + 1).cast("string"))), F.lit("}"),
+    )
+    lines = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.when(j < k % 6, line(j))), lambda x: x.isNotNull()), ",")
+    note = F.when(k % 10 == 3, "5").when(k % 10 == 4, '"abc"').when(k % 10 == 5, '"long enough"').when(k % 10 == 6, '{"kind":"line","n":1}').when(k % 10 == 7, '{"kind":"line"}').otherwise("null")
+    parts = F.array_compact(
+        F.array(
+            F.concat(F.lit('"id":'), F.when(k % 7 == 1, text(F.concat(F.lit("Order "), k))).when(k % 4 == 0, k.cast("string")).when(k % 11 == 2, "true").otherwise(text(F.concat(F.lit("order_"), k)))),
+            F.when(k % 19 != 0, F.concat(F.lit('"status":'), text(F.col("o_orderstatus")))), F.concat(F.lit('"total":'), F.when(k % 5 == 0, '"much"').when(k % 23 == 0, "0").otherwise(F.format_string("%d", F.floor("o_totalprice")))),
+            F.concat(F.lit('"placed":'), F.when(k % 13 == 0, '"yesterday"').otherwise('"2026-02-03T04:05:06Z"')), F.concat(F.lit('"lines":['), lines, F.lit("]")), F.concat(F.lit('"note":'), note), F.when(k % 17 == 0, '"junk":1'),
+        )
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("survey_key"), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("doc"))
+
+
+#: What these documents break, by the rules that damage them.
+DOCUMENT_BREAKS_SQL = """
+line AS (
+  SELECT o_orderkey AS k, j FROM orders, (SELECT unnest(generate_series(0, 4)) AS j) WHERE j < o_orderkey % 6
+), found AS (
+  SELECT o_orderkey AS survey_key, '["id"]' AS path, 'pattern' AS keyword FROM orders WHERE o_orderkey % 7 = 1
+  UNION ALL SELECT o_orderkey, '["id"]', 'type' FROM orders WHERE o_orderkey % 7 <> 1 AND o_orderkey % 4 <> 0 AND o_orderkey % 11 = 2
+  UNION ALL SELECT o_orderkey, '[]', 'required' FROM orders WHERE o_orderkey % 19 = 0
+  UNION ALL SELECT o_orderkey, '["status"]', 'enum' FROM orders WHERE o_orderkey % 19 <> 0 AND o_orderstatus NOT IN ('F', 'O')
+  UNION ALL SELECT o_orderkey, '["total"]', 'type' FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, '["total"]', 'exclusiveMinimum' FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 23 = 0 OR floor(o_totalprice) <= 0)
+  UNION ALL SELECT o_orderkey, '["total"]', 'maximum' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 23 <> 0 AND floor(o_totalprice) > 400000
+  UNION ALL SELECT o_orderkey, '["placed"]', 'format' FROM orders WHERE o_orderkey % 13 = 0
+  UNION ALL SELECT o_orderkey, '["lines"]', 'minItems' FROM orders WHERE o_orderkey % 6 = 0
+  UNION ALL SELECT o_orderkey, '["lines"]', 'maxItems' FROM orders WHERE o_orderkey % 6 = 5
+  UNION ALL SELECT k, '["lines",' || j || ',"kind"]', 'const' FROM line WHERE (k + j) % 6 = 0
+  UNION ALL SELECT k, '["lines",' || j || ']', 'required' FROM line WHERE (k + j) % 9 = 0
+  UNION ALL SELECT k, '["lines",' || j || ',"n"]', 'minimum' FROM line WHERE (k + j) % 9 <> 0 AND (k + j) % 7 = 0
+  UNION ALL SELECT k, '["lines",' || j || ',"n"]', 'type' FROM line WHERE (k + j) % 9 <> 0 AND (k + j) % 7 <> 0 AND (k + j) % 8 = 0
+  UNION ALL SELECT o_orderkey, '["note"]', 'oneOf' FROM orders WHERE o_orderkey % 10 IN (3, 4, 7)
+  UNION ALL SELECT o_orderkey, '[]', 'additionalProperties' FROM orders WHERE o_orderkey % 17 = 0
+)"""
+
 #: The routes of these respondents, after CORPUS_SQL.
 ORDER_ROUTES_SQL = """
 answer AS (

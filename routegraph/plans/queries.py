@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.conditions import status
-from routegraph.operators import convert, coverage, graph, healing, patching, routes, validation
+from routegraph.operators import convert, coverage, document_rules, graph, healing, patching, routes, validation
 from routegraph.plans.derived import (
-    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, ORDER_ROUTES_SQL, PATHS_SQL, customer_answers, customer_corpus, customer_json, lookup,
-    order_corpus, order_respondents, table,
+    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, DOCUMENT_BREAKS_SQL, ORDER_ROUTES_SQL, ORDER_SCHEMA, PATHS_SQL, customer_answers, customer_corpus, customer_json, damaged_corpus,
+    lookup, order_corpus, order_documents, order_respondents, table,
 )
 from routegraph.schema import DOCUMENT_RULES, LOWER_ID
 from routegraph.store import land
@@ -484,3 +484,92 @@ def schema_rules(spark: SparkSession, d: str) -> DataFrame:
     """Three document rules as columns: an id's pattern, an order's minimum, a type's vocabulary."""
     kinds = DOCUMENT_RULES["Question"][1]["type"][1]["enum"]
     return table(spark, d, "part").select("p_partkey", F.col("p_brand").rlike(LOWER_ID).alias("id_ok"), (F.col("p_size") >= 1).alias("order_ok"), F.col("p_type").isin(kinds).alias("type_ok"))
+
+
+@query("SELECT survey_key, path, keyword FROM found", DOCUMENT_BREAKS_SQL)
+def schema_file(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a document, damaged by its key, against a draft-07 schema that is compiled to tables of rules."""
+    found = document_rules.schema_breaks(order_documents(spark, d), ORDER_SCHEMA)
+    return found.select("survey_key", document_rules.path_json("path").alias("path"), "keyword")
+
+
+# ---- damaged surveys -------------------------------------------------------------------------------------------
+
+_NAMED = "CASE WHEN survey_key % 3 = 0 AND ord = 0 THEN 'E_AUTO_0002' ELSE edge_id END"
+
+
+def _said(issues: DataFrame) -> DataFrame:
+    return issues.select("survey_key", "type", "node_id", "edge_id", "message")
+
+
+@query(
+    """SELECT survey_key, 'missing_entry_node' AS type, CASE WHEN survey_key % 11 = 1 THEN 'NOPE' END AS node_id, CAST(NULL AS VARCHAR) AS edge_id,
+      CASE WHEN survey_key % 11 = 1 THEN 'Entry node NOPE does not exist.' ELSE 'DAG has no entry_node.' END AS message FROM survey WHERE survey_key % 11 < 2""",
+    CORPUS_SQL,
+)
+def missing_entry_node(spark: SparkSession, d: str) -> DataFrame:
+    return _said(validation.missing_entries(damaged_corpus(spark, d)))
+
+
+@query(
+    """SELECT survey_key, 'missing_terminal_node' AS type, 'LOST' AS node_id, CAST(NULL AS VARCHAR) AS edge_id, 'Terminal node LOST is listed in dag.terminal_nodes but is not defined.' AS message
+    FROM survey WHERE survey_key % 7 = 0""",
+    CORPUS_SQL,
+)
+def missing_terminal_node(spark: SparkSession, d: str) -> DataFrame:
+    return _said(validation.missing_terminals(damaged_corpus(spark, d)))
+
+
+@query(
+    f"SELECT survey_key, 'missing_edge_source' AS type, 'GONE' AS node_id, {_NAMED} AS edge_id, 'Edge ' || {_NAMED} || ' source GONE does not exist.' AS message FROM edge WHERE (survey_key + ord) % 13 = 0",
+    CORPUS_SQL,
+)
+def missing_edge_source(spark: SparkSession, d: str) -> DataFrame:
+    return _said(validation.missing_ends(damaged_corpus(spark, d), "source"))
+
+
+@query(
+    f"""SELECT survey_key, 'unparsed_condition' AS type, CAST(NULL AS VARCHAR) AS node_id, {_NAMED} AS edge_id, 'Edge ' || {_NAMED} || ' has an unparsed condition.' AS message FROM edge WHERE (survey_key + ord) % 10 = 3
+    UNION ALL SELECT survey_key, 'unknown_condition_operator', NULL, {_NAMED}, 'Edge ' || {_NAMED} || ' uses unknown condition operator ~.' FROM edge WHERE (survey_key + ord) % 10 = 4""",
+    CORPUS_SQL,
+)
+def condition_operators(spark: SparkSession, d: str) -> DataFrame:
+    return _said(validation.condition_issues(damaged_corpus(spark, d)).where("type <> 'missing_condition_variable'"))
+
+
+@query(
+    f"""SELECT survey_key, edge_id, source, target, priority, type FROM (
+      SELECT survey_key, {_NAMED} AS edge_id, CASE WHEN (survey_key + ord) % 13 = 0 THEN 'GONE' ELSE source END AS source, target, priority, type FROM edge
+      UNION ALL
+      SELECT survey_key, 'E_AUTO_' || lpad(CAST(CASE WHEN i = 2 AND survey_key % 3 = 0 THEN 3 ELSE i END AS VARCHAR), 4, '0'), source, target, CAST(999 AS BIGINT), 'fallthrough' FROM advised
+      WHERE survey_key % 2 = 0 AND NOT (survey_key % 3 = 0 AND i = 3))""",
+    CORPUS_SQL,
+    """hurt AS (
+      SELECT survey_key, CASE WHEN (survey_key + ord) % 13 = 0 THEN 'GONE' ELSE source END AS source, type, type = 'fallthrough' AND (survey_key + ord) % 10 NOT IN (3, 4) AS falls FROM edge
+    ), bare AS (
+      SELECT survey_key, source FROM hurt GROUP BY 1, 2 HAVING bool_or(type = 'branch') AND NOT bool_or(falls)
+    ), advised AS (
+      SELECT b.survey_key, b.source, coalesce(n.next_qid, 'END') AS target, row_number() OVER (PARTITION BY b.survey_key ORDER BY b.source) AS i
+      FROM bare b LEFT JOIN (SELECT survey_key, qid, lead(qid) OVER (PARTITION BY survey_key ORDER BY ord) AS next_qid FROM placed) n ON n.survey_key = b.survey_key AND n.qid = b.source
+    )""",
+)
+def apply_added_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Fallthrough edges advised for every survey, added where the key is even. Where an id is taken, two of them come to the same free one, and
+    the second is not added."""
+    c = damaged_corpus(spark, d).landed(land)
+    issues = validation.fallthrough_issues(c).withColumn("issue_no", F.row_number().over(W.partitionBy("survey_key").orderBy("o3")))
+    recommendations = land(healing.recommend(c, issues.withColumn("id", F.format_string("ISSUE_%04d", F.col("issue_no")))), "recommendations")
+    decision = F.when(F.col("survey_key") % 2 == 0, "approved").otherwise("rejected")
+    decisions = recommendations.select("survey_key", F.col("rec_no").alias("pos"), F.col("id").alias("recommendation_id"), decision.alias("decision"), F.lit("reviewer").alias("approver"), F.lit("as advised").alias("rationale"))
+    return patching.apply_patches(c, recommendations, land(decisions, "decisions"))[0].edges.select("survey_key", "edge_id", "source", "target", "priority", "type")
+
+
+@query(
+    """SELECT survey_key, count(*) AS paths, CAST(min(len(edge_ids)) AS INTEGER) AS shortest, CAST(max(len(edge_ids)) AS INTEGER) AS longest FROM found
+    GROUP BY 1 HAVING NOT bool_or(len(path) <> len(list_distinct(path)))""",
+    CORPUS_SQL, PATHS_SQL,
+)
+def path_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many ways lead through each order's survey and how many edges they take, by sums over hops; surveys in which a cycle can be
+    entered are left out."""
+    return graph.path_counts(_corpus(spark, d)).where("paths is not null").withColumn("paths", F.col("paths").cast("long"))

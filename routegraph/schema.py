@@ -35,7 +35,7 @@ DOCUMENT_RULES = {
     "Survey": (
         ["id", "title", "version", "metadata", "blocks", "questions", "terminal_nodes", "dag"],
         {
-            "id": ("string", {"pattern": LOWER_ID}), "version": "string", "metadata": {"Metadata"}, "blocks": {"*": "Block"},
+            "id": ("string", {"pattern": LOWER_ID}), "title": "string", "version": "string", "metadata": {"Metadata"}, "blocks": {"*": "Block"},
             "questions": {"*": "Question"}, "terminal_nodes": {"*": "TerminalNode"}, "dag": {"DAG"},
         },
     ),
@@ -46,7 +46,7 @@ DOCUMENT_RULES = {
             "total_questions": COUNT, "total_blocks": COUNT, "estimated_duration_minutes": COUNT,
         },
     ),
-    "Block": (["id", "title", "order", "questions"], {"id": ("string", {"pattern": LOWER_ID}), "order": COUNT, "questions": ["string"]}),
+    "Block": (["id", "title", "order", "questions"], {"id": ("string", {"pattern": LOWER_ID}), "title": "string", "order": COUNT, "questions": ["string"], "description": "string"}),
     "Question": (
         ["id", "type", "text"],
         {
