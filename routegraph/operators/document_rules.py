@@ -293,7 +293,7 @@ def _settled(breaks: DataFrame, instances: DataFrame) -> DataFrame:
     instances = land(instances, "choices")
     deepest = instances.agg(F.max(F.size("scopes"))).first()[0]  # no deeper than the documents
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        last = F.element_at("scopes", -1)
+        last = F.try_element_at("scopes", F.lit(-1))
         inside = breaks.where(F.size("scopes") == depth + 1).select("survey_key", F.slice("path", F.lit(1), last["depth"]).alias("path"), F.slice("scopes", F.lit(1), F.lit(depth)).alias("scopes"), last["choice"].alias("choice"), last["branch"].alias("branch"))
         failed = inside.distinct().groupBy("survey_key", "path", "scopes", "choice").agg(F.count("*").alias("failed"))
         here = instances.where(F.size("scopes") == depth).join(failed, ["survey_key", "path", "scopes", "choice"], "left")
