@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     every["apply"].add_argument("decisions_path", type=Path)
     every["apply"].add_argument("--output", type=Path, required=True)
     every["test"].add_argument("--coverage", choices=["node", "edge"], default="edge")
+    every["test"].add_argument("--minimal", action="store_true", help="the fewest tests that take every edge")
     every["test"].add_argument("--output", type=Path)
     every["convert"].add_argument("output_path", type=Path)
     return top
@@ -99,7 +100,7 @@ def run_apply(spark: SparkSession, args: argparse.Namespace) -> tuple[dict, int]
 
 def run_test(spark: SparkSession, args: argparse.Namespace) -> tuple[dict, int]:
     corpus = corpus_of(spark, args.survey_path.read_text("utf-8"))
-    tests, unverified, summary = coverage(corpus, args.coverage)
+    tests, unverified, summary = coverage(corpus, args.coverage, minimal=args.minimal)
     s = summary.first()
     plain = [{"id": r["id"], "responses": json.loads(r["responses"]), "expected_path": r["expected_path"], "covered_edges": r["covered_edges"]} for r in tests.orderBy("id").collect()]
     bad = [{k: v for k, v in r.asDict().items() if k not in ("survey_key", "path_ix") and v is not None} for r in unverified.orderBy("path_ix").collect()]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.ast import ConditionError, evaluate
+from routegraph.operators.covers import minimal_cover
 from routegraph.operators.graph import Steps, first_fit_paths, framed, packed_steps, truncated_surveys
 from routegraph.operators.routes import ordered_edges
 from routegraph.sources.documents import Corpus
@@ -193,8 +194,23 @@ def verified_paths(corpus: Corpus, max_paths: int | None = None) -> DataFrame:
 
 def verified_first_fit(corpus: Corpus, target: str) -> DataFrame:
     """As ``verified_paths``, for the first path of each node or edge alone: polynomial, where listing all paths is exponential."""
-    first = land(first_fit_paths(corpus, universe(corpus, target), target == "node"), "first-fit")
-    each = first.groupBy("survey_key").agg(F.array_sort(F.collect_list(F.struct("path_ix", "path", "edge_ids"))).alias("paths"))
+    return verified_given(corpus, first_fit_paths(corpus, universe(corpus, target), target == "node"))
+
+
+def verified_minimal(corpus: Corpus) -> DataFrame:
+    """As ``verified_paths``, for the walks of a minimal cover and, after them, the first path of each edge, to take the place of walks that no
+    answers lead along. A first path that is a walk of the cover comes once."""
+    walks = minimal_cover(corpus)
+    first = first_fit_paths(corpus, universe(corpus, "edge"), False)
+    both = walks.withColumn("part", F.lit(0)).unionByName(first.withColumn("part", F.lit(1)))
+    once = both.groupBy("survey_key", "path", "edge_ids").agg(F.min(F.struct("part", "path_ix")).alias("at"))
+    place = F.row_number().over(W.partitionBy("survey_key").orderBy("at")) - 1
+    return verified_given(corpus, once.select("survey_key", place.alias("path_ix"), "path", "edge_ids"))
+
+
+def verified_given(corpus: Corpus, paths: DataFrame) -> DataFrame:
+    """As ``verified_paths``, for given paths (survey_key, path_ix, path, edge_ids)."""
+    each = land(paths, "given-paths").groupBy("survey_key").agg(F.array_sort(F.collect_list(F.struct("path_ix", "path", "edge_ids"))).alias("paths"))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for frame in batches for r in frame.itertuples(index=False))
@@ -232,21 +248,30 @@ def percent(covered: str, of: str):
     return F.when(F.col(of) == 0, 100).otherwise(F.bround(F.col(covered) / F.col(of) * 100).cast("int"))
 
 
-def coverage(corpus: Corpus, target: str = "edge", max_paths: int | None = None, first_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def coverage(corpus: Corpus, target: str = "edge", max_paths: int | None = None, first_only: bool = False, minimal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tests (survey_key, id, responses, expected_path, covered_edges), unverified paths, and a summary for each survey.
 
     All simple paths are candidates, whose number can be exponential. With ``max_paths`` the first so many of a survey are, and the
     summary tells by ``truncated`` where there are more. With ``first_only`` the first path of each item is, so that
-    the work is polynomial; an item whose first path no answers lead along stays uncovered then."""
+    the work is polynomial; an item whose first path no answers lead along stays uncovered then. With ``minimal`` (edges only) the fewest walks that
+    take every edge come first and first paths fill in for those that answers cannot lead along: as few tests as there can be where all walks verify
+    and edge ids are unique. Of the paths without answers, only those with an edge that is left uncovered are given as unverified then."""
+    if minimal and target != "edge":
+        raise ValueError("A minimal cover is one of edges: the coverage target must be edge")
     corpus = corpus.landed(land)
     items = universe(corpus, target)
-    found = land(verified_first_fit(corpus, target) if first_only else verified_paths(corpus, max_paths), "paths")
+    candidates = verified_minimal(corpus) if minimal else verified_first_fit(corpus, target) if first_only else verified_paths(corpus, max_paths)
+    found = land(candidates, "paths")
     chosen = chosen_tests(found.where("reason is null"), items, "path" if target == "node" else "edge_ids")
     number = F.row_number().over(W.partitionBy("survey_key").orderBy("path_ix"))
     tests = land(chosen.select("survey_key", F.format_string("TEST_%04d", number).alias("id"), "responses", F.col("path").alias("expected_path"), F.col("edge_ids").alias("covered_edges")), "tests")
     unverified = found.where("reason is not null").drop("responses")
+    if minimal:
+        met = tests.groupBy("survey_key").agg(F.array_distinct(F.flatten(F.collect_list("covered_edges"))).alias("met"))
+        open_ = F.col("met").isNull() | (F.size(F.array_except("edge_ids", "met")) > 0)
+        unverified = unverified.join(met, "survey_key", "left").where(open_).drop("met")
     summary = coverage_summary(corpus, target, tests, unverified)
-    if max_paths is not None and not first_only:
+    if max_paths is not None and not (first_only or minimal):
         summary = summary.join(truncated_surveys(corpus, max_paths).withColumn("truncated", F.lit(True)), "survey_key", "left").na.fill(False, ["truncated"])
     return tests, unverified, summary
 

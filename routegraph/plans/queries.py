@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.conditions import status
-from routegraph.operators import convert, coverage, document_rules, graph, healing, patching, routes, validation
+from routegraph.operators import convert, coverage, covers, document_rules, graph, healing, patching, routes, validation
 from routegraph.plans.derived import (
     CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, DOCUMENT_BREAKS_SQL, ORDER_ROUTES_SQL, ORDER_SCHEMA, PATHS_SQL, customer_answers, customer_corpus, customer_json, damaged_corpus,
     lookup, order_corpus, order_documents, order_respondents, table,
@@ -573,3 +573,34 @@ def path_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many ways lead through each order's survey and how many edges they take, by sums over hops; surveys in which a cycle can be
     entered are left out."""
     return graph.path_counts(_corpus(spark, d)).where("paths is not null").withColumn("paths", F.col("paths").cast("long"))
+
+
+@query(
+    "SELECT l.survey_key, l.edges, coalesce(a.tests, 1) AS tests, l.edges AS taken FROM (SELECT survey_key, count(*) AS edges FROM live GROUP BY 1) l JOIN (SELECT survey_key, max(size) AS tests FROM apart GROUP BY 1) a USING (survey_key)",
+    CORPUS_SQL,
+    """live AS (
+      SELECT e.survey_key, e.ord, e.source, e.target, CAST(1 AS BIGINT) << e.ord AS bit FROM edge e JOIN reached r ON r.survey_key = e.survey_key AND r.node = e.source
+    ), onward AS (
+      SELECT survey_key, target AS a, target AS b FROM live UNION SELECT p.survey_key, p.a, l.target FROM onward p JOIN live l ON l.survey_key = p.survey_key AND l.source = p.b
+    ), later AS (
+      SELECT DISTINCT x.survey_key, x.ord AS i, y.ord AS j FROM live x JOIN onward p ON p.survey_key = x.survey_key AND p.a = x.target JOIN live y ON y.survey_key = x.survey_key AND y.source = p.b
+    ), along AS (
+      SELECT survey_key, i, bit_or(CAST(1 AS BIGINT) << j) AS mask FROM (SELECT survey_key, i, j FROM later UNION ALL SELECT survey_key, j, i FROM later) GROUP BY 1, 2
+    ), masked AS (
+      SELECT l.survey_key, l.ord, l.bit, coalesce(a.mask, 0) AS mask FROM live l LEFT JOIN along a ON a.survey_key = l.survey_key AND a.i = l.ord
+    ), apart AS (
+      SELECT survey_key, ord, CAST(1 AS BIGINT) AS size, mask FROM masked
+      UNION ALL SELECT a.survey_key, m.ord, a.size + 1, a.mask | m.mask FROM apart a JOIN masked m ON m.survey_key = a.survey_key AND m.ord > a.ord AND a.mask & m.bit = 0
+    )""",
+)
+def minimal_cover(spark: SparkSession, d: str) -> DataFrame:
+    """How few walks take every edge of each order's survey, and how many edges they take. The SQL looks for the largest set of edges of which no
+    walk takes two, whose size is the same by Dilworth's theorem."""
+    walks = covers.minimal_cover(_corpus(spark, d)).groupBy("survey_key").agg(F.count("*").alias("tests"), F.size(F.array_distinct(F.flatten(F.collect_list("edge_ids")))).cast("long").alias("taken"))
+    live = _live_edges(spark, d).groupBy("survey_key").agg(F.count("*").alias("edges"))
+    return live.join(walks, "survey_key").select("survey_key", "edges", "tests", "taken")
+
+
+def _live_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return c.edges.join(graph.reachable(c).withColumnRenamed("node", "source"), ["survey_key", "source"], "left_semi")
