@@ -64,6 +64,41 @@ def damaged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(surveys, c.questions, c.terminals, c.dag_terminals.unionByName(lost), c.blocks, c.block_questions, edges)
 
 
+def ranged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """``order_corpus`` with all edges at two questions, so that many compete, and conditions on ranges and sets of the answers to A and B, by rules over a line."""
+    c = order_corpus(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    a, b = (F.col("l_quantity").cast("int") % 5).cast("string"), (F.col("l_suppkey") % 5).cast("string")
+    shapes = [
+        '["<","A",%1$s]', '[">=","A",%2$s]', '["AND",[">","A",%1$s],["<","A",%2$s]]', '["OR",["=","A",%1$s],["=","B",%2$s]]', '["NOT",["in","A",[%1$s,%2$s]]]',
+        '["AND",["=","B",%1$s],["NOT",["=","B",%2$s]]]', '["!=","B",%1$s]',
+    ]
+    shape = F.col("l_partkey") % 8
+    condition = F.coalesce(*[F.when(shape == i, F.format_string(text, a, b)) for i, text in enumerate(shapes)])
+    edges = lines.withColumn("ord", F.row_number().over(order) - 1).select(
+        F.col("l_orderkey").alias("survey_key"), "ord", F.format_string("E%03d", F.col("ord") + 1).alias("edge_id"), F.when(F.col("l_linenumber") < 6, "Q1").otherwise("Q2").alias("source"), F.lit("END").alias("target"),
+        condition.alias("condition"), F.lit("").alias("condition_text"), (1 + F.col("l_partkey") % 3).cast("long").alias("priority"), F.when(condition.isNull(), "fallthrough").otherwise("branch").alias("type"),
+    )
+    return Corpus(c.surveys, c.questions, c.terminals, c.dag_terminals, c.blocks, c.block_questions, edges)
+
+
+#: Which edges of the ranged corpus hold, for no answer and answers at, between and beyond the literals, and which is the first to.
+RANGED_SQL = """line AS (
+  SELECT survey_key, edge_id, source, a, b, shape, row_number() OVER (PARTITION BY survey_key, source ORDER BY priority, edge_id) AS rank FROM (
+    SELECT l_orderkey AS survey_key, CASE WHEN l_linenumber < 6 THEN 'Q1' ELSE 'Q2' END AS source, CAST(trunc(l_quantity) AS INT) % 5 AS a, l_suppkey % 5 AS b, l_partkey % 8 AS shape, 1 + l_partkey % 3 AS priority,
+      'E' || lpad(CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS VARCHAR), 3, '0') AS edge_id
+    FROM lineitem)
+), given AS (
+  SELECT x.v AS p, y.v AS q FROM (SELECT unnest([NULL, -1, 0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 5]) AS v) x, (SELECT unnest([NULL, 0, 1, 2, 3, 4, 5]) AS v) y
+), held AS (
+  SELECT survey_key, source, rank, p, q FROM line, given WHERE coalesce(CASE shape WHEN 0 THEN p < a WHEN 1 THEN p >= b WHEN 2 THEN p > a AND p < b WHEN 3 THEN coalesce(p = a, false) OR coalesce(q = b, false)
+    WHEN 4 THEN NOT coalesce(p IN (a, b), false) WHEN 5 THEN q = a AND q <> b WHEN 6 THEN q IS DISTINCT FROM a ELSE true END, false)
+), taken AS (
+  SELECT DISTINCT survey_key, source, rank FROM (SELECT survey_key, source, p, q, min(rank) AS rank FROM held GROUP BY 1, 2, 3, 4)
+)"""
+
+
 #: The same tables in SQL. next to them: edge ranks, and what can be walked.
 CORPUS_SQL = """
 edge AS (

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.conditions import status
-from routegraph.operators import convert, coverage, covers, document_rules, graph, healing, patching, routes, validation
+from routegraph.operators import convert, coverage, covers, document_rules, graph, healing, impossible, patching, routes, validation
 from routegraph.plans.derived import (
-    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, DOCUMENT_BREAKS_SQL, ORDER_ROUTES_SQL, ORDER_SCHEMA, PATHS_SQL, customer_answers, customer_corpus, customer_json, damaged_corpus,
-    lookup, order_corpus, order_documents, order_respondents, table,
+    CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, DOCUMENT_BREAKS_SQL, ORDER_ROUTES_SQL, ORDER_SCHEMA, PATHS_SQL, RANGED_SQL, customer_answers, customer_corpus, customer_json, damaged_corpus,
+    lookup, order_corpus, order_documents, order_respondents, ranged_corpus, table,
 )
 from routegraph.schema import DOCUMENT_RULES, LOWER_ID
 from routegraph.store import land
@@ -604,3 +604,13 @@ def minimal_cover(spark: SparkSession, d: str) -> DataFrame:
 def _live_edges(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
     return c.edges.join(graph.reachable(c).withColumnRenamed("node", "source"), ["survey_key", "source"], "left_semi")
+
+
+@query(
+    """SELECT survey_key, source, edge_id, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.survey_key = l.survey_key AND h.source = l.source AND h.rank = l.rank) THEN 'shadowed' ELSE 'never' END AS verdict
+    FROM line l WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.survey_key = l.survey_key AND t.source = l.source AND t.rank = l.rank)""",
+    RANGED_SQL,
+)
+def impossible_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that no answers lead along, by domains; the SQL tries an answer of every kind."""
+    return impossible.impossible_edges(ranged_corpus(spark, d)).select("survey_key", "source", "edge_id", "verdict")
