@@ -13,7 +13,8 @@ from routegraph.plans.derived import (
     lookup, order_corpus, order_documents, order_respondents, ranged_corpus, table,
 )
 from routegraph.schema import DOCUMENT_RULES, LOWER_ID
-from routegraph.store import land
+from routegraph.store import fresh, land
+from routegraph.streaming.windows import WindowedCounts
 
 QUERIES, ORACLES = {}, {}
 
@@ -614,3 +615,37 @@ def _live_edges(spark: SparkSession, d: str) -> DataFrame:
 def impossible_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges that no answers lead along, by domains; the SQL tries an answer of every kind."""
     return impossible.impossible_edges(ranged_corpus(spark, d)).select("survey_key", "source", "edge_id", "verdict")
+
+
+# ---- streams and reports ---------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+    FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2"""
+)
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of files in no order of time, in windows of an hour every half hour; what came late is added again. The same as in batch."""
+    place = fresh(spark, "window-stream")
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows.repartition(4, "event_type").write.parquet(f"{place}/in")
+    w = WindowedCounts(f"{place}/out", "1 hour", "30 minutes", "6 hours", ("event_type",))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    w.start(stream, f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return w.corrected(spark).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query(
+    """SELECT type, CASE WHEN grouping(kind) = 1 THEN '*' ELSE kind END AS kind, CASE WHEN grouping(parity) = 1 THEN '*' ELSE parity END AS parity, count(*) AS issues, count(DISTINCT survey_key) AS surveys
+    FROM (SELECT coalesce(type, '?') AS type, survey_key, CASE WHEN node_id = 'END' THEN 'terminal' WHEN node_id IS NULL THEN 'edge' ELSE 'question' END AS kind, CASE WHEN survey_key % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM issue)
+    GROUP BY type, CUBE (kind, parity)""",
+    CORPUS_SQL, ISSUES_SQL,
+)
+def issue_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Issues by type, kind of place and half of the surveys, and by all that can be left out of the latter two."""
+    kind = F.when(F.col("node_id") == "END", "terminal").when(F.col("node_id").isNull(), "edge").otherwise("question")
+    issues = _unordered(spark, d).select("type", "survey_key", kind.alias("kind"), F.when(F.col("survey_key") % 2 == 0, "even").otherwise("odd").alias("parity"))
+    sets = [["type", "kind", "parity"], ["type", "kind"], ["type", "parity"], ["type"]]
+    out = issues.groupingSets(sets, "type", "kind", "parity").agg(F.count("*").alias("issues"), F.countDistinct("survey_key").alias("surveys"), F.grouping("kind").alias("k"), F.grouping("parity").alias("p"))
+    shown = [F.when(F.col(g) == 1, "*").otherwise(F.col(c)).alias(c) for c, g in (("kind", "k"), ("parity", "p"))]
+    return out.select("type", *shown, "issues", "surveys")

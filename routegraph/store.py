@@ -19,10 +19,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/graph-{spark.sparkContext.applicationId}"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; ``clean`` removes what is written there."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under spark.checkpoint.dir and read it back: what follows starts from files that survive lost executors."""
     spark = df.sparkSession
-    at = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = fresh(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
