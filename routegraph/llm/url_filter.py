@@ -2,7 +2,7 @@
 
 The trees are trained on labelled URLs: those that a rule has decided, all of them. Features are length, depth, digit
 ratio, entropy, parameter counts, hyphens and labels of the host, and statistics of the host's suffix: how common it
-is and how often labelled URLs under it are blocked. That rate is taken out of fold: a labelled URL sees only the labels of
+is and how often labelled URLs under it are blocked, and likewise under the path's first segment and under both. Rates are taken out of fold: a labelled URL sees only the labels of
 other folds, so the trees do not learn from their own answers. ``held_out_accuracy`` judges labelled URLs by trees of other folds.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is judged by the model on empty
@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, salted_join
 
 #: (verdict, host, path prefix), as the contract gives them.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -26,7 +26,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 FOLDS = 5
 #: Statistics of suffixes are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_SUFFIXES = 500_000
-FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "n_hyphens", "n_encoded", "has_fragment", "suffix_share", "suffix_block_rate")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "n_hyphens", "n_encoded", "has_fragment", "suffix_share", "suffix_block_rate", "lead_block_rate", "suffix_lead_block_rate")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,24 +72,34 @@ def lexical_features(pages: DataFrame) -> DataFrame:
             "n_encoded": F.length(url) - F.length(F.replace(url, F.lit("%"))),
             "has_fragment": F.instr(url, "#").cast("boolean").cast("int"),
             "suffix": F.element_at(F.split("host", r"\."), -1),
+            "lead": F.regexp_extract("path", "^/([^/]*)", 1),
         }
-    )
+    ).withColumn("suffix_lead", F.concat_ws("/", "suffix", "lead"))
 
 
-def with_suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Share of all URLs under the host's suffix, and the smoothed share of blocked among the labelled ones there that are in another
-    fold (all labelled ones, for a URL without a label)."""
-    folds = pages.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+def with_block_rates(pages: DataFrame, counted: DataFrame, key: str, total: int, labelled: int, blocked: int) -> DataFrame:
+    """``pages`` with ``{key}_share``, the share of all URLs that have its value of ``key``, and ``{key}_block_rate``, the smoothed share of blocked among the
+    labelled ones of these that are in another fold (all labelled ones, for a URL without a label). ``counted`` is a landed table of the same rows. Up to
+    BROADCAST_SUFFIXES values are broadcast; where there are more, values of many rows are salted."""
+    folds = counted.groupBy(key, "fold").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
     per = lambda c: F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: F.aggregate(F.filter("folds", lambda x: x["fold"] == f), F.lit(0).cast("long"), lambda a, x: a + x[c]))
-    by = folds.groupBy("suffix").agg(F.collect_list(F.struct("fold", "labelled", "blocked")).alias("folds"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    by = land(by.select("suffix", "n", "labelled", "blocked", per("labelled").alias("fold_labelled"), per("blocked").alias("fold_blocked")), "suffixes")
-    total, labelled, blocked, suffixes = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0)), F.count("*")).first()
+    by = folds.groupBy(key).agg(F.collect_list(F.struct("fold", "labelled", "blocked")).alias("folds"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    by = land(by.select(key, "n", "labelled", "blocked", per("labelled").alias("fold_labelled"), per("blocked").alias("fold_blocked")), "rates")
     rate = (blocked + 0.5) / (labelled + 1.0)
-    stats = by.select(F.col("suffix").alias("_suffix"), F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("labelled", "blocked", "fold_labelled", "fold_blocked")])
-    joined = pages.join(F.broadcast(stats) if suffixes <= BROADCAST_SUFFIXES else stats, F.col("suffix") == F.col("_suffix"))
+    stats = by.select(key, F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("labelled", "blocked", "fold_labelled", "fold_blocked")])
+    joined = pages.join(F.broadcast(stats), key) if by.count() <= BROADCAST_SUFFIXES else salted_join(pages, stats, key, "page_id", counted)
     of = lambda c: F.col(f"_{c}") - F.when(F.col("verdict").isNotNull(), F.element_at(f"_fold_{c}", F.col("fold") + 1)).otherwise(0)
-    shares = {"suffix_share": F.col("_n") / max(total, 1), "suffix_block_rate": (of("blocked") + 20 * rate) / (of("labelled") + 20.0)}
-    return joined.withColumns(shares).drop("_suffix", "_n", "_labelled", "_blocked", "_fold_labelled", "_fold_blocked")
+    shares = {f"{key}_share": F.col("_n") / max(total, 1), f"{key}_block_rate": (of("blocked") + 20 * rate) / (of("labelled") + 20.0)}
+    return joined.withColumns(shares).drop("_n", "_labelled", "_blocked", "_fold_labelled", "_fold_blocked")
+
+
+def with_suffix_statistics(pages: DataFrame) -> DataFrame:
+    """Landed ``pages`` with the share of the host's suffix, and rates of it, of the path's first segment and of both together."""
+    counted = pages
+    total, labelled, blocked = counted.agg(F.count("*"), F.count("verdict"), F.count_if(F.col("verdict") == "block")).first()
+    for key in ("suffix", "lead", "suffix_lead"):
+        pages = with_block_rates(pages, counted, key, total, labelled, blocked)
+    return pages.drop("lead_share", "suffix_lead_share")
 
 
 def featured(pages: DataFrame, rules: tuple = RULES) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from routegraph.llm import common
 from routegraph.llm import url_filter as u
 
 URLS = [
@@ -76,3 +77,34 @@ def test_held_out_urls_are_judged_as_their_rules_do(spark):
     rows = [(i, f"https://site{i}.com/{'de' if i % 3 else 'fr'}/{'9' * (12 if i % 3 else 1)}", "") for i in range(400)]
     right, most = u.held_out_accuracy(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert right > 0.95 > most
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_rates_of_the_first_segment_alone_and_with_the_suffix(spark, monkeypatch, bound):
+    monkeypatch.setattr(u, "BROADCAST_SUFFIXES", bound)
+    monkeypatch.setattr(common, "SALTED_ROWS", 20)
+    rows = [(i, f"https://s{i}.{('com', 'net')[i % 2]}/{('de', 'fr', 'xx')[i % 3]}/{i}", "") for i in range(120)] + [(300 + i, ("https://com", "nothing", None)[i % 3], "") for i in range(12)]
+    table = u.featured(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(table) == len(rows)
+    labelled = [r for r in table if r["verdict"]]
+    rate = (sum(r["verdict"] == "block" for r in labelled) + 0.5) / (len(labelled) + 1)
+    lead = lambda r: r["path"].split("/")[1] if r["path"].startswith("/") else ""
+    for name, key in (("lead_block_rate", lead), ("suffix_lead_block_rate", lambda r: (r["host"].split(".")[-1], lead(r)))):
+        for r in table:
+            others = [x for x in labelled if key(x) == key(r) and not (r["verdict"] and x["fold"] == r["fold"])]
+            assert abs(r[name] - (sum(x["verdict"] == "block" for x in others) + 20 * rate) / (len(others) + 20)) < 1e-12
+
+
+def test_better_than_the_commoner_verdict_where_the_path_decides(spark):
+    # what rules look at is the first segment; lengths and digits tell nothing
+    rows = [(i, f"https://site{i % 50:02d}.com/{'de' if i * 7919 % 3 else 'fr'}/page{i:04d}", "") for i in range(600)]
+    right, most = u.held_out_accuracy(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert right > 0.98 > 0.75 > most
+
+
+def test_registered_query(spark, pages, tmp_path):
+    from routegraph.llm.queries import QUERIES
+
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(URLS) + 1 and {r["verdict"] for r in rows} <= {"allow", "block"}
