@@ -5,9 +5,9 @@ contain (a blended spectrum of presences), normalised. Nystroem landmarks give a
 regression on it gives one decision function for each learned language. Documents are scored in batches: presence
 matrix times landmark matrix times coefficients.
 
-The classifier is fitted on a bounded sample of labelled rows: PER_LANGUAGE different texts of each of the MOST_LANGUAGES
-commonest languages, those with the least hashes; LANDMARKS of each language, or fewer if there are very many languages, are
-landmarks. Everything is predicted from whole texts alone.
+The classifier is fitted on a bounded sample of labelled rows: of every labelled language PER_LANGUAGE different texts, those with
+the least hashes, or fewer where there are so many languages that they would be more than ALL_SAMPLED, but one at least. LANDMARKS of
+each language, ALL_LANDMARKS at most, are landmarks. Everything is predicted from whole texts alone.
 
 Defined results: a null text, and a text without a letter, is ``und`` with score 0; with nothing to learn from, every
 text is ``und``; a row without an id is never learned from and is not held out; copies of a text are learned from once and
@@ -34,7 +34,8 @@ from pyspark.sql import Window as W
 from .common import fold, land
 
 UNDETERMINED = "und"
-PER_LANGUAGE, MOST_LANGUAGES = 250, 100
+#: Labelled texts of each language that are learned from, and of all languages together.
+PER_LANGUAGE, ALL_SAMPLED = 250, 25_000
 #: Landmarks of each language, and of all languages together.
 LANDMARKS, ALL_LANDMARKS = 32, 1024
 RIDGE = 1e-2
@@ -59,16 +60,16 @@ def letter_words(text: str | None) -> set[str]:
     return found if any(any(map(str.isalpha, w)) for w in found) else set()
 
 
-def sample_texts(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> DataFrame:
-    """(lang, draw, text): at most ``per_language`` different texts of each of the ``most`` commonest languages, those of the
-    least hashes. Copies meet in an aggregate that begins in each task, and a task passes on its ``per_language`` least
-    hashes of a language, so neither a common text nor a common language comes to one task."""
+def sample_texts(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = ALL_SAMPLED) -> DataFrame:
+    """(lang, draw, text): different texts of each language, those of the least hashes; ``per_language`` of each, or an equal share of
+    ``most`` where that is less, but one at least. Copies meet in an aggregate that begins in each task, and a task passes on its
+    least hashes of a language, so neither a common text nor a common language comes to one task."""
     rows = train.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("draw"))
     texts = land(rows.select("lang", "draw").distinct(), "labelled-texts")
-    common = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang")
-    least = texts.join(F.broadcast(common), "lang", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= per_language)
-    chosen = land(least.select("lang", "draw"), "sample")  # at most per_language * most rows
-    return rows.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    share = max(1, min(per_language, most // max(1, texts.select("lang").distinct().count())))
+    chosen = land(texts.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= share).select("lang", "draw"), "sample")
+    chosen = F.broadcast(chosen) if chosen.count() <= most else chosen
+    return rows.join(chosen, ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
 
 def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +78,8 @@ def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(grams, pa.list_(pa.int64()))], ["lang", "draw", "grams"])
 
 
-def training_sample(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> list[tuple[str, np.ndarray]]:
-    """(language, grams) of the texts of ``sample_texts``, at most ``per_language * most``, in the driver."""
+def training_sample(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = ALL_SAMPLED) -> list[tuple[str, np.ndarray]]:
+    """(language, grams) of the texts of ``sample_texts``, at most ``most`` or one of each language, in the driver."""
     drawn = sample_texts(train, per_language, most).mapInArrow(_sample_grams, "lang string, draw long, grams array<long>").toPandas().sort_values(["lang", "draw"])
     return [(lang, np.asarray(g, np.int64)) for lang, g in zip(drawn["lang"], drawn["grams"], strict=True) if len(g)]
 
@@ -92,6 +93,8 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     by = {lang: [i for i, (x, _) in enumerate(sample) if x == lang] for lang in languages}
     share = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     marks = [int(i) for lang in languages for i in rng.permutation(by[lang])[:share]]
+    if len(marks) > ALL_LANDMARKS:  # more languages than landmarks
+        marks = sorted(rng.permutation(marks)[:ALL_LANDMARKS].tolist())
     grams = np.unique(np.concatenate([sample[i][1] for i in marks]))
     column = {int(g): k for k, g in enumerate(grams)}
 
@@ -110,11 +113,13 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     root = vectors[:, good] / np.sqrt(values[good])
     z = np.concatenate([presence(list(range(i, min(i + 256, len(sample))))) @ mark.T for i in range(0, len(sample), 256)]).astype(float) @ root
     z = np.hstack([z, np.ones((len(z), 1))])
-    y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in sample])
     weight = np.array([1.0 / len(by[lang]) for lang, _ in sample])[:, None]  # languages count alike
+    # a text's target is 1 for its language and -1 for the others, so Z'WY is twice the language's own sum less the sum of all
+    own = np.stack([z[by[x]].mean(0) for x in languages], 1)
+    target = 2 * own - own.sum(1, keepdims=True)
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
-    solved = np.linalg.solve(z.T @ (weight * z) + penalty, z.T @ (weight * y))
+    solved = np.linalg.solve(z.T @ (weight * z) + penalty, target)
     return {"languages": languages, "column": column, "marks": mark.T.copy(), "coefficients": (root @ solved[:-1]).astype(np.float32), "bias": solved[-1].astype(np.float32)}
 
 
@@ -188,12 +193,12 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     return predict(rows, model).select("doc_id", "held_out", "verdict.lang_pred", "verdict.score")
 
 
-def least_known(rows: DataFrame) -> dict[str, float]:
-    """For each language, the share of its grams that a long text must know, from all of ``rows`` (lang, text_hash, grams,
-    known); copies of a text count once."""
+def least_known(rows: DataFrame) -> DataFrame:
+    """(lang, limit): for each language, the share of its grams that a long text must know, from all of ``rows`` (lang, text_hash,
+    grams, known); copies of a text count once."""
     texts = rows.groupBy("lang", "text_hash").agg(F.first(F.col("known") / F.col("grams")).alias("share"))
-    of = texts.groupBy("lang").agg(F.percentile_approx("share", [LOW, 0.5], 10_000).alias("q")).collect()
-    return {r["lang"]: max(NEAR_LOW * r["q"][0], HALF * r["q"][1]) for r in of}
+    of = texts.groupBy("lang").agg(F.percentile_approx("share", [LOW, 0.5], 10_000).alias("q"))
+    return of.select("lang", F.greatest(NEAR_LOW * F.col("q")[0], HALF * F.col("q")[1]).alias("limit"))
 
 
 def accepted(docs: DataFrame, folds: int = 5, least: float = 0.25) -> DataFrame:
@@ -204,10 +209,10 @@ def accepted(docs: DataFrame, folds: int = 5, least: float = 0.25) -> DataFrame:
     model = fit(training_sample(docs.where(held_in)))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(held_in & F.col("lang").isNotNull(), F.lit(False)).alias("labelled"), F.xxhash64("text").alias("text_hash"), "text")
     told = land(predict(rows, model).drop("text"), "told").where(F.col("verdict.lang_pred") != UNDETERMINED)
-    limits = least_known(told.where("labelled").select("row.lang", "text_hash", "verdict.grams", "verdict.known"))
-    if not limits:
-        return told.where("false").select("row.*")
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("verdict.lang_pred"))
-    grams, unknown = F.col("verdict.grams"), F.col("verdict.grams") - F.col("verdict.known")
+    limits = land(least_known(told.where("labelled").select("row.lang", "text_hash", "verdict.grams", "verdict.known")), "limits")
+    if len(model["languages"] if model else ()) <= ALL_SAMPLED:  # so there are no more limits than that, 100 bytes each
+        limits = F.broadcast(limits)
+    met = told.join(limits, F.col("verdict.lang_pred") == F.col("lang"))
+    limit, grams, unknown = F.col("limit"), F.col("verdict.grams"), F.col("verdict.grams") - F.col("verdict.known")
     chance = SIGMAS * F.sqrt(grams * limit * (1 - limit))
-    return told.where((F.col("verdict.score") >= least) & (unknown <= grams * (1 - limit) + chance)).select("row.*")
+    return met.where((F.col("verdict.score") >= least) & (unknown <= grams * (1 - limit) + chance)).select("row.*")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -92,10 +93,23 @@ def test_copies_neither_hide_a_language_nor_reach_the_driver(spark, frame, prose
     assert {r["draw"] for r in sample if r["lang"] == "aa"} == set(sorted(hashes)[:250])
 
 
-def test_very_many_languages_are_bounded(frame):
-    rows = [(i, f"word{'abcdefghij'[i % 10]}x other", f"l{i % 150:03}", "s") for i in range(450)] + [(1000 + i, f"qq{'abcd'[i]}", "common", "s") for i in range(4)]
+def test_very_many_languages_are_all_learned_and_bounded(frame, monkeypatch):
+    letters = "abcdefghij"
+    rows = [(i, f"{letters[i % 10] * 3}{letters[i // 10 % 15 % 10] * 3}{'xyz'[i % 3]} w{letters[i % 10]}", f"l{i % 150:03}", "s") for i in range(450)]
+    rows += [(1000 + i, f"qq{'abcd'[i]}", "common", "s") for i in range(4)]
     sample = lang.sample_texts(frame(rows), per_language=2, most=5).collect()
-    assert len({r["lang"] for r in sample}) == 5 and "common" in {r["lang"] for r in sample} and len(sample) <= 10
+    assert len({r["lang"] for r in sample}) == 151 and len(sample) == 151  # one of each
+    assert max(Counter(r["lang"] for r in lang.sample_texts(frame(rows), per_language=2, most=1000).collect()).values()) == 2
+    monkeypatch.setattr(lang, "ALL_LANDMARKS", 40)
+    model = lang.fit(lang.training_sample(frame(rows)))
+    assert len(model["languages"]) == 151 and model["marks"].shape[1] == 40 and model["coefficients"].shape == (40, 151)
+
+
+def test_a_language_after_the_hundredth_is_kept(frame, prose):
+    shift = lambda text, k: "".join(chr(0x4E00 + 40 * k + ord(c) - 97) if c.isalpha() else c for c in text)
+    rows = [(k * 5 + i, shift(prose(60, k * 5 + i), k), f"l{k:03}", "s") for k in range(130) for i in range(5)]
+    kept = lang.accepted(frame(rows)).collect()
+    assert len(kept) >= 0.98 * len(rows) and len({r["lang"] for r in kept}) == 130
 
 
 def test_predict_keeps_clashing_columns_and_long_texts(frame, corpus):
