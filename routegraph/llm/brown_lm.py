@@ -3,13 +3,13 @@
     P(word | word before) = P(class | class before) * P(word | class)
 
 Exchange clustering assigns units to classes: a unit is a word of LEAST_COUNT training tokens or more, and of FREQUENT of all
-tokens or more (so there are at most 1 / FREQUENT of them and their classes can be broadcast), or one of SHAPES buckets of endings,
-which stands for all other words that end so, known or not. A round counts, over all training texts, which classes stand
-before and after each of the first LEADERS units, and moves a share of them (by hash) to the class where the likelihood of the class
-bigrams gains most; meanwhile a rarer word goes with its ending. As units move together, a round can lose: then its moves are taken
-back. When the likelihood of a token rises by less than LEAST_RISE, a smaller share moves; rounds end when that does not help either,
-or after MOST_ROUNDS. Then
-each of the rarer words moves once to the class that its own neighbours ask for, if that raises the likelihood.
+tokens or more (so there are at most 1 / FREQUENT of them, whose classes can be broadcast: 64 bytes a word, 128 MB at most), or one of
+SHAPES buckets of endings, which stands for all other words that end so, known or not. The commonest words begin in classes of their own,
+the others in the class of their ending. The first round counts, over all training texts, which classes stand before and after each unit, and moves every
+unit to the class where the likelihood of the class bigrams gains most. A later round moves a share of the units (by hash), and counts anew only
+beside the tokens whose class has changed. As units move together, a round can lose: then its moves are taken
+back. When the likelihood of a token rises by less than LEAST_RISE, a smaller share moves; rounds end when that does not help either
+(MOST_ROUNDS is a guard that is not met in practice).
 
 Class transitions are smoothed towards class frequencies. Within a class, counts are discounted by d = n1 / (n1 + 2 n2);
 the mass that this frees is the probability of a word not seen in training. The probabilities of
@@ -45,9 +45,11 @@ SHAPES = 1024
 #: Units: the endings, then the end of a text, then words by falling count.
 END_UNIT, FIRST_WORD = SHAPES, SHAPES + 1
 LEAST_COUNT, FREQUENT = 5, 5e-7
-MOST_ROUNDS, LEAST_RISE = 7, 2e-2
-#: Units that move in every round; a task counts their neighbours in an array.
-LEADERS = 1 << 14
+MOST_ROUNDS, LEAST_RISE = 24, 1e-2
+#: The commonest words that begin in classes of their own.
+APART = 16 * CLASSES
+#: How a task counts neighbours: those of the first DENSE units in an array, those of the others by sorting UNSORTED at a time.
+DENSE, UNSORTED = 1 << 14, 1 << 20
 SMOOTHING = 20.0
 HELD = 400_000
 
@@ -159,25 +161,45 @@ def _encoder(sent, discount: float):
     return run
 
 
-def _neighbours(sent, counted: int):
-    """Rows (unit, cls, before, after): how often the class stands before and after each of the first ``counted`` units. Unit -1 - c
-    holds the class bigrams of c."""
+def _neighbours(sent):
+    """Rows (unit, cls, before, after): how often the class stands before and after each unit or, given older classes, by how much that
+    differs from what it was. Unit -1 - c holds the class bigrams of c, always in full. One (unit, cls) may have several rows."""
     k = CLASSES + 1
 
+    def rows(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        columns = [key // k, key % k, before, after]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["unit", "cls", "before", "after"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, leader = sent.value
-        before, after, bigrams = (np.zeros(m * k, np.int64) for m in (counted, counted, k))
-        for u in _streams(batches):
-            c = classes[u].astype(np.int64)
+        classes, older = sent.value
+        dense = min(DENSE, len(classes)) * k
+        counts, bigrams = np.zeros((2, dense), np.int64), np.zeros(k * k, np.int64)
+        held: list[np.ndarray] = []
+
+        def sparse() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            n = np.where(code & 1, -n, n)
+            return rows(code >> 2, np.where(code & 2, 0, n), np.where(code & 2, n, 0))
+
+        for unit in _streams(batches):
+            c, unit = classes[unit].astype(np.int64), unit.astype(np.int64)
             bigrams += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-            if counted:
-                u = leader[u].astype(np.int64)
-                before += np.bincount(u[1:] * k + c[:-1], minlength=counted * k)
-                after += np.bincount(u[:-1] * k + c[1:], minlength=counted * k)
-        at, more = np.flatnonzero((before > 0) | (after > 0)), np.flatnonzero(bigrams)
-        unit, cls = np.concatenate([at // k, -1 - more // k]), np.concatenate([at % k, more % k])
-        columns = [unit, cls, np.concatenate([before[at], np.zeros_like(more)]), np.concatenate([after[at], bigrams[more]])]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["unit", "cls", "before", "after"])
+            was = None if older is None else older[unit].astype(np.int64)
+            at = np.arange(len(c)) if older is None else np.flatnonzero(c != was)
+            for side, i, beside in ((0, at[at < len(c) - 1], 1), (1, at[at > 0], -1)):
+                for lost, of in enumerate((c,) if was is None else (c, was)):
+                    key = unit[i + beside] * k + of[i]
+                    low = key < dense
+                    np.add.at(counts[side], key[low], -1 if lost else 1)
+                    held.append(key[~low] << 2 | side << 1 | lost)
+            if sum(map(len, held)) > UNSORTED:
+                yield sparse()
+        if held:
+            yield sparse()
+        key, more = np.flatnonzero(counts.any(0)), np.flatnonzero(bigrams)
+        yield rows(key, counts[0, key], counts[1, key])
+        yield rows(more - k * k, np.zeros_like(more), bigrams[more])
 
     return run
 
@@ -190,21 +212,6 @@ def _streams(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[np.
             yield np.frombuffer(end + end.join(batch.slice(start, rows).column("units").to_pylist()) + end, "<u4")
 
 
-def _contexts(sent, counted: int):
-    """Rows (unit, pair, n) of the units from ``counted`` on: how often two classes, as one number, stand around the unit."""
-    k = CLASSES + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = sent.value[0]
-        for u in _streams(batches):
-            at = np.flatnonzero(u >= counted)
-            if len(at):
-                code, n = np.unique(u[at].astype(np.int64) << 16 | classes[u[at - 1]].astype(np.int64) * k + classes[u[at + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((code >> 16).astype(np.int32)), pa.array((code & 65535).astype(np.int32)), pa.array(n.astype(np.int32))], ["unit", "pair", "n"])
-
-    return run
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -238,17 +245,6 @@ def _movers(sent):
     return move
 
 
-def _followers(sent):
-    @F.pandas_udf(T.IntegerType())
-    def move(unit: pd.Series, pair: pd.Series, n: pd.Series) -> pd.Series:
-        """The same, from the pairs of classes around each unit."""
-        classes, bigrams = sent.value
-        k = CLASSES + 1
-        return pd.Series([_better(int(classes[u]), np.bincount(p // k, x, k), np.bincount(p % k, x, k), bigrams) for u, p, x in zip(unit, pair, n, strict=True)], dtype="Int32")
-
-    return move
-
-
 def _better(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray) -> int | None:
     best = best_class(own, before, after, bigrams)
     return None if best == own else best
@@ -257,7 +253,7 @@ def _better(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray
 def _class_bigrams(sums: DataFrame) -> np.ndarray:
     bigrams = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
     for r in sums.where("unit < 0").collect():
-        bigrams[-1 - r["unit"], r["cls"]] = r["after"]
+        bigrams[r["unit"], r["cls"]] = r["after"]  # units from -CLASSES - 1 to -1 are the rows in their order
     return bigrams
 
 
@@ -272,50 +268,44 @@ def exchange(train: DataFrame, endings: np.ndarray, rounds: int = MOST_ROUNDS) -
     word that is a unit. A step brings only the units that move to the driver."""
     sc = train.sparkSession.sparkContext
     n_units = FIRST_WORD + len(endings)
-    counted = min(LEADERS, n_units)
-    leader = np.arange(n_units, dtype=np.int32)
-    leader[counted:] = endings[counted - FIRST_WORD :]
     classes = (np.arange(n_units) % CLASSES).astype(np.uint8)
+    classes[FIRST_WORD + APART :] = classes[endings[APART:]]
     classes[END_UNIT] = END
-    classes = classes[leader]
 
-    def sums_of(classes: np.ndarray, counted: int) -> tuple[DataFrame, np.ndarray]:
-        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast((classes, leader)), counted), "unit long, cls long, before long, after long")
-        sums = land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "neighbours")
+    def counted(classes: np.ndarray, older: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast((classes, older))), "unit long, cls long, before long, after long")
+        sums = land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).where("before <> 0 or after <> 0"), "neighbours")
         return sums, _class_bigrams(sums)
 
-    sums, bigrams = sums_of(classes, counted)
+    def by_unit(sums: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+        """(unit, x): a unit's counts in one list, which a round lengthens by CLASSES + 1 at most; entries of one class add up."""
+        single = sums.where((F.col("unit") >= 0) & (F.col("unit") != END_UNIT)).select("unit", F.array(F.struct("cls", "before", "after")).alias("x"))
+        every = single if lists is None else lists.unionByName(single)
+        return land(every.groupBy("unit").agg(F.flatten(F.collect_list("x")).alias("x")), "neighbours-of-units")
+
+    sums, bigrams = counted(classes)
+    lists = by_unit(sums)
     course, share = [likelihood(bigrams)], 1.0
     for k in range(rounds):
         drawn = F.pmod(F.hash("unit", F.lit(k)), F.lit(1024)) < int(1024 * share)
-        turn = sums.where((F.col("unit") >= 0) & (F.col("unit") != END_UNIT) & drawn)
-        lists = turn.groupBy("unit").agg(F.collect_list(F.struct("cls", "before", "after")).alias("x")).select("unit", *[F.col(f"x.{c}").alias(c) for c in ("cls", "before", "after")])
-        moved = lists.withColumn("better", _movers(sc.broadcast((classes, bigrams)))("unit", "cls", "before", "after")).where("better is not null").select("unit", "better").toPandas()
+        turn = lists.where(drawn).select("unit", *[F.col(f"x.{c}").alias(c) for c in ("cls", "before", "after")])
+        moved = turn.withColumn("better", _movers(sc.broadcast((classes, bigrams)))("unit", "cls", "before", "after")).where("better is not null").select("unit", "better").toPandas()
         if not len(moved):
             break
         trial = classes.copy()
         trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
-        trial = trial[leader]
-        trial_sums, trial_bigrams = sums_of(trial, counted)
+        changes, trial_bigrams = counted(trial, classes)
         rise = likelihood(trial_bigrams) - course[-1]
         if rise > 0:
-            classes, sums, bigrams = trial, trial_sums, trial_bigrams
+            classes, bigrams = trial, trial_bigrams
             course.append(course[-1] + rise)
             share = min(share, 0.5)
         if rise < LEAST_RISE:
             if share <= 1 / 8:
                 break
             share /= 2
-    if counted < n_units:
-        around = train.select("units").mapInArrow(_contexts(sc.broadcast((classes, leader)), counted), "unit int, pair int, n int")
-        lists = around.groupBy("unit").agg(F.collect_list(F.struct("pair", "n")).alias("x")).select("unit", F.col("x.pair").alias("pair"), F.col("x.n").alias("n"))
-        moved = lists.select("unit", _followers(sc.broadcast((classes, bigrams)))("unit", "pair", "n").alias("better")).where("better is not null").toPandas()
-        trial = classes.copy()
-        trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
-        trial_bigrams = sums_of(trial, 0)[1]
-        if likelihood(trial_bigrams) > course[-1]:
-            classes, bigrams = trial, trial_bigrams
-            course.append(likelihood(bigrams))
+        if rise > 0:
+            lists = by_unit(changes, lists)
     return classes, bigrams, course
 
 

@@ -81,9 +81,11 @@ def test_reruns_agree(frame, corpus):
     assert key(b.score(frame(corpus))) == key(b.score(frame(corpus).repartition(3)))
 
 
-@pytest.mark.parametrize("leaders", [1 << 14, 1030])
-def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, leaders, monkeypatch):
-    monkeypatch.setattr(b, "LEADERS", leaders)
+@pytest.mark.parametrize(("dense", "apart"), [(1 << 14, 1024), (1030, 1024), (1, 20)])
+def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, dense, apart, monkeypatch):
+    monkeypatch.setattr(b, "DENSE", dense)
+    monkeypatch.setattr(b, "APART", apart)
+    monkeypatch.setattr(b, "UNSORTED", 1000)
     r = random.Random(5)
     kinds = [[b.FIRST_WORD + 3 * i + k for i in range(100)] for k in range(3)]
     texts = [np.array([r.choice(kinds[j % 3]) for j in range(60)], "<u4").tobytes() for _ in range(800)]
@@ -102,9 +104,46 @@ def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, leaders, m
     assert (bigrams == want).all()
 
 
+@pytest.mark.parametrize("dense", [1 << 14, 1060, 1])
+def test_changed_neighbours_are_the_difference_of_full_counts(dense, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(b, "DENSE", dense)
+    monkeypatch.setattr(b, "UNSORTED", 200)
+    r = np.random.default_rng(3)
+    older = (np.arange(b.FIRST_WORD + 60) % b.CLASSES).astype(np.uint8)
+    older[b.END_UNIT] = b.END
+    newer = older.copy()
+    newer[b.FIRST_WORD + 5 : b.FIRST_WORD + 30] = 7
+    texts = [r.integers(b.FIRST_WORD - 20, b.FIRST_WORD + 60, n).astype("<u4") for n in (0, 1, 400, 30, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["units"])
+    ends = np.concatenate([[b.END_UNIT], *[np.append(t, b.END_UNIT) for t in texts]])
+
+    def counts(classes, past):
+        got = Counter()
+        for rows in b._neighbours(type("Sent", (), {"value": (classes, past)}))([batch]):
+            for x in rows.to_pylist():
+                got[x["unit"], x["cls"], "before"] += x["before"]
+                got[x["unit"], x["cls"], "after"] += x["after"]
+        return got
+
+    def brute(classes):
+        got = Counter()
+        for x, y in zip(ends, ends[1:], strict=False):
+            got[y, classes[x], "before"] += 1
+            got[x, classes[y], "after"] += 1
+            got[int(classes[x]) - b.CLASSES - 1, classes[y], "after"] += 1
+        return got
+
+    full, changes, past = counts(newer, None), counts(newer, older), brute(older)
+    assert {k: n for k, n in full.items() if n} == dict(brute(newer))
+    assert all(n == full[k] - past[k] for k, n in changes.items() if k[0] >= 0)
+    assert all(full[k] == past[k] + changes[k] for k in (full | past) if k[0] >= 0)
+
+
 def test_score_equals_the_model_by_definition(frame, corpus, monkeypatch):
     """Scores from the classes and counts of the exchange, with plain dictionaries."""
-    monkeypatch.setattr(b, "LEADERS", 1040)
+    monkeypatch.setattr(b, "DENSE", 1040)
     seen = {}
     whole = b.exchange
 
