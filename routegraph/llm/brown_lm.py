@@ -50,6 +50,8 @@ MOST_ROUNDS, LEAST_RISE = 24, 1e-2
 APART = 16 * CLASSES
 #: How a task counts neighbours: those of the first DENSE units in an array, those of the others by sorting UNSORTED at a time.
 DENSE, UNSORTED = 1 << 14, 1 << 20
+#: Units whose counts are one row.
+BUCKET = 16
 SMOOTHING = 20.0
 HELD = 400_000
 
@@ -161,35 +163,83 @@ def _encoder(sent, discount: float):
     return run
 
 
-def _neighbours(sent):
-    """Rows (unit, cls, before, after): how often the class stands before and after each unit or, given older classes, by how much that
-    differs from what it was. Unit -1 - c holds the class bigrams of c, always in full. One (unit, cls) may have several rows."""
-    k = CLASSES + 1
+COUNTS = "bucket int, code binary, before binary, after binary, bigrams array<long>"
+K, SPAN = CLASSES + 1, BUCKET * (CLASSES + 1)
+
+
+def _summed(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return (key[first], np.add.reduceat(before[order], first), np.add.reduceat(after[order], first)) if len(key) else (key, before, after)
+
+
+def _packed(key: np.ndarray, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray | None = None) -> pa.RecordBatch:
+    """COUNTS: a row for each bucket of units, of keys (unit * K + class) in order; the class bigrams are in a row of bucket -1."""
+    bucket = key // SPAN
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    extra = int(bigrams is not None)
+
+    def binary(values: np.ndarray, kind: str) -> pa.Array:
+        values = np.ascontiguousarray(values, kind)
+        ends = np.concatenate([first, [len(key)] * (1 + extra)]) * values.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(first) + extra, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+    columns = [binary(key - bucket * SPAN, "<u2"), binary(before, "<i8"), binary(after, "<i8")]
+    more = pa.array([None] * len(first) + [bigrams.tolist()] * extra if extra else [None] * len(first), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.append(bucket[first], [-1] * extra).astype(np.int32)), *columns, more], ["bucket", "code", "before", "after", "bigrams"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = batch.column("code").to_pylist()
+    lengths = [len(c) // 2 for c in codes]
+    key = np.repeat(batch.column("bucket").to_numpy().astype(np.int64) * SPAN, lengths) + np.frombuffer(b"".join(codes), "<u2")
+    return key, *(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("before", "after"))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of equal buckets, which are all in this task; it holds no more than its units' classes, and UNSORTED counts."""
+    none = np.zeros(0, np.int64)
+    whole, held = (none, none, none), []
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _summed(*map(np.concatenate, zip(whole, *held, strict=True)))
+
+    for batch in batches:
+        held.append(_unpacked(batch))
+        if sum(len(h[0]) for h in held) > max(UNSORTED, len(whole[0])):
+            whole = joined()
+            held.clear()
+    key, before, after = joined()
+    some = (before != 0) | (after != 0)
+    yield _packed(key[some], before[some], after[some])
 
-    def rows(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-        columns = [key // k, key % k, before, after]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["unit", "cls", "before", "after"])
+
+def _neighbours(sent):
+    """COUNTS of how often each class stands before and after each unit or, given older classes, of by how much that differs from what it
+    was; and the class bigrams, always in full. A bucket may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, older = sent.value
-        dense = min(DENSE, len(classes)) * k
-        counts, bigrams = np.zeros((2, dense), np.int64), np.zeros(k * k, np.int64)
+        dense = min(DENSE, len(classes)) * K
+        counts, bigrams = np.zeros((2, dense), np.int64), np.zeros(K * K, np.int64)
         held: list[np.ndarray] = []
 
         def sparse() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             n = np.where(code & 1, -n, n)
-            return rows(code >> 2, np.where(code & 2, 0, n), np.where(code & 2, n, 0))
+            return _packed(*_summed(code >> 2, np.where(code & 2, 0, n), np.where(code & 2, n, 0)))
 
         for unit in _streams(batches):
             c, unit = classes[unit].astype(np.int64), unit.astype(np.int64)
-            bigrams += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+            bigrams += np.bincount(c[:-1] * K + c[1:], minlength=K * K)
             was = None if older is None else older[unit].astype(np.int64)
             at = np.arange(len(c)) if older is None else np.flatnonzero(c != was)
             for side, i, beside in ((0, at[at < len(c) - 1], 1), (1, at[at > 0], -1)):
                 for lost, of in enumerate((c,) if was is None else (c, was)):
-                    key = unit[i + beside] * k + of[i]
+                    key = unit[i + beside] * K + of[i]
                     low = key < dense
                     np.add.at(counts[side], key[low], -1 if lost else 1)
                     held.append(key[~low] << 2 | side << 1 | lost)
@@ -197,9 +247,8 @@ def _neighbours(sent):
                 yield sparse()
         if held:
             yield sparse()
-        key, more = np.flatnonzero(counts.any(0)), np.flatnonzero(bigrams)
-        yield rows(key, counts[0, key], counts[1, key])
-        yield rows(more - k * k, np.zeros_like(more), bigrams[more])
+        key = np.flatnonzero(counts.any(0))
+        yield _packed(key, counts[0, key], counts[1, key], bigrams)
 
     return run
 
@@ -232,29 +281,39 @@ def best_class(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndar
     return int(np.argmax(gain)) if np.max(gain) > gain[own] + 1e-9 else own
 
 
-def _movers(sent):
-    @F.pandas_udf(T.IntegerType())
-    def move(unit: pd.Series, cls: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        """The better class of each unit; null where it is in the best."""
-        classes, bigrams = sent.value
-        out = []
-        for u, c, x, y in zip(unit, cls, before, after, strict=True):
-            out.append(_better(int(classes[u]), np.bincount(c, x, CLASSES + 1), np.bincount(c, y, CLASSES + 1), bigrams))
-        return pd.Series(out, dtype="Int32")
+def drawn(unit: int, turn: int, share: float) -> bool:
+    return xxhash.xxh32_intdigest(unit.to_bytes(4, "little"), turn) % 1024 < 1024 * share
 
-    return move
 
+def _movers(sent, turn: int, share: float):
+    """(unit, better): the better class of each unit that is drawn and is not in its best."""
 
-def _better(own: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray) -> int | None:
-    best = best_class(own, before, after, bigrams)
-    return None if best == own else best
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, bigrams = sent.value
+        for batch in batches:
+            key, *counts = _unpacked(batch)
+            unit, cls = np.divmod(key, K)
+            first = np.append(np.flatnonzero(np.diff(unit, prepend=-1)), len(unit))
+            units, better = [], []
+            for a, b in zip(first, first[1:], strict=False):
+                u = int(unit[a])
+                if u != END_UNIT and drawn(u, turn, share):
+                    beside = np.zeros((2, K))
+                    beside[0, cls[a:b]], beside[1, cls[a:b]] = counts[0][a:b], counts[1][a:b]
+                    best = best_class(int(classes[u]), *beside, bigrams)
+                    if best != classes[u]:
+                        units.append(u)
+                        better.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(better, pa.int32())], ["unit", "better"])
+
+    return run
 
 
-def _class_bigrams(sums: DataFrame) -> np.ndarray:
-    bigrams = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
-    for r in sums.where("unit < 0").collect():
-        bigrams[r["unit"], r["cls"]] = r["after"]  # units from -CLASSES - 1 to -1 are the rows in their order
-    return bigrams
+def _class_bigrams(counts: DataFrame) -> np.ndarray:
+    bigrams = np.zeros(K * K, np.int64)
+    for r in counts.where("bucket = -1").select(F.posexplode("bigrams")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        bigrams[r["pos"]] = r["n"]
+    return bigrams.reshape(K, K)
 
 
 def likelihood(bigrams: np.ndarray) -> float:
@@ -272,30 +331,29 @@ def exchange(train: DataFrame, endings: np.ndarray, rounds: int = MOST_ROUNDS) -
     classes[FIRST_WORD + APART :] = classes[endings[APART:]]
     classes[END_UNIT] = END
 
+    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_units * K >> 20)
+
     def counted(classes: np.ndarray, older: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
-        rows = train.select("units").mapInArrow(_neighbours(sc.broadcast((classes, older))), "unit long, cls long, before long, after long")
-        sums = land(rows.groupBy("unit", "cls").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).where("before <> 0 or after <> 0"), "neighbours")
-        return sums, _class_bigrams(sums)
-
-    def by_unit(sums: DataFrame, lists: DataFrame | None = None) -> DataFrame:
-        """(unit, x): a unit's counts in one list, which a round lengthens by CLASSES + 1 at most; entries of one class add up."""
-        single = sums.where((F.col("unit") >= 0) & (F.col("unit") != END_UNIT)).select("unit", F.array(F.struct("cls", "before", "after")).alias("x"))
-        every = single if lists is None else lists.unionByName(single)
-        return land(every.groupBy("unit").agg(F.flatten(F.collect_list("x")).alias("x")), "neighbours-of-units")
-
-    sums, bigrams = counted(classes)
-    lists = by_unit(sums)
+        counts = land(train.select("units").mapInArrow(_neighbours(sc.broadcast((classes, older))), COUNTS), "counts")
+        return counts, _class_bigrams(counts)
+
+    def merged(counts: DataFrame) -> DataFrame:
+        """One row for each bucket of 16 units: a task passes on at most 1040 counts of a bucket at a time, however common its words."""
+        return land(counts.where("bucket >= 0").repartition(parts, "bucket").mapInArrow(_merge, COUNTS), "merged")
+
+    counts, bigrams = counted(classes)
+    beside = merged(counts)
     course, share = [likelihood(bigrams)], 1.0
     for k in range(rounds):
-        drawn = F.pmod(F.hash("unit", F.lit(k)), F.lit(1024)) < int(1024 * share)
-        turn = lists.where(drawn).select("unit", *[F.col(f"x.{c}").alias(c) for c in ("cls", "before", "after")])
-        moved = turn.withColumn("better", _movers(sc.broadcast((classes, bigrams)))("unit", "cls", "before", "after")).where("better is not null").select("unit", "better").toPandas()
+        moved = beside.mapInArrow(_movers(sc.broadcast((classes, bigrams)), k, share), "unit int, better int").toPandas()
         if not len(moved):
             break
         trial = classes.copy()
         trial[moved["unit"].to_numpy()] = moved["better"].to_numpy()
-        changes, trial_bigrams = counted(trial, classes)
+        # where all units may move, as in the first round, nearly all counts change: counting in full is less than the difference
+        changes, trial_bigrams = counted(trial, None if share == 1 else classes)
         rise = likelihood(trial_bigrams) - course[-1]
+        whole = share == 1
         if rise > 0:
             classes, bigrams = trial, trial_bigrams
             course.append(course[-1] + rise)
@@ -305,7 +363,7 @@ def exchange(train: DataFrame, endings: np.ndarray, rounds: int = MOST_ROUNDS) -
                 break
             share /= 2
         if rise > 0:
-            lists = by_unit(changes, lists)
+            beside = merged(changes if whole else beside.unionByName(changes))
     return classes, bigrams, course
 
 

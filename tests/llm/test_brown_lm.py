@@ -107,6 +107,7 @@ def test_exchange_raises_the_likelihood_and_finds_word_classes(spark, dense, apa
 @pytest.mark.parametrize("dense", [1 << 14, 1060, 1])
 def test_changed_neighbours_are_the_difference_of_full_counts(dense, monkeypatch):
     import pyarrow as pa
+    import pyarrow.compute
 
     monkeypatch.setattr(b, "DENSE", dense)
     monkeypatch.setattr(b, "UNSORTED", 200)
@@ -120,11 +121,12 @@ def test_changed_neighbours_are_the_difference_of_full_counts(dense, monkeypatch
     ends = np.concatenate([[b.END_UNIT], *[np.append(t, b.END_UNIT) for t in texts]])
 
     def counts(classes, past):
-        got = Counter()
-        for rows in b._neighbours(type("Sent", (), {"value": (classes, past)}))([batch]):
-            for x in rows.to_pylist():
-                got[x["unit"], x["cls"], "before"] += x["before"]
-                got[x["unit"], x["cls"], "after"] += x["after"]
+        rows = list(b._neighbours(type("Sent", (), {"value": (classes, past)}))([batch]))
+        bigrams = [x["bigrams"] for r in rows for x in r.to_pylist() if x["bucket"] == -1]
+        key, before, after = b._unpacked(next(b._merge(r.filter(pa.compute.greater_equal(r.column("bucket"), 0)) for r in rows)))
+        got = Counter({(int(k) // b.K, int(k) % b.K, "before"): int(n) for k, n in zip(key, before, strict=True)})
+        got.update({(int(k) // b.K, int(k) % b.K, "after"): int(n) for k, n in zip(key, after, strict=True)})
+        got.update({(i // b.K - b.K, i % b.K, "after"): n for i, n in enumerate(np.sum(bigrams, 0).tolist())})
         return got
 
     def brute(classes):
