@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from routegraph.functions.conditions import status
-from routegraph.operators import convert, coverage, covers, document_rules, graph, healing, impossible, patching, routes, validation
+from routegraph.operators import convert, coverage, covers, document_rules, graph, healing, impossible, patching, routes, sketches, validation
 from routegraph.plans.derived import (
     CORPUS_SQL, CUSTOMER_EDGES, CUSTOMER_SQL, CUSTOMER_TERMINALS, DOCUMENT_BREAKS_SQL, ORDER_ROUTES_SQL, ORDER_SCHEMA, PATHS_SQL, RANGED_SQL, customer_answers, customer_corpus, customer_json, damaged_corpus,
     lookup, order_corpus, order_documents, order_respondents, ranged_corpus, table,
@@ -649,3 +649,34 @@ def issue_cube(spark: SparkSession, d: str) -> DataFrame:
     out = issues.groupingSets(sets, "type", "kind", "parity").agg(F.count("*").alias("issues"), F.countDistinct("survey_key").alias("surveys"), F.grouping("kind").alias("k"), F.grouping("parity").alias("p"))
     shown = [F.when(F.col(g) == 1, "*").otherwise(F.col(c)).alias(c) for c, g in (("kind", "k"), ("parity", "p"))]
     return out.select("type", *shown, "issues", "surveys")
+
+
+SKETCHED_SQL = "SELECT {keys}, count(*) AS n_rows, true AS distinct_near, true AS median_near FROM {table} GROUP BY {keys}"
+
+
+def _sketched(spark: SparkSession, d: str, name: str, key: str, distinct: str, value: str, part: str) -> DataFrame:
+    """Sketches stored for each part of a table and merged, held against exact answers: near means within four standard errors of a distinct
+    count, and twice the stated error of a rank."""
+    kept = sketches.StoredSketches(fresh(spark, f"sketches-{name}"), [key], distinct, value)
+    rows = table(spark, d, name).withColumn("_part", F.expr(part))
+    for r in rows.select("_part").distinct().orderBy("_part").collect():  # a dozen parts, as the expressions below make them
+        kept.add(str(r["_part"]), rows.where(F.col("_part").eqNullSafe(r["_part"])))
+    merged = kept.merged(spark).select(key, "n_rows", "n_distinct", F.col("quantiles")[0].alias("median"))
+    told = F.broadcast(merged.withColumnRenamed(key, "_key"))  # a row for each key: an event type or a flag
+    exact = rows.join(told, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key, "n_rows", "n_distinct", "median").agg(
+        F.countDistinct(distinct).alias("exact"), F.count(value).alias("n"), F.count_if(F.col(value) < F.col("median")).alias("below"), F.count_if(F.col(value) <= F.col("median")).alias("upto")
+    )
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * sketches.DISTINCT_ERROR * F.col("exact"))
+    return exact.select(key, "n_rows", near.alias("distinct_near"), sketches.rank_holds(F.col("below"), F.col("upto"), F.col("n"), 0.5, 2 * sketches.RANK_ERROR).alias("median_near"))
+
+
+@query(SKETCHED_SQL.format(keys="event_type", table="events"))
+def sketched_events(spark: SparkSession, d: str) -> DataFrame:
+    """Different users and the median value of each type of event, from sketches of each quarter of the day."""
+    return _sketched(spark, d, "events", "event_type", "user_id", "value", "concat('q', cast(floor(hour(ts) / 6) as string))")
+
+
+@query(SKETCHED_SQL.format(keys="l_returnflag", table="lineitem"))
+def sketched_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Different parts and the median price of each return flag, from sketches of each month's shipments."""
+    return _sketched(spark, d, "lineitem", "l_returnflag", "l_partkey", "l_extendedprice", "concat('m', cast(month(l_shipdate) as string))")
