@@ -8,8 +8,10 @@ from datetime import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from surveys import VALID, corpus
 
+from routegraph.operators import document_rules
 from routegraph.operators.document_rules import built_in_schema, compile_schema, schema_breaks
 from routegraph.operators.validation import validate
 
@@ -149,3 +151,11 @@ def test_what_is_no_json_or_no_schema(spark):
 def test_compiling_gives_each_choice_a_number_of_its_own(schema):
     compiled = compile_schema(schema)
     assert len({c[2] for c in compiled.choices}) == len(compiled.choices) and len({s[0] for s in compiled.spots}) == len(compiled.spots)
+
+
+def test_texts_of_messages_are_made_only_where_they_are_asked_for(spark):
+    rows = spark.createDataFrame([(t,) for t in ('"a"', "null", "true", "1", "1.5", "[1]", '{"k":1}')], "doc string").select(F.try_parse_json("doc").alias("value"))
+    facts = document_rules._facts(rows)
+    assert not {"json", "shown"} & set(facts.columns)
+    got = facts.select("kind", document_rules._shown().alias("shown")).collect()
+    assert [tuple(r) for r in got] == [("string", "'a'"), ("null", "None"), ("boolean", "True"), ("integer", "1"), ("number", "1.5"), ("array", "[1]"), ("object", '{"k":1}')]
