@@ -6,8 +6,9 @@ from dataclasses import replace
 import pytest
 from surveys import corpus, edge, survey
 
-from routegraph.operators import graph, validation
+from routegraph.operators import graph, healing, patching, validation
 from routegraph.plans import derived
+from routegraph.store import land
 
 ISSUE = [*validation.ORDER, "type", "message", "node_id", "edge_id", "evidence"]
 
@@ -65,3 +66,24 @@ def test_issues_of_small_surveys_are_told_without_another_shuffle(spark, lines,
     spark.read.parquet(f"{lines}/lineitem.parquet").where("l_orderkey > 4 and l_linenumber is not null").write.parquet(f"{tmp_path}/lineitem.parquet")
     for df in (validation.numbered(derived.order_corpus(spark, str(tmp_path))), graph.reachable(derived.order_corpus(spark, str(tmp_path)))):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patched_surveys_are_walked_by_their_new_edges(spark, lines):
+    c = derived.order_corpus(spark, lines)
+    entry = c.surveys.where("survey_key = 10").first()["entry_node"]
+    patch = f"array(named_struct('op', 'add_edge', 'edge', named_struct('id', 'NEW', 'source', '{entry}', 'target', 'Q9', 'condition', cast(null as string), 'condition_text', '', 'priority', 99L, 'type', 'fallthrough'), 'edge_id', cast(null as string), 'priority', cast(null as long)))"
+    advice = spark.range(1).selectExpr("10L survey_key", "1 rec_no", "'REC_0001' id", "'ISSUE_0001' issue_id", f"{patch} patch")
+    decisions = spark.range(1).selectExpr("10L survey_key", "1 pos", "'REC_0001' recommendation_id", "'approved' decision", "'me' approver", "'so' rationale")
+    patched = patching.apply_patches(c, advice, decisions)[0]
+    assert "Q9" in [r["node"] for r in graph.reachable(patched).where("survey_key = 10").collect()]
+    assert "Q9" not in [r["node"] for r in graph.reachable(c).where("survey_key = 10").collect()]
+
+
+def test_only_what_issues_ask_for_is_computed(spark, lines, monkeypatch):
+    c = derived.order_corpus(spark, lines).landed(land)
+    assert c.landed(land) is c
+    issues = land(validation.priority_issues(c).selectExpr("*", "1 issue_no", "'ISSUE_0001' id"), "issues")
+    monkeypatch.setattr(graph, "reachable", lambda *_: pytest.fail("no issue asks for it"))
+    monkeypatch.setattr(graph, "block_order", lambda *_: pytest.fail("no issue asks for it"))
+    kinds = {r["type"] for r in healing.recommend(c, issues).select("type").distinct().collect()}
+    assert kinds == {"adjust_duplicate_priority"}
