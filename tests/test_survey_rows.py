@@ -87,3 +87,16 @@ def test_only_what_issues_ask_for_is_computed(spark, lines, monkeypatch):
     monkeypatch.setattr(graph, "block_order", lambda *_: pytest.fail("no issue asks for it"))
     kinds = {r["type"] for r in healing.recommend(c, issues).select("type").distinct().collect()}
     assert kinds == {"adjust_duplicate_priority"}
+
+
+@pytest.mark.parametrize("name", ["entries", "terminals", "sources", "targets"])
+def test_issues_of_one_check_are_those_of_the_tables(spark, lines, name):
+    c = derived.damaged_corpus(spark, lines)
+    got = rows_of(validation.found_by(c, name).select("survey_key", *ISSUE))
+    assert got == rows_of(validation.CHECKS[name](c, None).select("survey_key", *ISSUE)) and got
+
+
+def test_entries_of_small_surveys_are_told_without_another_shuffle(spark, lines, tmp_path):
+    spark.read.parquet(f"{lines}/lineitem.parquet").where("l_orderkey > 4 and l_linenumber is not null").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = validation.found_by(derived.damaged_corpus(spark, str(tmp_path)), "entries")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
