@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,30 +47,49 @@ ROLL, MASK_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 4096
 FAN = 1024
 #: Places of repeated chunks are broadcast only up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
-#: Words whose ids a process remembers: those met once, and those met again. When either are too many, they are forgotten and
-#: learned anew, which changes no result.
-MET_ONCE, MET_AGAIN = 400_000, 700_000
+#: Pieces of text whose ids a process remembers: those met once, and those met again. When either are too many, they are
+#: forgotten and learned anew, which changes no result. Longer pieces than LONGEST bytes are not remembered.
+MET_ONCE, MET_AGAIN, LONGEST = 400_000, 700_000, 100
+#: Bytes of text that are encoded at once, or one text if it is longer; a row counts as ROW_BYTES more.
+AT_ONCE, ROW_BYTES = 4_000_000, 1000
 #: Chunks that a task remembers to have sent.
 SENT = 350_000
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Pairs of white space, at which the pre-tokenizer looks beyond a word.
-PAIRS = ("  ", "\n\n", " \n", "\n ")
-#: White space that is neither a space nor a newline.
-ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-#: Marks that the pre-tokenizer takes as one piece when they end a word; an apostrophe is none of them, as it may begin a piece.
-MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-OTHER_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _cut_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What may follow a byte, and what a byte may follow, as bits: where a common bit stands in both, the byte-level pre-tokenizer
+    always begins a piece. 1: white space after a letter, digit or mark; 2: a mark after a letter or digit; 4: a letter or digit after
+    a mark, though not after an apostrophe, which may take it along; 8: either of the first two, if the character that ends here is a
+    letter or digit beyond ASCII."""
+    after, before = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    for b in range(33, 127):
+        alnum = chr(b).isalnum()
+        after[b] = 1 | (2 if alnum else 0 if b == ord("'") else 4)
+        before[b] = 4 if alnum else 2 | 8
+    after[128:] = 8
+    before[[ord(" "), ord("\n")]] = 1 | 8
+    return after, before
+
+
+AFTER, BEFORE = _cut_tables()
+
+
+@cache
+def _alnum() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
 class _Known(dict):
-    """Ids of words, learned as they are asked for. Most words of a large corpus are met once, so a word stays only when it is met
-    again before the words met once have become too many."""
+    """Ids of pieces, learned as they are asked for. Most words of a large corpus are met once, so a piece stays only when it is met
+    again before those met once have become too many."""
 
-    def __init__(self, learn: Callable[[str], bytes]):
+    def __init__(self, learn: Callable[[bytes], bytes]):
         self.learn = learn
-        self.once: dict[str, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.once.pop(word, None)
         if ids is not None:
             if len(self) > MET_AGAIN:
@@ -78,6 +97,8 @@ class _Known(dict):
             self[word] = ids
             return ids
         ids = self.learn(word)
+        if len(word) > LONGEST:
+            return ids
         if len(self.once) > MET_ONCE:
             self.once.clear()
         self.once[word] = ids
@@ -87,10 +108,11 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level pre-tokenizer never joins a word with the space or newline that follows it, so a text in which words
-    are parted by single spaces and newlines is the concatenation of its words' encodings, each with what stands before
-    it. Words are encoded by the library and remembered. Texts with other white space, or with the
-    string of a special token, are encoded whole.
+    A byte-level pre-tokenizer never joins a letter, digit or mark with the white space that follows it, nor letters and digits
+    with marks (but for what follows an apostrophe), so a text is the concatenation of the encodings of the pieces between
+    such places. Texts are cut there all at once, each different piece of them is looked up once, and pieces not met before are
+    encoded by the library and remembered. Texts with the string of a special token, and all texts under another
+    pre-tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -102,54 +124,76 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a word of letters alone is one piece to the pre-tokenizer, which writes each of its bytes as a letter; such words
-        # go to the library's model at once
-        self.pieces = self.tokenizer.model.tokenize if self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" else None
+        pre = self.tokenizer.pre_tokenizer
+        self.bytewise = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [array(self.code, [i]).tobytes() for i in range(size)]
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.newline = self._whole("\n")
-        self.marks = _Known(self._whole)
         self.known = _Known(self._learn)
 
-    def packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
     def _whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _plain(self, text: str) -> list[str] | None:
-        """Words, each with its newline if one stands before it; a tab marks the first. None if the text is not plain."""
-        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in PAIRS) or any(x in text for x in self.special):
-            return None
-        if any(x in text for x in ASCII_SPACES) or not (text.isascii() or not OTHER_SPACES.search(text)):
-            return None
-        cut = text.replace("\n", " \n").split(" ")
-        cut[0] = "\t" + cut[0]
-        return cut
-
-    def _letters(self, word: str, before: str = "") -> bytes:
-        """Ids of a piece of letters after ``before``: the library's model takes each byte as a letter."""
-        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.pieces(before + shown)]).tobytes()
-
-    def _learn(self, word: str) -> bytes:
-        if word.isalpha() and self.pieces:
-            return self._letters(word, "\u0120")
-        stem = word.rstrip(MARKS)
-        if len(stem) < len(word) and stem[-1:].isalnum():  # marks after a letter or digit are a piece of their own
-            return self.known[stem] + self.marks[word[len(stem) :]]
-        if word[0] in "\t\n":
-            rest = word[1:]
-            if rest.isalpha() and self.pieces:
-                return (self.newline if word[0] == "\n" else b"") + self._letters(rest)
-            return self._whole(rest if word[0] == "\t" else word)
-        return self._whole(" " + word)
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        first = text[0]
+        word = text[1:] if first == " " or first == "\n" else text
+        if not (self.bytewise and (word.isalpha() or word.isdecimal())):
+            return self._whole(text)
+        if first == "\n":
+            return self.newline + self._learn(piece[1:])
+        # letters alone are one piece to the pre-tokenizer, which writes each of its bytes as a letter: to the library's model at once
+        shown = piece.decode("latin-1").translate(self.letters) if not text.isascii() else "\u0120" + word if first == " " else word
+        return b"".join([self.packed[t.id] for t in self.tokenize(shown)])
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """For each byte of UTF-8, whether a piece begins there for sure, whatever else stands around it."""
+        cut = np.zeros(len(data) + 1, np.uint8)
+        np.bitwise_and(AFTER[data[:-1]], BEFORE[data[1:]], out=cut[1:-1])
+        at, alnum = np.flatnonzero(cut == 8), _alnum()
+        last, b, c, d = (data[np.maximum(at - k, 0)].astype(np.int32) for k in (1, 2, 3, 4))
+        two, three = (b & 31) << 6 | last & 63, (c & 15) << 12 | (b & 63) << 6 | last & 63
+        four = ((d & 7) << 18 | (c & 63) << 12 | (b & 63) << 6 | last & 63) % len(alnum)
+        cut[at] = alnum[np.where(b >= 0xC0, two, np.where(c >= 0xE0, three, four))]
+        return cut != 0
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other and each with ``end`` after it, and where each of them ends."""
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or bounds[0] == bounds[-1]:
+            return np.frombuffer(end * len(texts), self.dtype), np.arange(1, len(texts) + 1) * (len(end) // self.dtype.itemsize)
+        data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        cut = self._cuts(data) if self.bytewise else np.zeros(len(data) + 1, bool)
+        cut[bounds] = False
+        for special in map(str.encode, self.special):
+            if special in data.tobytes():
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if special in data[a:b].tobytes():
+                        cut[a:b] = False
+        # an empty piece stands after each text
+        full = bounds[1:] > bounds[:-1]
+        at = np.sort(np.concatenate([np.flatnonzero(cut), bounds[:-1][full], bounds[1:], bounds[-1:]]), kind="stable").astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        _, edges, names = found.dictionary.buffers()
+        edges, names = np.frombuffer(edges, np.int32)[: len(found.dictionary) + 1].tolist(), names.to_pybytes()
+        known = [self.known[names[a:b]] if a < b else end for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        flat, length = np.frombuffer(b"".join(known), self.dtype), np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        which = found.indices.to_numpy()
+        n = length[which]
+        upto = np.cumsum(n)
+        ids = np.repeat((np.cumsum(length) - length)[which] - (upto - n), n)
+        ids += np.arange(len(ids))
+        return flat[ids], upto[np.flatnonzero(at[1:] == at[:-1])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids = self.known.__getitem__
-        cut = [self._plain(t) for t in texts]
-        return [(self._whole(t) if t else b"") if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
+        ids, stops = self.encode_all(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, stops[:-1])] if texts else []
 
 
 #: A worker process keeps its encoder, and the words it knows, for its next task.
@@ -195,6 +239,25 @@ def _list_hash(addresses: str) -> Column:
 ENCODED = "doc_id long, n_tokens long, addresses array<binary>, root string, address binary, n_ids int, payload binary"
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` again, in parts of AT_ONCE bytes about, and of one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        upto = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)
+        last = 0
+        for end in (np.flatnonzero(np.diff(upto // AT_ONCE, prepend=size // AT_ONCE)) + 1).tolist():
+            yield pa.concat_batches([*held, batch.slice(last, end - last)])
+            held, last = [], end
+        if last < batch.num_rows:
+            held.append(batch.slice(last))
+            size = int(upto[-1])
+        elif last:
+            size = 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Recipes (with a null address) and chunks (with one); a chunk that this task has just sent is not sent again."""
@@ -202,31 +265,30 @@ def _encoder(path: str, end_id: int):
         sent: set[bytes] = set()
         width = encoder.dtype.itemsize
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows: list[tuple] = []
-                streams = [packed + end for packed in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
-                # all documents are hashed in one sweep: no chunk ends within MIN_IDS > ROLL ids of a document's start
-                stops = np.cumsum([len(x) // width for x in streams])
-                may = boundaries(np.frombuffer(b"".join(streams), encoder.dtype))
-                cuts = np.searchsorted(may, stops)
-                for k, (doc_id, stream) in enumerate(zip(part.column("doc_id").to_pylist(), streams, strict=True)):
-                    n = len(stream) // width
-                    addresses, last = [], 0
-                    for e in chunk_ends(n, (may[cuts[k - 1] if k else 0 : cuts[k]] - (stops[k] - n)).tolist()):
-                        payload = stream[last * width : e * width]
-                        address = hashlib.sha256(payload).digest()
-                        addresses.append(address)
-                        if address not in sent:
-                            sent.add(address)
-                            rows.append((None, None, None, None, address, e - last, payload))
-                        last = e
-                    rows.append((doc_id, n, addresses, list_hash(addresses), None, None, None))
-                if len(sent) > SENT:
-                    sent.clear()
-                types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string(), pa.binary(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
+        for part in _parts(batches):
+            rows: list[tuple] = []
+            ids, ends = encoder.encode_all(part.column("text"), end)
+            # all documents are hashed in one sweep: no chunk ends within MIN_IDS > ROLL ids of a document's start
+            may = boundaries(ids)
+            cuts, stops, packed = np.searchsorted(may, ends).tolist(), ends.tolist(), ids.tobytes()
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                start = stops[k - 1] if k else 0
+                n = stops[k] - start
+                stream = packed[start * width : stops[k] * width]
+                addresses, last = [], 0
+                for e in chunk_ends(n, (may[cuts[k - 1] if k else 0 : cuts[k]] - start).tolist()):
+                    payload = stream[last * width : e * width]
+                    address = hashlib.sha256(payload).digest()
+                    addresses.append(address)
+                    if address not in sent:
+                        sent.add(address)
+                        rows.append((None, None, None, None, address, e - last, payload))
+                    last = e
+                rows.append((doc_id, n, addresses, list_hash(addresses), None, None, None))
+            if len(sent) > SENT:
+                sent.clear()
+            types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string(), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
 
     return run
 

@@ -2,6 +2,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,65 @@ def test_every_letter_is_a_letter_to_the_library(tokenizer):
         assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return s.Encoder(PATH)
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows(tokenizer):
+    encoder, calls = s.Encoder(PATH), []
+    learn = encoder.known.learn
+    encoder.known.learn = lambda piece: calls.append(piece) or learn(piece)
+    words = [f"word{'abcdefgh'[i]}{'stuvwxyz'[i]}é"[: 6 + i % 2] for i in range(8)]
+    text = " ".join(w + m for m in ("", *",.;:!?)") for w in words)
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) == len(set(calls)) <= len(words) + 9
+
+
+def test_no_text_is_encoded_whole_for_its_white_space(tokenizer, prose, monkeypatch):
+    encoder, lengths, whole = s.Encoder(PATH), [], s.Encoder._whole
+    monkeypatch.setattr(s.Encoder, "_whole", lambda self, text: lengths.append(len(text)) or whole(self, text))
+    text = "  \t" + prose(300, 5) + "\n\n" + prose(300, 6) + " \r\n" + prose(300, 7) + "\u3000 "
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(lengths, default=0) < 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab  Zé1½.,''_-|\n\t\r\x1f\x85\u3000\u2028\u0301—’ß日🙂𝒳𐄀", max_size=30), min_size=1, max_size=4))
+def test_cuts_beyond_ascii(tokenizer, encoder, texts):
+    for got, text in zip(encoder.encode(texts), texts, strict=True):
+        assert np.frombuffer(got, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_slices_nulls_and_special_tokens(tokenizer, kind):
+    texts = ["not read", None, "", "a, b", "x<|endoftext|> y, z", "<|endof", "text|> é", None, "word " * 50, "", "not read"]
+    ids, ends = s.Encoder(PATH).encode_all(pa.array(texts, kind).slice(1, len(texts) - 2), np.array([7], "<u2").tobytes())
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts[1:-1]]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_another_pre_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["of the, and. of", "it's  a", "\nthe of"]
+    for got, text in zip(s.Encoder(str(tmp_path / "other.json")).encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("at_once", [1, 3000, 40_000, 10_000_000])
+def test_parts_hold_all_rows_and_are_bounded(at_once, monkeypatch):
+    monkeypatch.setattr(s, "AT_ONCE", at_once)
+    row = lambda i: (i, None if i % 7 == 0 else "x" * (i * 37 % 900))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*map(row, range(a, b))) if a < b else ((), ()), (pa.int64(), pa.string()))], ["doc_id", "text"]) for a, b in ((0, 0), (0, 90), (90, 91), (91, 400), (400, 400))]
+    parts = list(s._parts(iter(batches)))
+    assert pa.Table.from_batches(parts).to_pylist() == [{"doc_id": i, "text": row(i)[1]} for i in range(400)]
+    assert all(0 < p.num_rows <= at_once // s.ROW_BYTES + 1 for p in parts) and list(s._parts(iter([]))) == []
+
+
 def test_forgetting_words_changes_nothing(tokenizer, prose, monkeypatch):
     monkeypatch.setattr(s, "MET_ONCE", 3)
     monkeypatch.setattr(s, "MET_AGAIN", 2)
